@@ -46,7 +46,7 @@ SYLLABLES = {
 TITLE = "|".join(t for names in TITLES.values() for t in names)
 #: Possessive and anchored, so that a long run without an entity costs its length once.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)*?\.[A-Za-z]{2,}+",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)*\.[A-Za-z]{2,}+",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)",
     "card": r"(?<![\w.+\-])\d{4}([ \-]?)\d{4}\1\d{4}\1\d{4}(?![\w\-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{3}[.\- ])\d{3}[.\- ]\d{4}(?!\w)",
@@ -104,7 +104,7 @@ def surrogate(kind: Column, form: Column, title: Column, key: str, attempt: Colu
     digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, form, attempt.cast("string")), 512)
     drawn = _alike(form, digest)
     local, domain = F.substring_index(form, "@", 1), F.substring_index(form, "@", -1)
-    email = F.concat(_alike(F.regexp_replace(local, "[a-z0-9]", "a"), digest), F.lit("@"), F.concat_ws(".", _alike(F.element_at(F.split(domain, r"\."), 1), digest, 31), F.lit("example"), F.substring_index(domain, ".", -1)))
+    email = F.concat(_alike(local, digest), F.lit("@"), F.concat_ws(".", _alike(F.element_at(F.split(domain, r"\."), 1), digest, 31), F.lit("example"), F.substring_index(domain, ".", -1)))
     email = F.when(F.length(local) < 4, F.concat(F.substring(F.sha2(digest, 256), 1, 8), F.lit("."), email)).otherwise(email)
     ip = F.concat_ws(".", *[(_byte(digest, k) % 254 + 1).cast("string") for k in range(4)])
     head = F.substring(drawn, 1, 15)

@@ -50,7 +50,7 @@ def hash_keys(keys: pa.Array) -> np.ndarray:
 
 def positions(h: np.ndarray, level: int, size: int, k: int) -> np.ndarray:
     """k bit positions of each hash in the filter of a level."""
-    a = mix(h + U(level + 1) * _S)
+    a = mix(h + U((level + 1) * int(_S) % (1 << 64)))
     b = mix(a ^ _S) | U(1)
     return ((a[None, :] + np.arange(k, dtype=np.uint64)[:, None] * b[None, :]) % U(size)).astype(np.int64)
 
