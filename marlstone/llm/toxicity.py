@@ -89,7 +89,7 @@ def train(positive: list[str], unlabelled: list[str], prior: float, n_features:
     best = np.flatnonzero((z > 3) & (sp * n_p >= 3))
     best = best[np.argsort(-z[best], kind="stable")][:n_features]
     model = Classifier(np.sort(kp[best]), np.zeros(len(best)), -2.0, 0.0)
-    x = [s and (lambda d, f, c: (d, f, c))(*model.hits(s), s.counts) for s in groups]
+    x = [(*model.hits(s), s.counts) for s in groups]
     m = [np.zeros(len(best)), np.zeros(2)]
     v = [np.zeros(len(best)), np.zeros(2)]
     for step in range(1, epochs + 1):
