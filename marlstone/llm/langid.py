@@ -176,8 +176,8 @@ def train(texts: list[str], langs: list[str], bits: int = 18, epochs: int = 12,
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 5, held: int = 0, per_language: int = 192, max_chars: int = 20_000, **options) -> Crf:
     """A model of at most per_language documents a language, none of the held-out fold, of at most max_chars characters."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    learn = docs.where((fold(F.col("doc_id"), modulus) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = sample_rows(learn, ["doc_id", "text"], F.col("lang"), per_language, max_chars, ["text", "lang"])
+    learn = docs.where((fold(F.col("doc_id"), modulus) != held) & F.col("lang").isNotNull())
+    rows = sample_rows(learn, ["doc_id"], F.col("lang"), per_language, max_chars, ["text", "lang"])
     return train([r["text"] for r in rows], [r["lang"] for r in rows], **options)
 
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_type
+from .shared import arrow_type, bounded_batches
 from .textbytes import NOT_SPACE, Spans, row_slices, utf8_column
 
 
@@ -132,6 +132,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = 2048, p
     ids may be null or repeat, each row is packed on its own; other columns are ignored; an empty table gives no rows.
     A document wider than a batch of Arrow is never split by it: a batch holds whole texts.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"]
     schema = f"doc_id {kind.dataType.simpleString()}, {SCHEMA}" + (", ids array<int>" if with_ids else "")

@@ -75,17 +75,27 @@ def sample_ids(df: DataFrame, stratum: Column, salt: int, cells: int, hashed: Co
     )
 
 
-def sample_rows(df: DataFrame, key: list[str], stratum: Column, cells: int, max_chars: int, columns: list[str], text_col: str = "text", salt: int = 7) -> list:
-    """A bounded, deterministic sample as rows on the driver: at most `cells` a stratum, texts of at most max_chars."""
+def sample_rows(df: DataFrame, key: list[str], stratum: Column, cells: int, max_chars: int, columns: list[str], text_col: str = "text", salt: int = 7, ids_of: DataFrame | None = None) -> list:
+    """A bounded, deterministic sample as rows on the driver: at most `cells` a stratum, of them the texts of max_chars or less.
+
+    The rows are chosen by the key alone (of `ids_of`, if given, a table with the key), so that no text moves but theirs.
+    """
     hashed = F.xxhash64(*[F.col(k) for k in key])
-    small = df.where(F.length(text_col) <= max_chars) if text_col in df.columns else df
-    ids = [r[0] for r in sample_ids(small, stratum, salt, cells, hashed).collect()]
+    ids = [r[0] for r in sample_ids(df if ids_of is None else ids_of, stratum, salt, cells, hashed).collect()]
     if not ids:
         return []
-    spark = df.sparkSession
-    chosen = F.broadcast(spark.createDataFrame([(i,) for i in ids], "_h long"))
-    rows = small.withColumn("_h", hashed).join(chosen, "_h", "left_semi").select("_h", *columns).dropDuplicates(["_h"]).collect()
-    return sorted(rows, key=lambda r: r["_h"])
+    chosen = F.broadcast(df.sparkSession.createDataFrame([(i,) for i in ids], "_h long"))
+    found = df.withColumn("_h", hashed).where(F.length(text_col) <= max_chars).join(chosen, "_h", "left_semi")
+    first = F.min(F.struct(*columns)) if len(columns) > 1 else F.min(columns[0])
+    rows = found.groupBy("_h").agg(first.alias("_r")).collect()
+    return [r["_r"] if len(columns) > 1 else {columns[0]: r["_r"]} for r in sorted(rows, key=lambda r: r["_h"])]
+
+
+def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Arrow batches of at most 16 MB, unless the session has a bound of its own: long texts come in small batches."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(name, size)
 
 
 def kernel_columns(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[pa.Array], list]], keep: list[str] | None = None, max_bytes: int = 1 << 21) -> DataFrame:
@@ -94,6 +104,7 @@ def kernel_columns(df: DataFrame, text_col: str, fields: list[T.StructField], ma
     make() runs once a task and gives the kernel; the kernel gets (bytes, offsets, nulls) of a slice of about
     max_bytes (a longer text is a slice of its own) and gives one Arrow or numpy array a field.
     """
+    bounded_batches(df.sparkSession)
     keep = list(df.columns) if keep is None else keep
     source = df.select(*[df[c] for c in keep], df[text_col].alias(fresh("_text", keep)))
     schema = T.StructType([*[df.schema[c] for c in keep], *fields])
@@ -128,6 +139,7 @@ def kernel_rows(df: DataFrame, text_col: str, schema: str, make: Callable[[], Ca
                 yield from kernel.take(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], nulls[i:j]) or ()
         yield from kernel.finish()
 
+    bounded_batches(df.sparkSession)
     return df.select(text_col).mapInArrow(run, schema)
 
 

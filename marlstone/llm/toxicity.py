@@ -19,11 +19,13 @@ from .shared import fold, fresh, kernel_columns, sample_rows
 from .textbytes import LETTERS, LOWER, Spans, U, mix, of_texts
 
 _M = U(0x9E3779B97F4A7C15)
-PREFIXES = (5, 7)
+PREFIXES = (4, 5, 6, 7, 8)
+#: A feature counts once, twice and thrice: a stem that clean texts have by chance is frequent in toxic ones.
+LEVELS = 3
 
 
 def keys_of(spans: Spans):
-    """Kinds of feature keys of the words (64-bit), each with the word it stands for: whole word, prefixes."""
+    """Kinds of feature keys of the words (64-bit), each with the word it stands for: whole word, prefixes of some bytes."""
     out = [(spans.hashes(LOWER), np.arange(len(spans)))]
     lens = spans.ends - spans.starts
     for k in PREFIXES:
@@ -38,70 +40,78 @@ def keys_of(spans: Spans):
 @dataclass
 class Classifier:
     keys: np.ndarray  # sorted
-    weights: np.ndarray
+    weights: np.ndarray  # keys x LEVELS
     bias: float
     length: float
 
     def hits(self, spans: Spans):
-        """(text, feature) pairs, each once."""
-        seen = np.zeros(1 << 18, bool)
-        seen[(self.keys >> U(46)).astype(np.int64)] = True
-        docs, feats = [], []
-        for key, word in keys_of(spans):
-            may = np.flatnonzero(seen[(key >> U(46)).astype(np.int64)]) if len(key) else np.zeros(0, int)
-            if not len(may) or not len(self.keys):
-                continue
-            at = np.minimum(np.searchsorted(self.keys, key[may]), len(self.keys) - 1)
-            same = self.keys[at] == key[may]
-            docs.append(spans.doc[word[may[same]]])
-            feats.append(at[same])
-        if not docs:
-            return np.zeros(0, int), np.zeros(0, int)
-        pair = np.unique(np.concatenate(docs) * max(1, len(self.keys)) + np.concatenate(feats))
-        return pair // len(self.keys), pair % len(self.keys)
+        """(text, key, level) of the keys a text has, at each level it reaches."""
+        docs, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(self.keys):
+            seen = np.zeros(1 << 18, bool)
+            seen[(self.keys >> U(46)).astype(np.int64)] = True
+            for key, word in keys_of(spans):
+                may = np.flatnonzero(seen[(key >> U(46)).astype(np.int64)])
+                at = np.minimum(np.searchsorted(self.keys, key[may]), len(self.keys) - 1)
+                same = self.keys[at] == key[may]
+                docs.append(spans.doc[word[may[same]]])
+                keys.append(at[same])
+        pair, n = np.unique(np.concatenate(docs) * max(1, len(self.keys)) + np.concatenate(keys), return_counts=True)
+        n = np.minimum(n, LEVELS)
+        pair = np.repeat(pair, n)
+        level = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+        return pair // max(1, len(self.keys)), pair % max(1, len(self.keys)), level
 
     def margin(self, spans: Spans) -> np.ndarray:
-        doc, feat = self.hits(spans)
+        doc, key, level = self.hits(spans)
         n = len(spans.counts)
-        return np.bincount(doc, self.weights[feat], n) + self.bias + self.length * np.log1p(spans.counts)
+        return np.bincount(doc, self.weights[key, level], n) + self.bias + self.length * np.log1p(spans.counts)
 
 
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def train(positive: list[str], unlabelled: list[str], prior: float, n_features: int = 3000, epochs: int = 300, rate: float = 0.05, decay: float = 1e-3, seed: int = 5) -> Classifier:
+def _shares(spans: Spans) -> list[dict]:
+    """By level: (keys, share of the texts that have them so often), and their number of texts."""
+    doc, key = (np.concatenate(x) for x in zip(*[(spans.doc[w].astype(np.uint64), k) for k, w in keys_of(spans)], strict=True))
+    order = np.lexsort((doc, key))
+    doc, key = doc[order], key[order]
+    start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))) if len(key) else np.zeros(0, int)
+    times = np.diff(np.append(start, len(key)))
+    out = []
+    for level in range(LEVELS):
+        k, n = np.unique(key[start][times > level], return_counts=True)
+        out.append((k, n / max(1, len(spans.counts))))
+    return out
+
+
+def train(positive: list[str], unlabelled: list[str], prior: float, n_features: int = 3000, epochs: int = 600, rate: float = 0.05, decay: float = 1e-4, seed: int = 5) -> Classifier:
     """Selects features by how far their share among positives exceeds the unlabelled's, then descends the nnPU risk."""
-    none = Classifier(np.zeros(0, np.uint64), np.zeros(0), -4.0, 0.0)
     if not positive or not unlabelled:
-        return none
+        return Classifier(np.zeros(0, np.uint64), np.zeros((0, LEVELS)), -4.0, 0.0)
     groups = [Spans(*of_texts(x), LETTERS) for x in (positive, unlabelled)]
-    share = []
-    for spans in groups:
-        parts = [np.unique(np.column_stack([spans.doc[w].astype(np.uint64), k]), axis=0)[:, 1] for k, w in keys_of(spans)]
-        k, n = np.unique(np.concatenate(parts), return_counts=True)
-        share.append((k, n / len(spans.counts)))
-    (kp, sp), (ku, su) = share
-    at = np.minimum(np.searchsorted(ku, kp), max(0, len(ku) - 1))
-    base = np.where(ku[at] == kp, su[at], 0.0) if len(ku) else np.zeros(len(kp))
     n_p, n_u = len(positive), len(unlabelled)
-    z = (sp - base) / np.sqrt(base * (1 - base) / n_p + base * (1 - base) / n_u + 1.0 / n_p / n_u + 1e-3 / n_p)
-    best = np.flatnonzero((z > 3) & (sp * n_p >= 3))
-    best = best[np.argsort(-z[best], kind="stable")][:n_features]
-    model = Classifier(np.sort(kp[best]), np.zeros(len(best)), -2.0, 0.0)
-    x = [(*model.hits(s), s.counts) for s in groups]
-    m = [np.zeros(len(best)), np.zeros(2)]
-    v = [np.zeros(len(best)), np.zeros(2)]
+    found: dict[int, float] = {}
+    for (kp, sp), (ku, su) in zip(*map(_shares, groups), strict=True):
+        at = np.minimum(np.searchsorted(ku, kp), max(0, len(ku) - 1))
+        base = np.where(ku[at] == kp, su[at], 0.0) if len(ku) else np.zeros(len(kp))
+        base = np.maximum(base - prior * sp, 0) / (1 - prior)  # the unlabelled hold positives, too
+        z = (sp - base) / np.sqrt((base + 1.0 / n_u) * (1.0 / n_p + 1.0 / n_u))
+        for k in np.flatnonzero((z > 4) & (sp * n_p >= 3) & (sp > 3 * base)):
+            found[int(kp[k])] = max(found.get(int(kp[k]), 0.0), float(z[k]))
+    best = sorted(found, key=lambda k: (-found[k], k))[:n_features]
+    model = Classifier(np.sort(np.array(best, np.uint64)), np.zeros((len(best), LEVELS)), -2.0, 0.0)
+    x = [(*model.hits(s), np.log1p(s.counts)) for s in groups]
+    params = [model.weights.ravel(), np.array([model.bias, model.length])]
+    m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, epochs + 1):
-        margin, grads = [], []
-        for d, f, c in x:
-            margin.append(np.bincount(d, model.weights[f], len(c)) + model.bias + model.length * np.log1p(c))
-        p, u = margin
+        p, u = (np.bincount(d, params[0][k * LEVELS + g], len(c)) + params[1][0] + params[1][1] * c for d, k, g, c in x)
 
-        def pull(k, slope, model=model):  # the gradient of the mean of a loss with this slope on group k
-            d, f, c = x[k]
+        def pull(group, slope):  # the gradient of the mean of a loss with this slope
+            d, k, g, c = x[group]
             slope = slope / len(c)
-            return np.bincount(f, slope[d], len(model.weights)), np.array([slope.sum(), (slope * np.log1p(c)).sum()])
+            return [np.bincount(k * LEVELS + g, slope[d], len(params[0])), np.array([slope.sum(), (slope * c).sum()])]
 
         plus, minus, other = pull(0, sigmoid(p) - 1), pull(0, sigmoid(p)), pull(1, sigmoid(u))
         rest = np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
@@ -109,14 +119,12 @@ def train(positive: list[str], unlabelled: list[str], prior: float, n_features:
             grads = [prior * a + c - prior * b for a, b, c in zip(plus, minus, other, strict=True)]
         else:
             grads = [prior * b - c for b, c in zip(minus, other, strict=True)]
-        grads[0] = grads[0] + decay * prior * model.weights / 10
-        params = [model.weights, np.array([model.bias, model.length])]
+        grads[0] = grads[0] + decay * params[0]
         for k in range(2):
             m[k] = 0.9 * m[k] + 0.1 * grads[k]
             v[k] = 0.999 * v[k] + 0.001 * grads[k] ** 2
             params[k] = params[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-        model = Classifier(model.keys, params[0], float(params[1][0]), float(params[1][1]))
-    return model
+    return Classifier(model.keys, params[0].reshape(-1, LEVELS), float(params[1][0]), float(params[1][1]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 4, held: int = 2, max_positive: int = 1500, max_unlabelled: int = 4000, max_chars: int = 20_000, **options) -> Classifier:
@@ -125,12 +133,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     The prior is the share of toxic labels among the learning folds' labels. Each sample's texts have max_chars
     characters at most.
     """
-    learn = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where((fold(F.col("doc_id"), modulus) != held) & F.col("text").isNotNull())
+    learn = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(fold(F.col("doc_id"), modulus) != held)
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("mark")).where((fold(F.col("doc_id"), modulus) != held) & F.col("mark").isNotNull())
     n, toxic = marks.agg(F.count("*"), F.coalesce(F.sum("mark"), F.lit(0))).first()
-    marked = marks.where("mark = 1").select("doc_id").distinct()
-    pos = sample_rows(learn.join(marked, "doc_id", "left_semi"), ["doc_id", "text"], F.lit(0), max_positive, max_chars, ["text"])
-    unl = sample_rows(learn, ["doc_id", "text"], F.lit(0), max_unlabelled, max_chars, ["text"], salt=11)
+    marked = marks.where("mark = 1").select("doc_id")
+    pos = sample_rows(learn, ["doc_id"], F.lit(0), max_positive, max_chars, ["text"], ids_of=marked)
+    unl = sample_rows(learn, ["doc_id"], F.lit(0), max_unlabelled, max_chars, ["text"], salt=11)
     return train([r["text"] for r in pos], [r["text"] for r in unl], min(max(toxic / n if n else 0.01, 1e-4), 0.9), **options)
 
 
