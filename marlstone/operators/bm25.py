@@ -25,15 +25,19 @@ class Index:
     first_ids: list  # the least ids, for documents without a match
 
 
-def term_counts(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """chunk_id, term, tf, dl: one shuffle, on the chunk, which `dl` shares."""
+def term_counts(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """chunk_id, term, tf, dl: one shuffle, on the chunk and its terms; with `only` (term), of these terms alone."""
     words = chunks.select(F.col(id_col).alias("chunk_id"), tokens(F.col(text_col)).alias("words"))
     counted = words.select("chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    if only is not None:
+        counted = counted.join(only, "term", "left_semi")
     return counted.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def build(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", pad: int = 200) -> Index:
-    postings = term_counts(chunks, id_col, text_col)
+def build(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", pad: int = 200, queries: DataFrame | None = None) -> Index:
+    """The index of chunks; with `queries` (text), of their terms alone, which is all that they need of it."""
+    only = None if queries is None else queries.select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
+    postings = term_counts(chunks, id_col, text_col, only)
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
     n, words = chunks.select(F.count(F.lit(1)), F.sum(F.size(tokens(F.col(text_col))))).first()
     first = [r[0] for r in chunks.select(id_col).orderBy(id_col).limit(pad).collect()]

@@ -292,20 +292,20 @@ def bm25_terms(spark, d):
 
 @query(f"with {_bm25_sql(FIRST, 50)} select doc_id, round(score, 6) as score, cast(rank as int) as rank from bm")
 def bm25_topk(spark, d):
-    found = bm25.search(bm25.build(corpus(spark, d)), first_query(spark, d), 50)
+    found = bm25.search(bm25.build(corpus(spark, d), queries=first_query(spark, d)), first_query(spark, d), 50)
     return found.select(F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"with {_bm25_sql(FIRST, 50, True)} select doc_id, round(score, 6) as score, cast(rank as int) as rank from bm")
 def bm25_topk_paper(spark, d):
-    found = bm25.search(bm25.build(corpus(spark, d)), first_query(spark, d), 50, "paper")
+    found = bm25.search(bm25.build(corpus(spark, d), queries=first_query(spark, d)), first_query(spark, d), 50, "paper")
     return found.select(F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"with {_bm25_sql('select item_id as q, text as t from benchmark', 10)} select q as item_id, doc_id, round(score, 6) as score, cast(rank as int) as rank from bm")
 def bm25_batch(spark, d):
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    found = bm25.search(bm25.build(corpus(spark, d)), asked, 10)
+    found = bm25.search(bm25.build(corpus(spark, d), queries=asked), asked, 10)
     return found.select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
@@ -366,7 +366,7 @@ def metadata_filter(spark, d):
 def _sides(spark, d, where=None):
     near = vector.top(store(spark, d), first_vector(spark, d), 50, where)
     near = ranked(near.select("chunk_id", "score", "distance"), "distance").drop("distance")
-    words = bm25.search(bm25.build(corpus(spark, d)), first_query(spark, d), 50).select("chunk_id", "score", "rank")
+    words = bm25.search(bm25.build(corpus(spark, d), queries=first_query(spark, d)), first_query(spark, d), 50).select("chunk_id", "score", "rank")
     return near, words
 
 
@@ -406,7 +406,7 @@ def hybrid_filtered(spark, d):
 
 @query(f"with {_bm25_sql(FIRST, 50)} select bm.doc_id, d.text from bm join documents d on bm.doc_id = d.doc_id where d.text is not null")
 def hydrate_text(spark, d):
-    words = bm25.search(bm25.build(corpus(spark, d)), first_query(spark, d), 50).select("chunk_id", "rank")
+    words = bm25.search(bm25.build(corpus(spark, d), queries=first_query(spark, d)), first_query(spark, d), 50).select("chunk_id", "rank")
     return fuse.hydrate(words, corpus(spark, d)).select(F.col("chunk_id").alias("doc_id"), "text")
 
 
