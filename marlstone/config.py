@@ -24,7 +24,7 @@ def merged(base: dict, over: dict) -> dict:
     return out
 
 
-def load(path: str | None = None, root_variable: str = "DOCDB_ROOT") -> dict:
+def load(path: str | None = None, root_variable: str = "MARLSTONE_ROOT") -> dict:
     """The settings; without a file (or a YAML parser) the defaults. Relative roots stand from the file's folder."""
     values = copy.deepcopy(DEFAULTS)
     if path and Path(path).exists():

@@ -201,6 +201,6 @@ def test_streams(spark, tree, tmp_path):
 
 
 def test_config(tmp_path, monkeypatch):
-    monkeypatch.setenv("DOCDB_ROOT", "/data/x")
+    monkeypatch.setenv("MARLSTONE_ROOT", "/data/x")
     assert config.load()["document_processing"]["doc_root"] == "/data/x"
     assert config.merged({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
