@@ -28,7 +28,8 @@ class Index:
 def term_counts(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", only: DataFrame | None = None) -> DataFrame:
     """chunk_id, term, tf, dl: one shuffle, on the chunk and its terms; with `only` (term), of these terms alone."""
     words = chunks.select(F.col(id_col).alias("chunk_id"), tokens(F.col(text_col)).alias("words"))
-    counted = words.select("chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    # explode_outer: explode's inferred filter would split every text again
+    counted = words.select("chunk_id", F.size("words").alias("dl"), F.explode_outer("words").alias("term")).where("term is not null")
     if only is not None:
         counted = counted.join(only, "term", "left_semi")
     return counted.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
@@ -54,20 +55,21 @@ def search(index: Index, queries: DataFrame, n: int = 50, delta_mode: str = "lib
     Scores are rounded before they are ranked, so that equal documents tie; ties follow the chunk's id. A query of no
     known word finds nothing.
     """
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    asked = queries.select("query_id", F.explode_outer(tokens(F.col("text"))).alias("term")).where("term is not null").groupBy("query_id", "term").agg(F.count("*").alias("times"))
     weighed = asked.join(index.terms, "term").select("query_id", "term", (idf(F.col("df"), index.n) * F.col("times")).alias("weight"))
     tf = F.col("tf").cast("double")
     gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / index.avgdl)) if index.avgdl else F.lit(0.0)
-    floor = DELTA if delta_mode == "paper" else 0.0
-    hits = index.postings.join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * (gain + floor)).alias("score"))
-    if delta_mode == "library":
-        base = weighed.groupBy("query_id").agg(F.sum("weight").alias("base")).withColumn("base", F.col("base") * DELTA)
-        hits = hits.join(base, "query_id").select("query_id", "chunk_id", (F.col("score") + F.col("base")).alias("score"))
+    if delta_mode == "paper":
+        rows = index.postings.join(weighed, "term").select("query_id", "chunk_id", F.lit(0.0).alias("base"), (F.col("weight") * (gain + DELTA)).alias("gain"))
+    else:
+        weighed = weighed.withColumn("base", DELTA * F.sum("weight").over(Window.partitionBy("query_id")))
+        rows = index.postings.join(weighed, "term").select("query_id", "chunk_id", "base", (F.col("weight") * gain).alias("gain"))
         ids = index.first_ids[: 2 * n]
         if ids:
             # fewer than n matches leave room; then n of the 2n least ids have no match at least
-            padded = base.select("query_id", "base", F.explode(F.array(*[F.lit(i) for i in ids])).alias("chunk_id"))
-            hits = hits.unionByName(padded.join(hits, ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id", F.col("base").alias("score")))
+            bases = weighed.groupBy("query_id").agg(F.max("base").alias("base"))
+            rows = rows.unionByName(bases.select("query_id", F.explode(F.array(*[F.lit(i) for i in ids])).alias("chunk_id"), "base", F.lit(0.0).alias("gain")))
+    hits = rows.groupBy("query_id", "chunk_id").agg((F.max("base") + F.sum("gain")).alias("score"))
     hits = hits.withColumn("score", F.round("score", digits)).where("score > 0")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
