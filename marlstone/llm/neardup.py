@@ -10,7 +10,10 @@ Texts of equal words are one node. Nodes that share a band's bucket are linked t
 one it shares most bands with, and a link counts once the bags' true overlap is verified. What is still apart then is
 compared across components: a bucket within one component gives no more pairs, so a group of copies costs in proportion
 to its size, while no pair of different components is left out (but for those whose signatures differ so much that the
-similarity cannot be near the threshold). Everything between the steps lies in written tables.
+similarity cannot be near the threshold). Buckets of many documents that share much and yet stay apart are cut into
+blocks; a task compares two blocks as matrices, each pair in the first bucket it shares, and gives a spanning forest of
+the links it finds, so that neither rows nor memory grow with the pairs. Everything between the steps lies in written
+tables.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh, kernel_columns, ragged, remove, written
+from .shared import bounded_batches, fresh, kernel_columns, ragged, release, remove, written
 from .textbytes import ALNUM, LOWER, Spans, U, mix, of_texts, utf8_column, window_hashes, window_starts
 
 _G, _R, _L = U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03), U(0x8CB92BA72F3D8DD7)
@@ -136,33 +139,34 @@ def overlap(a: list, b: list, width: int = 5) -> np.ndarray:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (the least node of its component) of every node of edges (a, b), by alternating large and small stars."""
-    both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
     stars = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
-    mark = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-    while True:
-        two = both(stars)
-        least = two.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = two.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select("a", "b", "m")
+    while not _are_stars(stars):
+        two = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).union(stars.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        least = two.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        large = two.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         linked = small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         nxt = written(linked.distinct(), "stars")
-        new = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
         remove(stars)
         stars = nxt
-        if new == mark:
-            return stars.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
-        mark = new
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(stars.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, bands: int = 32, rows: int = 5, slack: float = 0.2) -> DataFrame:
-    """One row a document: doc_id, class_id (the least doc_id of its class), n_links (links of its text to others), class_size.
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one root at most, and no root on another."""
+    ends = edges.select(F.col("a").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("root")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 or (up = 1 and root = 1)").isEmpty()
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, bands: int = 32, rows: int = 5, slack: float = 0.2, block: int = 640, few: int = 24) -> DataFrame:
+    """One row a document: doc_id, class_id (the least doc_id of its class), class_size.
 
     Words are lower-cased runs of letters and digits (all beyond ASCII count as such). Documents of the same words are
     in one class; others whose bags overlap by `threshold` are linked, and classes are the components of links. A null
     text or one without words is a class of its own. Rows that repeat an id each get a row; null ids are in their
     class without naming it (class_id is null only in a class of none but null ids). Other columns are ignored; an empty
-    table gives no rows. `slack` is how far below the threshold a pair's signature estimate may lie and still be verified.
+    table gives no rows. `slack` is how far below the threshold a pair's signature estimate may lie and still be verified;
+    buckets still open with over `few` nodes are compared in blocks of about `block`.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     made = kernel_columns(docs, "text", FIELDS, lambda: _sign(bands, rows, width), ["doc_id", "th"], 1 << 20)
@@ -177,30 +181,33 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     stars = buckets.where("node <> head").groupBy("node", "head").agg(F.count("*").alias("k"))
     best = stars.groupBy("node").agg(F.max_by("head", F.struct("k", -F.col("head"))).alias("head"))
     links = [written(_verify(_near(best.select(F.col("node").alias("a"), F.col("head").alias("b")), nodes, threshold - slack), texts, threshold, width), "links")]
-    comp = written(components(links[0]), "comp")
-    # the other heads, where they are apart
+    # a node's head and that head's head are of its component; the other heads may be apart
+    up = links[0].select("a", "b").join(links[0].select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left")
+    comp = written(up.select(F.col("a").alias("node"), F.coalesce("c", "b").alias("comp")), "comp")
     more = _apart(stars.select(F.col("node").alias("a"), F.col("head").alias("b")), comp)
     links.append(written(_verify(_near(more, nodes, threshold - slack), texts, threshold, width), "links"))
     comp2 = written(components(links[0].union(links[1])), "comp")
     remove(comp)
     # all pairs of one bucket and different components
     placed = buckets.select("bucket", "node").join(comp2, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("bucket")
-    rest = written(placed.join(open_, "bucket", "left_semi"), "open")
-    left, right = rest.select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca")), rest.select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"))
+    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x < y").select("bucket", "n")
+    rest = written(placed.join(open_, "bucket"), "open")
+    small = rest.where(F.col("n") <= few)
+    left, right = small.select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca")), small.select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"))
     pairs = left.join(right, "bucket").where("ca < cb").select("a", "b").distinct()
-    seen = links[0].select("a", "b").union(links[1].select("a", "b"))
-    pairs = pairs.join(seen, ["a", "b"], "left_anti")
     links.append(written(_verify(_near(pairs, nodes, threshold - slack), texts, threshold, width), "links"))
-    edges = links[0].union(links[1]).union(links[2])
-    comp3 = components(edges)
-    degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = whole.join(comp3, "node", "left").join(degree, "node", "left").select("f1", "f2", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    links.append(written(_compare_blocks(rest.where(F.col("n") > few), nodes, texts, threshold, slack, width, block), "links"))
+    # what the last links join, component by component
+    late = links[2].union(links[3]).select("a", "b")
+    ca, cb = comp2.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comp2.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+    ends = late.join(ca, "a", "left").join(cb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(ends).select(F.col("node").alias("comp"), F.col("comp").alias("last"))
+    named = whole.join(comp2, "node", "left").select("f1", "f2", F.coalesce("comp", "node").alias("comp")).join(joined, "comp", "left").select("f1", "f2", F.coalesce("last", "comp").alias("comp"))
     rows_ = signed.select("rid", "doc_id", "size", "f1", "f2").join(named, ["f1", "f2"], "left")
-    rows_ = rows_.select("doc_id", F.when(F.col("size") > 0, F.col("comp")).otherwise(F.col("rid")).alias("comp"), F.when(F.col("size") > 0, F.col("n_links")).otherwise(0).alias("n_links"))
+    rows_ = rows_.select("doc_id", F.when(F.col("size") > 0, F.col("comp")).otherwise(F.col("rid")).alias("comp"))
     rows_ = written(rows_, "classed")
     least = rows_.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    out = rows_.join(least, "comp").select("doc_id", "class_id", "n_links", "class_size")
+    out = rows_.join(least, "comp").select("doc_id", "class_id", "class_size")
     remove(signed, nodes, buckets, texts, rest, comp2, *links)
     return out
 
@@ -227,6 +234,78 @@ def _agree(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series((a == b).mean(axis=1))
 
 
+def _compare_blocks(members: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float, slack: float, width: int, block: int) -> DataFrame:
+    """a, b, similarity: of members (bucket, node, comp, n) links across components, enough to join what any link joins."""
+    g = F.ceil(F.col("n") / block)
+    own = members.withColumn("blk", F.pmod(F.xxhash64("node"), g).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (g - 1).cast("int"))))
+    own = own.select("bucket", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "node", "comp")
+    full = own.join(nodes.select("node", "bands", "sketch"), "node").join(texts, "node").select("bucket", "i", "j", "blk", "node", "comp", "bands", "sketch", "text")
+
+    def run(table: pa.Table) -> pa.Table:
+        t = table.combine_chunks()
+        blk, i, j = (t[c].to_numpy() for c in ("blk", "i", "j"))
+        bucket = t["bucket"][0].as_py()
+        node, comp = t["node"].to_numpy(), t["comp"].to_numpy()
+        band = np.array(t["bands"].to_pylist(), np.int64)
+        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(node), -1)
+        x, y = np.flatnonzero(blk == i[0]), np.flatnonzero(blk == j[0])
+        need = comp[x][:, None] != comp[y][None, :]
+        if i[0] == j[0]:
+            need &= node[x][:, None] < node[y][None, :]
+        agree = np.zeros(need.shape, np.float32)
+        for k in range(sketch.shape[1]):
+            agree += sketch[x, k][:, None] == sketch[y, k][None, :]
+        need &= agree >= (threshold - slack) * sketch.shape[1]
+        todo = need.copy()
+        for k in range(band.shape[1]):  # up to the first band a pair shares
+            same = todo & (band[x, k][:, None] == band[y, k][None, :])
+            need[same] = band[x, k][np.nonzero(same)[0]] == bucket
+            todo &= ~same
+        rows: list[tuple[int, int, float]] = []
+        if need.any():
+            s = overlap_matrix(t["text"].to_pylist(), x, y, width)
+            parent: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while parent.get(c, c) != c:
+                    parent[c] = parent.get(parent[c], parent[c])
+                    c = parent[c]
+                return c
+
+            for p, q in zip(*np.nonzero(need & (s >= threshold - 1e-12)), strict=True):
+                a, b = root(int(comp[x[p]])), root(int(comp[y[q]]))
+                if a != b:
+                    parent[b] = a
+                    rows.append((int(node[x[p]]), int(node[y[q]]), float(s[p, q])))
+        columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
+        release()
+        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["a", "b", "similarity"])
+
+    return full.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long, similarity double")
+
+
+def overlap_matrix(texts: list, x: np.ndarray, y: np.ndarray, width: int = 5) -> np.ndarray:
+    """Weighted Jaccard similarity of the bags of texts[x] with those of texts[y]; only shared shingles cost."""
+    doc, key, weight = bags(Spans(*of_texts(texts), ALNUM), width)
+    size = np.bincount(doc, weight, len(texts))
+    order = np.argsort(key, kind="stable")
+    doc, key, weight = doc[order], key[order], weight[order]
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    end = np.append(start[1:], len(key))
+    shared = end - start > 1
+    at_x, at_y = np.full(len(texts), -1), np.full(len(texts), -1)
+    at_x[x], at_y[y] = np.arange(len(x)), np.arange(len(y))
+    low = np.zeros((len(x), len(y)))
+    for a, b in zip(start[shared].tolist(), end[shared].tolist(), strict=True):
+        d, w = doc[a:b], weight[a:b]
+        px, py = at_x[d], at_y[d]
+        mx, my = px >= 0, py >= 0
+        if mx.any() and my.any():
+            low[np.ix_(px[mx], py[my])] += np.minimum(w[mx][:, None], w[my][None, :])
+    total = size[x][:, None] + size[y][None, :] - low
+    return np.divide(low, total, out=np.zeros_like(low), where=total > 0)
+
+
 def _near(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """Pairs whose sketches agree often enough."""
     sa, sb = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
@@ -247,7 +326,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) ->
                 s = overlap(rows.column(2).to_pylist(), rows.column(3).to_pylist(), width)
                 good = pa.array(s >= threshold - 1e-12)
                 yield pa.RecordBatch.from_arrays([rows.column(0).filter(good), rows.column(1).filter(good), pa.array(s).filter(good)], names=["a", "b", "similarity"])
+            release()
 
+    bounded_batches(pairs.sparkSession)
     return joined.mapInArrow(run, "a long, b long, similarity double")
 
 

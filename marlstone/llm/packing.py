@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_type, bounded_batches
+from .shared import arrow_type, bounded_batches, release
 from .textbytes import NOT_SPACE, Spans, row_slices, utf8_column
 
 
@@ -125,7 +125,7 @@ class Packer:
 SCHEMA = "piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = 2048, places: int = 256, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = 2048, places: int = 1024, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for).
 
     A document is its tokens and end_id; only one of over `size` tokens is cut. A null or empty text is the end alone;
@@ -172,5 +172,6 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = 2048, p
                     arrays.append(pa.array([ids[a : a + n].astype(np.int32) for a, n in zip(begin, length, strict=True)], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+            release()
 
     return docs.mapInArrow(run, schema)

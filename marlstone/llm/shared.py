@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -98,6 +99,15 @@ def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
         spark.conf.set(name, size)
 
 
+def release() -> None:
+    """Gives freed memory back to the system; a Python worker outlives its tasks, and otherwise keeps its peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def kernel_columns(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[pa.Array], list]], keep: list[str] | None = None, max_bytes: int = 1 << 21) -> DataFrame:
     """df's `keep` columns (all by default) and `fields`, which the kernel computes of whole texts in slices of rows.
 
@@ -122,6 +132,7 @@ def kernel_columns(df: DataFrame, text_col: str, fields: list[T.StructField], ma
                 arrays = [batch.column(k).slice(i, j - i) for k in range(batch.num_columns - 1)]
                 arrays += [a if isinstance(a, (pa.Array, pa.ChunkedArray)) else pa.array(a, kind) for a, kind in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+            release()
 
     return source.mapInArrow(run, schema)
 
@@ -137,7 +148,9 @@ def kernel_rows(df: DataFrame, text_col: str, schema: str, make: Callable[[], Ca
             nulls = np.asarray(column.is_null())
             for i, j in row_slices(offsets, max_bytes):
                 yield from kernel.take(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], nulls[i:j]) or ()
+            release()
         yield from kernel.finish()
+        release()
 
     bounded_batches(df.sparkSession)
     return df.select(text_col).mapInArrow(run, schema)
