@@ -74,8 +74,9 @@ class Crf:
                 out[word] += self.weights[index]  # at most one of a kind a word
         return out
 
-    def marginals(self, spans: Spans, emit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's label probabilities by forward-backward over each text's whole chain; the emissions' exponentials."""
+    def marginals(self, spans: Spans, emit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By forward-backward over each text's whole chain: each word's label probabilities, its forward message, and what
+        it sends back (its emission times its backward message), each up to a factor."""
         emit = self.emissions(spans) if emit is None else emit
         e = np.exp(emit - emit.max(axis=1, keepdims=True)) if len(emit) else emit
         order = np.argsort(-spans.counts, kind="stable")
@@ -90,7 +91,7 @@ class Crf:
             now /= now.sum(axis=1, keepdims=True)
             alpha[rows] = prev = now
         beta = np.ones((len(counts), len(self.labels)), np.float32)
-        out = np.empty_like(e)
+        out, sent = np.empty_like(e), np.empty_like(e)
         back = step.T.copy()
         for t in range(len(alive) - 1, -1, -1):
             k = alive[t]
@@ -99,10 +100,11 @@ class Crf:
             post = alpha[rows] * b
             post /= post.sum(axis=1, keepdims=True)
             out[rows] = post
-            nxt = (e[rows] * b) @ back
+            sent[rows] = now = e[rows] * b
+            nxt = now @ back
             nxt /= nxt.max(axis=1, keepdims=True)
             beta[:k] = nxt
-        return out, e
+        return out, alpha, sent
 
 
 def train(texts: list[str], langs: list[str], bits: int = 18, epochs: int = 12, rate: float = 0.25, words: int = 150, switch: float = 0.3, decay: float = 2e-5, seed: int = 3) -> Crf:
@@ -144,7 +146,7 @@ def train(texts: list[str], langs: list[str], bits: int = 18, epochs: int = 12,
             doc = spans.doc
             gold = np.where(spans.starts < newline[doc], pair[doc, 0], pair[doc, 1])
             emit = crf.emissions(spans)
-            post, e = crf.marginals(spans, emit)
+            post, alpha, sent = crf.marginals(spans, emit)
             delta = post.copy()
             delta[np.arange(len(gold)), gold] -= 1
             kinds, _ = features(spans, bits)
@@ -155,11 +157,9 @@ def train(texts: list[str], langs: list[str], bits: int = 18, epochs: int = 12,
             g += decay * crf.weights[rows]
             g_w[rows] += g * g
             crf.weights[rows] -= rate * g / np.sqrt(g_w[rows])
-            # transitions: expected pairs, of the products of neighbours' messages, less the given ones
+            # transitions: expected pairs of neighbours' labels, less the given ones
             heads = np.flatnonzero(np.diff(doc, append=-1) == 0)
-            step = np.exp(crf.trans)
-            alpha = post[heads]  # the pair's probabilities, approximated by conditioning on the first word's
-            pairs = alpha[:, :, None] * step[None] * e[heads + 1][:, None, :] * 1.0
+            pairs = alpha[heads][:, :, None] * np.exp(crf.trans)[None] * sent[heads + 1][:, None, :]
             pairs /= pairs.sum(axis=(1, 2), keepdims=True)
             gt = pairs.sum(0)
             np.add.at(gt, (gold[heads], gold[heads + 1]), -1)
@@ -173,10 +173,13 @@ def train(texts: list[str], langs: list[str], bits: int = 18, epochs: int = 12,
     return crf
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 5, held: int = 0, per_language: int = 192, max_chars: int = 20_000, **options) -> Crf:
-    """A model of at most per_language documents a language, none of the held-out fold, of at most max_chars characters."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 5, held: int = 0, per_language: int = 192, max_languages: int = 200, max_chars: int = 20_000, **options) -> Crf:
+    """A model of at most per_language documents of each of the max_languages commonest languages, none of the held-out
+    fold, of at most max_chars characters each."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     learn = docs.where((fold(F.col("doc_id"), modulus) != held) & F.col("lang").isNotNull())
+    common = learn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).select("lang")
+    learn = learn.join(F.broadcast(common), "lang", "left_semi")
     rows = sample_rows(learn, ["doc_id"], F.col("lang"), per_language, max_chars, ["text", "lang"])
     return train([r["text"] for r in rows], [r["lang"] for r in rows], **options)
 
@@ -202,18 +205,17 @@ def label(docs: DataFrame, model: Crf, text_col: str = "text", keep: list[str] |
             n = len(spans.counts)
             if not model.labels or not len(spans):
                 return [[UNKNOWN] * n, np.zeros(n), [[]] * n]
-            post, _ = model.marginals(spans)
+            post = model.marginals(spans)[0]
             share = np.column_stack([sums_by(spans.first, post[:, c].astype(np.float64)) for c in range(post.shape[1])]) / np.maximum(spans.counts, 1)[:, None]
             best = np.where(spans.counts > 0, share.argmax(1), len(model.labels))
             return [list(names[best]), np.where(spans.counts > 0, np.clip(share.max(1), 0, 1), 0.0), list(share.astype(np.float32))]
 
         return kernel
 
-    out = kernel_columns(docs, text_col, [T.StructField(o, k) for o, k in zip(own, kinds, strict=True)], make, keep, 1 << 20)
-    letters = F.coalesce(docs[text_col].rlike(r"\p{L}"), F.lit(False)) if text_col not in keep else F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    if text_col not in keep:
-        out = kernel_columns(docs.withColumn(fresh("_letters", docs.columns), letters), text_col, [T.StructField(o, k) for o, k in zip(own, kinds, strict=True)], make, [*keep, fresh("_letters", docs.columns)], 1 << 20)
-        letters = F.col(fresh("_letters", docs.columns))
+    has = fresh("_letters", [*docs.columns, *own])
+    source = docs.withColumn(has, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    out = kernel_columns(source, text_col, [T.StructField(o, k) for o, k in zip(own, kinds, strict=True)], make, [*keep, has], 1 << 20)
+    letters = F.col(has)
     out = out.select(*keep, F.struct(F.when(letters, F.col(own[0])).otherwise(UNKNOWN).alias("lang"), F.when(letters, F.col(own[1])).otherwise(0.0).alias("score"), F.col(own[2]).alias("shares")).alias(name))
     out.langid_column = name
     return out
@@ -228,7 +230,7 @@ def predict(docs: DataFrame, model: Crf | None = None, id_col: str = "doc_id", t
     return made.select("doc_id", (fold(F.col("doc_id"), modulus) == held).alias("held_out"), x["lang"].alias("lang_pred"), x["score"].alias("score"))
 
 
-def keep_known(docs: DataFrame, min_score: float = 0.5, text_col: str = "text", **options) -> DataFrame:
+def keep_known(docs: DataFrame, min_score: float = 0.3, text_col: str = "text", **options) -> DataFrame:
     """docs whose language is known with at least min_score of their words; the columns stay as they are."""
     made = label(docs, fit(docs, text_col=text_col, **options), text_col)
     x = F.col(made.langid_column)
