@@ -75,9 +75,9 @@ def search(index: Index, queries: DataFrame, n: int = 50, delta_mode: str = "lib
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def add(index: Index, more: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> Index:
+def add(index: Index, more: DataFrame, id_col: str = "chunk_id", text_col: str = "text", queries: DataFrame | None = None) -> Index:
     """The index with further chunks: their postings are appended and the statistics follow."""
-    new = build(more, id_col, text_col)
+    new = build(more, id_col, text_col, queries=queries)
     n = index.n + new.n
     terms = index.terms.unionByName(new.terms).groupBy("term").agg(F.sum("df").alias("df"))
     return Index(index.postings.unionByName(new.postings), terms, n, (index.n * index.avgdl + new.n * new.avgdl) / n if n else 0.0, sorted({*index.first_ids, *new.first_ids})[: max(len(index.first_ids), len(new.first_ids))])

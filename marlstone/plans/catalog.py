@@ -309,6 +309,14 @@ def bm25_batch(spark, d):
     return found.select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"with {_bm25_sql(FIRST, 50)} select doc_id, round(score, 6) as score, cast(rank as int) as rank from bm")
+def bm25_incremental_add(spark, d):
+    docs, asked = corpus(spark, d), first_query(spark, d)
+    old = bm25.build(docs.where("chunk_id % 3 <> 0"), queries=asked)
+    found = bm25.search(bm25.add(old, docs.where("chunk_id % 3 = 0"), queries=asked), asked, 50)
+    return found.select(F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
 # ---- vector search
 
 DISTANCE = "round(1.0 - list_cosine_similarity(cast(e.embedding as double[]), cast(x.embedding as double[])), 9)"
@@ -410,6 +418,18 @@ def hydrate_text(spark, d):
     return fuse.hydrate(words, corpus(spark, d)).select(F.col("chunk_id").alias("doc_id"), "text")
 
 
+@query(_rrf_sql() + " select t.doc_id, cast(row_number() over (order by rrf desc, vr asc nulls last, br asc nulls last, t.doc_id) as int) as rank from top t join documents d on d.doc_id = t.doc_id order by rank limit 5")
+def rerank_passthrough(spark, d):
+    hits = ranked(fuse.rrf(*_sides(spark, d), by=None), F.desc("rrf_score"), F.asc_nulls_last("vector_rank"), F.asc_nulls_last("bm25_rank"))
+    return fuse.rerank(fuse.hydrate(hits, corpus(spark, d)), "", 5).select(F.col("chunk_id").alias("doc_id"), "rank")
+
+
+@query(f"select vec_id as doc_id, file_path, doc_type from embeddings left join {FILES} f on f.doc_id = vec_id where doc_type = 'de' and label < 5")
+def filtered_store_scan(spark, d):
+    s = store(spark, d).where(vector.predicate({"doc_type": "de"}) & (F.col("label") < 5))
+    return s.select(F.col("chunk_id").alias("doc_id"), "file_path", "doc_type")
+
+
 # ---- tables
 
 DISK = f"(select file_path, n_chars + case when doc_id % 10 = 0 then 0.5 else 0 end as mtime, doc_id from {FILES} where doc_id % 11 <> 0)"
