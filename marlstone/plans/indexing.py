@@ -1,7 +1,7 @@
 """Indexing: difference, extraction, chunks, metadata, prefix, vectors, upsert, clean-up, tracking.
 
-A run is one plan over the changed files; a file that fails is a row. The store changes in one step at the end, so a
-failed run leaves the last state.
+A run is one plan over the changed files; a file that fails is a row. The store changes in one step at the end, in the
+buckets of changed files alone, so a failed run leaves the last state.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone import schema
-from marlstone.functions.text import content_hash, strip
+from marlstone.functions.text import chunk_id, content_hash, strip
 from marlstone.operators import chunk, embed, metadata, tables
 from marlstone.operators.snapshot import Snapshot
 from marlstone.sources import extract, scan
@@ -53,8 +53,8 @@ class Indexer:
         changes.unpersist()
         return summary
 
-    def build(self, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(chunks, results) of the new and changed files; only these are opened."""
+    def build(self, changes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(chunks, results, extracted files) of the new and changed files; only these are opened. The last is persisted."""
         paths = changes.where("change <> 'deleted'").select("file_path")
         opened = scan.files(self.spark, self.root, content=True).join(paths, "file_path", "left_semi")
         read = extract.extract_files(opened).persist()
@@ -66,24 +66,23 @@ class Indexer:
         if self.prefix:
             text = F.concat(metadata.context_prefix(*[F.col(c) for c in ("doc_title", "doc_author", "doc_created", "fs_modified", "file_name", "relative_path")]), text)
         rows = rows.withColumn("text", text).where(strip(F.col("text")) != "")
-        from marlstone.functions.text import chunk_id
-
         rows = rows.withColumn("chunk_id", chunk_id(F.col("file_path"), F.col("chunk_index"))).withColumn("embedding", embed.embedded(F.col("text"), self.embedder))
         results = read.select("file_path", "mtime", F.col("extraction.success").alias("success"), F.col("extraction.error").alias("error"))
-        return rows.select(*[f.name for f in schema.CHUNK.fields]), results
+        return rows.select(*[f.name for f in schema.CHUNK.fields]), results, read
 
     def _apply(self, changes: DataFrame, now: str, skipped: int = 0) -> DataFrame:
-        chunks, results = self.build(changes)
-        gone, old = changes.where("change = 'deleted'"), self.store.read()
-        done = results.where("success").select("file_path")
-        kept = tables.delete_files(tables.delete_files(old, gone), done)  # a re-indexed file's chunks go whole, stale ones with them
-        self.store.write(kept.unionByName(chunks))
-        tracked = tables.delete_files(self.tracker.read(), gone)
+        chunks, results, read = self.build(changes)
+        gone, done = changes.where("change = 'deleted'"), results.where("success").select("file_path")
+        # a re-indexed file's chunks go whole, stale ones with them
+        self.store.change(changes, lambda old: tables.delete_files(tables.delete_files(old, gone), done).unionByName(chunks))
         rows = results.where("success").select("file_path", F.col("mtime").alias("file_mtime"), content_hash(F.col("file_path"), F.col("mtime")).alias("content_hash"), F.lit(now).alias("last_indexed"), F.lit(True).alias("is_indexed"), F.lit(None).cast("string").alias("error_msg"), F.lit(self.embedder.name).alias("embedding_model"))
         failed = results.where("not success").select("file_path", F.col("error").alias("error_msg"))
-        self.tracker.write(tables.record_errors(tables.upsert(tracked, rows, "file_path"), failed))
-        counted = self.store.read().groupBy("file_path").agg(F.count("*").alias("n_chunks"))
+        self.tracker.change(changes, lambda old: tables.record_errors(tables.upsert(tables.delete_files(old, gone), rows, "file_path"), failed))
+        counted = self.store.read().join(done, "file_path", "left_semi").groupBy("file_path").agg(F.count("*").alias("n_chunks"))
         outcome = results.select("file_path", F.when(F.col("success"), "success").otherwise("failed").alias("status")).join(counted, "file_path", "left")
         if skipped:
             outcome = outcome.unionByName(self.spark.range(skipped).select(F.lit(None).cast("string").alias("file_path"), F.lit("skipped").alias("status"), F.lit(None).cast("long").alias("n_chunks")))
-        return tables.run_summary(outcome)
+        summary = tables.run_summary(outcome)
+        out = self.spark.createDataFrame([summary.first()], summary.schema)
+        read.unpersist()
+        return out

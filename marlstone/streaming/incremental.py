@@ -34,11 +34,12 @@ def index_stream(indexer: Indexer, checkpoint: str, glob: str | None = None):
 
 
 def upsert_stream(changes: DataFrame, target: Snapshot, key: str, order: list, checkpoint: str):
-    """Keeps in target the last row of each key of a stream of changes."""
+    """Keeps in target, which lies in buckets by the same key, the last row of each key of a stream of changes."""
 
     def apply(batch: DataFrame, _: int) -> None:
-        new = tables.latest(batch, key, order)
-        target.write(tables.latest(target.read().unionByName(new), key, order))
+        new = tables.latest(batch, key, order).persist()
+        target.change(new, lambda old: tables.latest(old.unionByName(new), key, order))
+        new.unpersist()
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -126,12 +126,19 @@ def test_tracker(spark):
 
 
 def test_snapshot(spark, tmp_path):
-    s = Snapshot(spark, str(tmp_path / "t"), TRACKER)
+    def row(name, mtime):
+        return spark.createDataFrame([(name, mtime, "h", "t", True, None, None)], TRACKER)
+
+    s = Snapshot(spark, str(tmp_path / "t"), TRACKER, buckets=64)
     assert s.read().count() == 0
-    s.write(spark.createDataFrame([("a", 1.0, "h", "t", True, None, None)], TRACKER))
-    s.write(tables.upsert(s.read(), spark.createDataFrame([("b", 1.0, "h", "t", True, None, None)], TRACKER), "file_path"))
-    assert sorted(r[0] for r in s.read().select("file_path").collect()) == ["a", "b"]
-    assert len([p for p in os.listdir(tmp_path / "t") if p.startswith("v-")]) == 1
+    s.write(row("a", 1.0).union(row("b", 1.0)))
+    before = s.current()
+    s.change(row("a", 2.0), lambda old: tables.upsert(old, row("a", 2.0), "file_path"))
+    after = s.current()
+    assert {(r["file_path"], r["file_mtime"]) for r in s.read().collect()} == {("a", 2.0), ("b", 1.0)}
+    assert len(after) == 2 and len(set(before.items()) & set(after.items())) == 1  # b's bucket was not written again
+    s.change(row("b", 0.0), lambda old: old.where("file_path <> 'b'"))
+    assert [r["file_path"] for r in s.read().collect()] == ["a"] and len(s.current()) == 1
 
 
 @pytest.fixture
