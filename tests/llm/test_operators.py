@@ -518,6 +518,7 @@ def test_surrogates(spark):
         "",
         "x" * 100_000 + " 123-45-6789",
         "DE89370400440532013000 and DE89 3704 0044 0532 0130 00",
+        "+49 30 1234567, 555.123.4567, 378282246310005 and 3782 822463 10005; 2024-01-02 10:11:12, 1,234,567, 3.14159, 192.168",
     ]
     df = with_clashes(docs_of(spark, texts))
     out = pii.replace(df, "k", counts=True)
@@ -538,6 +539,8 @@ def test_surrogates(spark):
     assert new[4] == texts[4] and new[5] is None and new[6] == "" and "123-45-6789" not in new[7] and len(new[7]) == len(texts[7])
     a, b = re.fullmatch(r"(DE\S+) and (DE.+)", new[8]).groups()
     assert a == b.replace(" ", "") and a != "DE89370400440532013000"
+    m = re.fullmatch(r"\+(\d\d \d\d \d{7}), (\d{3}\.\d{3}\.\d{4}), (\d{15}) and (\d{4} \d{6} \d{5}); 2024-01-02 10:11:12, 1,234,567, 3\.14159, 192\.168", new[9])
+    assert m and m[1] != "49 30 1234567" and m[2] != "555.123.4567" and m[3] == m[4].replace(" ", "") != "378282246310005"
 
 
 def test_surrogates_stay_distinct(spark, monkeypatch):
