@@ -96,11 +96,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "te
     shards = list(index_shards(benchmark, n, item_col, item_text_col, shard_bytes))
     for k, index in enumerate(shards or [GramIndex([], n)]):
         handle = spark.sparkContext.broadcast(index)
-        part = kernel_columns(out, text_col, [T.StructField(f"{f.name}{k}", f.dataType) for f in fields], lambda h=handle: _kernel(h.value))
+        new = [fresh(f"_e{i}", [*columns, *own]) for i in range(3)]
+        part = kernel_columns(out, text_col, [T.StructField(n, f.dataType) for n, f in zip(new, fields, strict=True)], lambda h=handle: _kernel(h.value))
         if first:
-            out = part.withColumnsRenamed({f"{o}{k}": o for o in own})
+            out = part.withColumnsRenamed(dict(zip(new, own, strict=True)))
         else:
-            out = part.select(*columns, F.col(own[0]), *[F.array_distinct(F.concat(F.col(o), F.col(f"{o}{k}"))).alias(o) for o in own[1:]])
+            out = part.select(*columns, F.col(own[0]), *[F.array_distinct(F.concat(F.col(o), F.col(n))).alias(o) for o, n in zip(own[1:], new[1:], strict=True)])
         first = False
         if k + 1 < len(shards):
             out = written(out, "decontam")

@@ -181,7 +181,7 @@ def replace(docs: DataFrame, key: str, text_col: str = "text", counts: bool = Fa
     whatever they are called. An empty table gives an empty one.
     """
     columns = list(docs.columns)
-    rid, ents, count = fresh("_rid", columns), fresh("_ents", columns), fresh("n_replaced", columns)
+    rid, ents, count, row, new = (fresh(x, columns) for x in ("_rid", "_ents", "n_replaced", "_row", "_new"))
     text = F.col(text_col)
     has = F.coalesce(text.rlike(HINT) & text.rlike(ANY), F.lit(False))
     clean = docs.where(~has)
@@ -191,10 +191,10 @@ def replace(docs: DataFrame, key: str, text_col: str = "text", counts: bool = Fa
     spots = written(spots.withColumn("form", normal_form(F.col("kind"), F.col("entity"))).withColumn("style", style_of(F.col("kind"), F.col("entity"))), "spots")
     table = dictionary(spots.select("kind", "form", "style"), key)
     laid = spots.join(table, ["kind", "form", "style"]).select("rid", F.struct("at", lay_out(F.col("kind"), F.col("entity"), F.col("made")).alias("new")).alias("spot"))
-    rows = laid.groupBy("rid").agg(F.sort_array(F.collect_list("spot")).alias("spots")).select(F.col("rid").alias("_r"), F.transform("spots", lambda s: s["new"]).alias("_new"))
-    joined = held.join(rows, F.col(rid) == F.col("_r"))
+    rows = laid.groupBy("rid").agg(F.sort_array(F.collect_list("spot")).alias("spots")).select(F.col("rid").alias(row), F.transform("spots", lambda s: s["new"]).alias(new))
+    joined = held.join(rows, F.col(rid) == F.col(row))
     pieces = F.split(text, ANY, -1)
-    whole = F.array_join(F.flatten(F.zip_with(pieces, F.col("_new"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    whole = F.array_join(F.flatten(F.zip_with(pieces, F.col(new), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     out = joined.select(*[(whole.alias(c) if c == text_col else F.col(c)) for c in columns], F.size(ents).cast("long").alias(count))
     out = out.unionByName(clean.withColumn(count, F.lit(0).cast("long")))
     return out if counts else out.select(*columns)

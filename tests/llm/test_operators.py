@@ -46,7 +46,7 @@ ODD = ["", None, "   ", "x", "é" * 5, "word " * 30_000, "a\nb\nb\nb", "\x00\x01
 
 def with_clashes(df):
     """Columns named as the operators name theirs."""
-    names = ["score", "text2", "decontam", "langid", "quality", "_text", "rid", "kept", "n_replaced", "_rid", "class_id", "label"]
+    names = ["score", "text2", "decontam", "langid", "quality", "_text", "rid", "kept", "n_replaced", "_rid", "class_id", "label", "_row", "_new", "_d0", "_e0", "_lang", "_letters", "_kept", "n"]
     return df.withColumns({n: F.lit("mine") for n in names})
 
 
@@ -597,3 +597,22 @@ def test_stages_keep_columns(spark, small):
         out = shared.written(stage(spark, docs, small), "stage")
         assert out.columns == docs.columns and out.dtypes == docs.dtypes
         docs = out
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline as p
+
+    spark.createDataFrame([(0, "same text here now ok")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for texts in (ODD, []):
+        df = with_clashes(docs_of(spark, texts, [None if i % 3 == 0 else "en" for i in range(len(texts))]))
+        if texts:
+            df = df.unionByName(df.where("doc_id = 3")).unionByName(df.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+        for name, stage in p.STAGES[:-1]:
+            out = stage(spark, df, str(tmp_path))
+            assert out.columns == df.columns, name
+            rows = out.collect()
+            if name == "deduplicate" and texts:
+                assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == [0, 1, 2, 3, 4, 5, 6, 7, 8, 9]
+            if name == "decontaminate" and texts:
+                assert {r["doc_id"] for r in rows} == {0, 1, 2, 3, 4, 5, 6, 7, 8, None}
+        p.STAGES[-1][1](spark, df, str(tmp_path)).collect()
