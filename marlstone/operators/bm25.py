@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,7 +96,7 @@ def load(spark, path: str, fingerprint: str) -> Index | None:
     """A saved index of just this corpus, or None. The fingerprint covers texts too, so an edited text is never served stale."""
     try:
         m = spark.read.parquet(f"{path}/manifest").first()
-    except Exception:
+    except AnalysisException:  # nothing there
         return None
     if m is None or m["fingerprint"] != fingerprint:
         return None
