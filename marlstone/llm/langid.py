@@ -15,15 +15,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import fold, fresh, kernel_columns, sample_rows
-from .textbytes import LETTERS, LOWER, Spans, U, mix, of_texts, sums_by
+from .textbytes import LETTERS, LOWER, Spans, U, of_texts, sums_by
 
 UNKNOWN = "und"
 _A, _B, _C = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 
 
+def _slot(h: np.ndarray, shift) -> np.ndarray:
+    """The table's row of a hash."""
+    h = h ^ (h >> U(31))
+    h *= U(0xD6E8FEB86659FD93)
+    h >>= shift
+    return h.view(np.int64)
+
+
 def features(spans: Spans, bits: int):
     """(indices, word of each index) in word order within each of some kinds: n-grams at positions, then one a word."""
-    data, n = spans.data, len(spans.data)
+    data = spans.data
     shift = U(64 - bits)
     lens = spans.ends - spans.starts
     word = np.repeat(np.arange(len(spans)), lens)
@@ -38,18 +46,18 @@ def features(spans: Spans, bits: int):
     second = padded[pos + 2]
     g2 = before * _A + b0 * _B + U(2)
     g3 = g2 + after * _C + U(3)
-    kinds = [((mix(g2) >> shift), word), ((mix(g3) >> shift), word)]
+    kinds = [(_slot(g2, shift), word), (_slot(g3, shift), word)]
     room = pos + 2 <= last
-    kinds.append((mix(g3[room] * _A + second[room] * _B + U(4)) >> shift, word[room]))
+    kinds.append((_slot(g3[room] * _A + second[room] * _B + U(4), shift), word[room]))
     for k in (3, 5):
         fits = np.flatnonzero(lens >= k)
         for begin, tag in ((spans.starts[fits], 10), (spans.ends[fits] - k, 20)):
             h = np.full(len(fits), U(tag + k))
             for i in range(k):
                 h = h * _A + padded[begin + i]
-            kinds.append((mix(h) >> shift, fits))
-    kinds.append((mix(spans.hashes(LOWER) ^ _C) >> shift, np.arange(len(spans))))
-    return [(i.astype(np.int64), w) for i, w in kinds], n
+            kinds.append((_slot(h, shift), fits))
+    kinds.append((_slot(spans.hashes(LOWER) ^ _C, shift), np.arange(len(spans))))
+    return kinds
 
 
 @dataclass
@@ -65,7 +73,7 @@ class Crf:
         if len(spans):
             lens = spans.ends - spans.starts
             at = np.concatenate(([0], np.cumsum(lens)))[:-1]
-            kinds, _ = features(spans, self.bits)
+            kinds = features(spans, self.bits)
             dense = self.weights[kinds[0][0]] + self.weights[kinds[1][0]]
             room = np.flatnonzero(np.arange(len(dense)) - np.repeat(at, lens) + 2 <= np.repeat(lens, lens) - 1)
             dense[room] += self.weights[kinds[2][0]]
@@ -78,33 +86,40 @@ class Crf:
         """By forward-backward over each text's whole chain: each word's label probabilities, its forward message, and what
         it sends back (its emission times its backward message), each up to a factor."""
         emit = self.emissions(spans) if emit is None else emit
-        e = np.exp(emit - emit.max(axis=1, keepdims=True)) if len(emit) else emit
+        n = len(self.labels)
         order = np.argsort(-spans.counts, kind="stable")
-        counts, first = spans.counts[order], spans.first[:-1][order]
-        alive = np.searchsorted(-counts, -np.arange(1, (counts[0] if len(counts) else 0) + 1), "right")  # texts with word t
-        step, prior = np.exp(self.trans).astype(np.float32), np.exp(self.start).astype(np.float32)
-        alpha = np.empty_like(e)
+        alive = np.searchsorted(-spans.counts[order], -np.arange(1, (spans.counts.max() if len(spans.counts) else 0) + 1), "right")
+        # words by place in their text, the longest texts first: a step of all texts is one slice
+        begin = np.concatenate(([0], np.cumsum(alive)))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        doc = spans.doc
+        at = begin[np.arange(len(doc)) - spans.first[:-1][doc]] + rank[doc]
+        e = np.empty((len(doc), n), np.float32)
+        e[at] = np.exp(emit - emit.max(axis=1, keepdims=True)) if len(emit) else emit
+        step, prior, ones = np.exp(self.trans).astype(np.float32), np.exp(self.start).astype(np.float32), np.ones((n, n), np.float32)
+        alpha, beta, sent = np.empty_like(e), np.empty_like(e), np.empty_like(e)
+        bounds = begin.tolist()
         prev = None
-        for t, k in enumerate(alive.tolist()):
-            rows = first[:k] + t
-            now = e[rows] * (prior if t == 0 else prev[:k] @ step)
-            now /= now.sum(axis=1, keepdims=True)
-            alpha[rows] = prev = now
-        beta = np.ones((len(counts), len(self.labels)), np.float32)
-        out, sent = np.empty_like(e), np.empty_like(e)
-        back = step.T.copy()
-        for t in range(len(alive) - 1, -1, -1):
-            k = alive[t]
-            rows = first[:k] + t
-            b = beta[:k]
-            post = alpha[rows] * b
-            post /= post.sum(axis=1, keepdims=True)
-            out[rows] = post
-            sent[rows] = now = e[rows] * b
-            nxt = now @ back
-            nxt /= nxt.max(axis=1, keepdims=True)
-            beta[:k] = nxt
-        return out, alpha, sent
+        for i, j in zip(bounds, bounds[1:], strict=False):
+            now = alpha[i:j]
+            if prev is None:
+                now[:] = prior
+            else:
+                np.matmul(prev[: j - i], step, out=now)
+            now *= e[i:j]
+            now /= now @ ones  # every column of the product is the row's sum
+            prev = now
+        back, message = step.T.copy(), np.ones((len(order), n), np.float32)
+        for i, j in zip(bounds[-2::-1], bounds[:0:-1], strict=True):
+            now, own = sent[i:j], message[: j - i]
+            beta[i:j] = own
+            np.multiply(e[i:j], own, out=now)
+            np.matmul(now, back, out=own)
+            own /= own @ ones
+        out = alpha * beta
+        out /= out.sum(axis=1, keepdims=True)
+        return out[at], alpha[at], sent[at]
 
 
 def train(texts: list[str], langs: list[str], bits: int = 18, epochs: int = 12, rate: float = 0.25, words: int = 150, switch: float = 0.3, decay: float = 2e-5, seed: int = 3) -> Crf:
@@ -149,7 +164,7 @@ def train(texts: list[str], langs: list[str], bits: int = 18, epochs: int = 12,
             post, alpha, sent = crf.marginals(spans, emit)
             delta = post.copy()
             delta[np.arange(len(gold)), gold] -= 1
-            kinds, _ = features(spans, bits)
+            kinds = features(spans, bits)
             index = np.concatenate([k[0] for k in kinds])
             word = np.concatenate([k[1] for k in kinds])
             rows, inv = np.unique(index, return_inverse=True)
