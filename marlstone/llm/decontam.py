@@ -22,25 +22,29 @@ _LOWER = bytes(LOWER)
 
 
 class GramIndex:
-    """Windows by length: sorted hashes, and of each hash the (bytes, item numbers) of its windows."""
+    """The items' words as one string, and by window size sorted window hashes with first words and item numbers.
+
+    16 bytes a window, besides the text.
+    """
 
     def __init__(self, items: list[tuple[int, str]], n: int):
-        grams: dict[int, dict[int, dict[bytes, set[int]]]] = {}
         self.ids = [i for i, _ in items]
-        for k, (_, text) in enumerate(items):
-            data, offsets = of_texts([text])
-            spans = Spans(data, offsets, ALNUM)
-            size = min(n, len(spans))
-            if size:
-                words = [bytes(data[a:b]).translate(_LOWER) for a, b in zip(spans.starts, spans.ends, strict=True)]
-                for at, h in enumerate(window_hashes(spans.hashes(LOWER), size).tolist()):
-                    grams.setdefault(size, {}).setdefault(h, {}).setdefault(b" ".join(words[at : at + size]), set()).add(k)
+        data, offsets = of_texts([t for _, t in items])
+        spans = Spans(data, offsets, ALNUM)
+        self.text = b" ".join(bytes(data[a:b]) for a, b in zip(spans.starts, spans.ends, strict=True)).translate(_LOWER)
+        self.at = np.concatenate(([0], np.cumsum(spans.ends - spans.starts + 1)))
+        hashes, size_of = spans.hashes(LOWER), np.minimum(n, spans.counts)
         self.sizes = {}
-        for size, table in grams.items():
-            keys = np.array(sorted(table), np.uint64)
+        for size in np.unique(size_of[size_of > 0]).tolist():
+            word = window_starts(spans.first, size)
+            item = spans.doc[word]
+            word, item = word[size_of[item] == size], item[size_of[item] == size]
+            keys = window_hashes(hashes, size)[word]
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
             seen = np.zeros(1 << 20, bool)
             seen[(keys >> U(44)).astype(np.int64)] = True
-            self.sizes[size] = (seen, keys, [table[k] for k in keys.tolist()])
+            self.sizes[size] = (seen, keys, word[order].astype(np.int32), item[order].astype(np.int32))
 
     def scan(self, spans: Spans):
         """Hit words (a mask) and, by text, the item numbers found."""
@@ -48,20 +52,21 @@ class GramIndex:
         if not len(spans):
             return hit, found
         hashes, doc, data = spans.hashes(LOWER), spans.doc, spans.data
-        for size, (seen, keys, tables) in self.sizes.items():
+        for size, (seen, keys, words, items) in self.sizes.items():
             at = window_starts(spans.first, size)
             h = window_hashes(hashes, size)[at]
             may = seen[(h >> U(44)).astype(np.int64)]
             at, h = at[may], h[may]
-            k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            same = keys[k] == h
+            low, high = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
+            some = high > low
             good = []
-            for p, j in zip(at[same].tolist(), k[same].tolist(), strict=True):
-                a, b = spans.starts[p : p + size], spans.ends[p : p + size]
-                items = tables[j].get(b" ".join(bytes(data[x:y]).translate(_LOWER) for x, y in zip(a, b, strict=True)))
-                if items:
+            for p, i, j in zip(at[some].tolist(), low[some].tolist(), high[some].tolist(), strict=True):
+                a, b = spans.starts[p : p + size].tolist(), spans.ends[p : p + size].tolist()
+                own = b" ".join(bytes(data[x:y]) for x, y in zip(a, b, strict=True)).translate(_LOWER)
+                same = {int(items[k]) for k in range(i, j) if self.text[self.at[words[k]] : self.at[words[k] + size] - 1] == own}
+                if same:
                     good.append(p)
-                    found[doc[p]] |= items
+                    found[doc[p]] |= same
             if good:
                 hit |= covered(np.array(good), size, len(spans))
         return hit, found
@@ -81,7 +86,7 @@ def index_shards(benchmark: DataFrame, n: int, id_col: str, text_col: str, shard
             yield GramIndex([tuple(r) for r in rows], n)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = 16 << 20) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = 8 << 20) -> DataFrame:
     """docs with a struct column of what the benchmark's windows hit; its name is returned in `.decontam_column`.
 
     Fields: n_words, n_hit (words inside a hit), hits (positions of hit words), items (ids found, sorted as strings).
