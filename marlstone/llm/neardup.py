@@ -169,7 +169,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     buckets still open with over `few` nodes are compared in blocks of about `block`.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
-    made = kernel_columns(docs, "text", FIELDS, lambda: _sign(bands, rows, width), ["doc_id", "th"], 1 << 20)
+    made = kernel_columns(docs, "text", FIELDS, lambda: _sign(bands, rows, width), ["doc_id", "th"], 1 << 19)
     signed = written(made.withColumn("rid", F.monotonically_increasing_id()), "signed")
     whole = signed.where("size > 0").groupBy("f1", "f2").agg(F.min("rid").alias("node"))
     nodes = written(signed.join(whole.select(F.col("node").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("node"), "doc_id", "th", "f1", "f2", "bands", "sketch"), "nodes")

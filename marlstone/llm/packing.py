@@ -26,7 +26,7 @@ class WordEncoder:
     New words are encoded together in one call, a special token between them.
     """
 
-    def __init__(self, path: str, separator: str = "<|endoftext|>", most: int = 2_500_000):
+    def __init__(self, path: str, separator: str = "<|endoftext|>", most: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -149,7 +149,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = 2048, p
         task = TaskContext.get().partitionId() << 36
         for batch in batches:
             data, offsets = utf8_column(batch.column(1))
-            for i, j in row_slices(offsets, 1 << 22):
+            for i, j in row_slices(offsets, 1 << 21):
                 flat, counts = coder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 # the ends go in after each text's ids
                 at = np.concatenate(([0], np.cumsum(counts + 1)))
