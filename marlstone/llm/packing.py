@@ -26,7 +26,7 @@ class WordEncoder:
     New words are encoded together in one call, a special token between them.
     """
 
-    def __init__(self, path: str, separator: str = "<|endoftext|>", most: int = 1_500_000):
+    def __init__(self, path: str, separator: str = "<|endoftext|>", most: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -40,7 +40,7 @@ class WordEncoder:
         """Adds words; keys ascend."""
         odd = [k for k, w in enumerate(words) if self.separator in w]
         joined = self.separator.join(w for k, w in enumerate(words) if k not in set(odd)) if odd else self.separator.join(words)
-        flat = np.array(self.tokenizer.encode(joined + self.separator, add_special_tokens=False).ids, np.uint32)
+        flat = np.array(self.tokenizer.encode_batch_fast([joined + self.separator], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(flat == self.mark)[: len(words) - len(odd)]
         begins = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
         at, lens = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
@@ -149,7 +149,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = 2048, p
         task = TaskContext.get().partitionId() << 36
         for batch in batches:
             data, offsets = utf8_column(batch.column(1))
-            for i, j in row_slices(offsets, 1 << 21):
+            for i, j in row_slices(offsets, 1 << 22):
                 flat, counts = coder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 # the ends go in after each text's ids
                 at = np.concatenate(([0], np.cumsum(counts + 1)))
