@@ -382,6 +382,23 @@ def test_lm_tables_are_log_probabilities():
     assert np.allclose(p.sum(2), 1, atol=1e-5)
 
 
+def test_lm_learns_from_all_texts(spark, small, monkeypatch):
+    """Class vectors see every training token; the classes grow with the corpus."""
+    seen, plain = [], lbl.learn_all
+
+    def spied(*args):
+        seen.append(plain(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(lbl, "learn_all", spied)
+    docs = queries.table(spark, small, "documents")
+    few = lbl.score(docs, sample_docs=1).collect()  # a start of next to nothing
+    assert seen[0].seen == few[0]["train_tokens"]
+    held = [r for r in few if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    assert lbl.class_count(1 << 22, 1024, 1 << 22) == 1024 and lbl.class_count(1 << 30, 1024, 1 << 22) == 4096
+
+
 def test_word_counter_is_bounded_and_exact():
     counter = lbl._Counter(most=50)
     texts = [" ".join(f"w{(i * j) % 97}" for j in range(60)) for i in range(40)]
