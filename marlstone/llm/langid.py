@@ -174,9 +174,9 @@ def train(texts: list[str], langs: list[str], bits: int = 18, epochs: int = 12,
             crf.weights[rows] -= rate * g / np.sqrt(g_w[rows])
             # transitions: expected pairs of neighbours' labels, less the given ones
             heads = np.flatnonzero(np.diff(doc, append=-1) == 0)
-            pairs = alpha[heads][:, :, None] * np.exp(crf.trans)[None] * sent[heads + 1][:, None, :]
-            pairs /= pairs.sum(axis=(1, 2), keepdims=True)
-            gt = pairs.sum(0)
+            step = np.exp(crf.trans)
+            both = ((alpha[heads] @ step) * sent[heads + 1]).sum(axis=1, keepdims=True)
+            gt = step * ((alpha[heads] / both).T @ sent[heads + 1])  # no array of labels x labels a word
             np.add.at(gt, (gold[heads], gold[heads + 1]), -1)
             gt /= len(batch)
             g_t += gt * gt
@@ -188,13 +188,11 @@ def train(texts: list[str], langs: list[str], bits: int = 18, epochs: int = 12,
     return crf
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 5, held: int = 0, per_language: int = 192, max_languages: int = 200, max_chars: int = 20_000, **options) -> Crf:
-    """A model of at most per_language documents of each of the max_languages commonest languages, none of the held-out
-    fold, of at most max_chars characters each."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 5, held: int = 0, per_language: int = 192, max_chars: int = 20_000, **options) -> Crf:
+    """A model of at most per_language documents of each language, none of the held-out fold, of at most max_chars
+    characters of each. Its table has a column a language."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     learn = docs.where((fold(F.col("doc_id"), modulus) != held) & F.col("lang").isNotNull())
-    common = learn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).select("lang")
-    learn = learn.join(F.broadcast(common), "lang", "left_semi")
     rows = sample_rows(learn, ["doc_id"], F.col("lang"), per_language, max_chars, ["text", "lang"])
     return train([r["text"] for r in rows], [r["lang"] for r in rows], **options)
 

@@ -77,7 +77,8 @@ def sample_ids(df: DataFrame, stratum: Column, salt: int, cells: int, hashed: Co
 
 
 def sample_rows(df: DataFrame, key: list[str], stratum: Column, cells: int, max_chars: int, columns: list[str], text_col: str = "text", salt: int = 7, ids_of: DataFrame | None = None) -> list:
-    """A bounded, deterministic sample as rows on the driver: at most `cells` a stratum, of them the texts of max_chars or less.
+    """A bounded, deterministic sample as rows on the driver: at most `cells` a stratum; of a text of more than
+    max_chars characters the passage of so many that the key's hash points to.
 
     The rows are chosen by the key alone (of `ids_of`, if given, a table with the key), so that no text moves but theirs.
     """
@@ -86,7 +87,9 @@ def sample_rows(df: DataFrame, key: list[str], stratum: Column, cells: int, max_
     if not ids:
         return []
     chosen = F.broadcast(df.sparkSession.createDataFrame([(i,) for i in ids], "_h long"))
-    found = df.withColumn("_h", hashed).where(F.length(text_col) <= max_chars).join(chosen, "_h", "left_semi")
+    length = F.length(text_col)
+    passage = F.when(length <= max_chars, F.col(text_col)).otherwise(F.substring(text_col, (F.pmod(F.col("_h"), length - max_chars + 1) + 1).cast("int"), F.lit(max_chars)))
+    found = df.withColumn("_h", hashed).where(F.col(text_col).isNotNull()).join(chosen, "_h", "left_semi").withColumn(text_col, passage)
     first = F.min(F.struct(*columns)) if len(columns) > 1 else F.min(columns[0])
     rows = found.groupBy("_h").agg(first.alias("_r")).collect()
     return [r["_r"] if len(columns) > 1 else {columns[0]: r["_r"]} for r in sorted(rows, key=lambda r: r["_h"])]

@@ -130,8 +130,8 @@ def train(positive: list[str], unlabelled: list[str], prior: float, n_features:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 4, held: int = 2, max_positive: int = 1500, max_unlabelled: int = 4000, max_chars: int = 20_000, **options) -> Classifier:
     """A classifier of samples of the learning folds: at most max_positive toxic and max_unlabelled other texts.
 
-    The prior is the share of toxic labels among the learning folds' labels. Each sample's texts have max_chars
-    characters at most.
+    The prior is the share of toxic labels among the learning folds' labels. Of a longer text a passage of max_chars
+    characters is taken.
     """
     learn = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(fold(F.col("doc_id"), modulus) != held)
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("mark")).where((fold(F.col("doc_id"), modulus) != held) & F.col("mark").isNotNull())

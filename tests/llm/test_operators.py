@@ -163,6 +163,17 @@ def test_langid_labels_switched_text(corpus):
     assert (label[:n] == 0).mean() > 0.9 and (label[n:] == 1).mean() > 0.9
 
 
+def test_langid_learns_languages_of_long_texts_alone_and_every_language(spark):
+    rng = np.random.default_rng(6)
+    say = lambda letters, n: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(n))
+    texts = [say("abcdefg", 40) for _ in range(20)] + [say("qrstuvw", 5000) for _ in range(20)]
+    rows = langid.predict(docs_of(spark, texts, ["short"] * 20 + ["long"] * 20)).collect()
+    assert all(r["lang_pred"] == ("short" if r["doc_id"] < 20 else "long") for r in rows)
+    names = [f"l{k:03d}" for k in range(203)]
+    crf = langid.fit(docs_of(spark, [f"w{n} x{n}" for n in names] * 3, names * 3), modulus=1, held=1, bits=10, epochs=1)
+    assert crf.labels == names
+
+
 # ---- 2
 
 
