@@ -14,7 +14,7 @@ from marlstone.llm.shared import written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of no known language, or of which most words are in none, go."""
+    """Documents without letters, or of no learned language by their trigrams, go."""
     return langid.keep_known(docs)
 
 

@@ -2,7 +2,9 @@
 
 Features of a word, hashed into one table: its letters' n-grams of 2 to 4 bytes (with the word's ends), prefixes and
 suffixes of 3 and 5 bytes, and the word itself (lexicon). Transitions are learned. Forward-backward gives each word's
-label probabilities; a text's language is the label with the largest sum of them, its score that label's share.
+label probabilities; a text's language is the label with the largest sum of them, its score that label's share. The
+labels' probabilities sum to 1 in any text, so a second test finds texts of no learned language: the mean log frequency
+of its letter trigrams, each in training text of its word's label, is far below that of training text not counted.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from .shared import fold, fresh, kernel_columns, sample_rows
 from .textbytes import LETTERS, LOWER, Spans, U, of_texts, sums_by
 
 UNKNOWN = "und"
+#: Of the test for texts of no learned language: what a letter may lack, over the root of the letters; deviations, and the least margin.
+SLACK, DEVIATIONS, MARGIN = 6.0, 6.0, 0.5
 _A, _B, _C = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 
 
@@ -67,13 +71,23 @@ class Crf:
     trans: np.ndarray
     start: np.ndarray
     bits: int
+    typical: np.ndarray | None = None  # features x labels: a trigram's log frequency, less the least mean of a text of the language
 
-    def emissions(self, spans: Spans) -> np.ndarray:
+    def foreign(self, spans: Spans, kinds: list, post: np.ndarray) -> np.ndarray:
+        """Which texts are of no learned language. A mean over few letters scatters more, so the limit gives way to short texts."""
+        if self.typical is None or not len(spans):
+            return np.zeros(len(spans.counts), bool)
+        index, word = kinds[1]
+        lens = spans.ends - spans.starts
+        sums = np.add.reduceat(self.typical[index, post.argmax(1)[word]].astype(np.float64), np.concatenate(([0], np.cumsum(lens)))[:-1])
+        return sums_by(spans.first, sums) < -SLACK * np.sqrt(sums_by(spans.first, lens))
+
+    def emissions(self, spans: Spans, kinds: list | None = None) -> np.ndarray:
         out = np.zeros((len(spans), len(self.labels)), np.float32)
         if len(spans):
             lens = spans.ends - spans.starts
             at = np.concatenate(([0], np.cumsum(lens)))[:-1]
-            kinds = features(spans, self.bits)
+            kinds = features(spans, self.bits) if kinds is None else kinds
             dense = self.weights[kinds[0][0]] + self.weights[kinds[1][0]]
             room = np.flatnonzero(np.arange(len(dense)) - np.repeat(at, lens) + 2 <= np.repeat(lens, lens) - 1)
             dense[room] += self.weights[kinds[2][0]]
@@ -144,7 +158,8 @@ def train(texts: list[str], langs: list[str], bits: int = 18, epochs: int = 12,
             joined.append(" ".join(piece) + "\n")
             gold_by.append((tag, tag))
     n_labels = max(1, len(labels))
-    crf = Crf(labels, np.zeros((1 << bits, n_labels), np.float32), np.full((n_labels, n_labels), -1.0) + 2 * np.eye(n_labels), np.zeros(n_labels), bits)
+    typical = typicality(pieces, tags, n_labels, bits) if labels else None
+    crf = Crf(labels, np.zeros((1 << bits, n_labels), np.float32), np.full((n_labels, n_labels), -1.0) + 2 * np.eye(n_labels), np.zeros(n_labels), bits, typical)
     if len(labels) < 2:
         return crf
     g_w, g_t, g_s = np.full_like(crf.weights, 1e-3), np.full_like(crf.trans, 1e-1), np.full_like(crf.start, 1e-1)
@@ -188,6 +203,32 @@ def train(texts: list[str], langs: list[str], bits: int = 18, epochs: int = 12,
     return crf
 
 
+def typicality(pieces: list[list[str]], tags: list[int], n_labels: int, bits: int) -> np.ndarray:
+    """Crf.typical of passages of words and their labels: frequencies of all; the limit of each half's passages by the
+    other half's frequencies. With fewer than 8 passages, each one's words are the halves, and the margin is 2 at least."""
+    spans = Spans(*of_texts([" ".join(p) for p in pieces]), LETTERS)
+    out = np.zeros((1 << bits, n_labels), np.float32)
+    if not len(spans):
+        return out
+    index, word = features(spans, bits)[1]
+    doc, label = spans.doc[word], np.array(tags)[spans.doc[word]]
+    logs = lambda x: np.log((np.bincount(x, minlength=1 << bits) + 0.5) / (len(x) + 0.5 * (len(np.unique(x)) + 1)))
+    for c in range(n_labels):
+        own, d = index[label == c], doc[label == c]
+        if not len(own):
+            continue
+        many = len(np.unique(d)) >= 8
+        half = (np.searchsorted(np.unique(d), d) if many else word[label == c]) % 2
+        means = []
+        for k in (0, 1):
+            x, of = logs(own[half == 1 - k]), d[half == k]
+            n = np.bincount(of)
+            means.append((np.bincount(of, x[own[half == k]]) / np.maximum(n, 1))[n > 0])
+        means = np.concatenate(means)
+        out[:, c] = logs(own) - means.mean() + max(DEVIATIONS * means.std(), MARGIN if many else 2.0)
+    return out
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 5, held: int = 0, per_language: int = 192, max_chars: int = 20_000, **options) -> Crf:
     """A model of at most per_language documents of each language, none of the held-out fold, of at most max_chars
     characters of each. Its table has a column a language."""
@@ -200,7 +241,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def label(docs: DataFrame, model: Crf, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (its `keep` columns, all by default) with a struct column, named in `.langid_column`: lang, score, shares.
 
-    lang is `und` and score 0 if the text is null or empty or has no letters, or if nothing was learned. shares are the
+    lang is `und` and score 0 if the text is null or empty, has no letters or is of no learned language, or if nothing was
+    learned. shares are the
     labels' shares of the words, in the model's order.
     """
     keep = list(docs.columns) if keep is None else keep
@@ -218,10 +260,12 @@ def label(docs: DataFrame, model: Crf, text_col: str = "text", keep: list[str] |
             n = len(spans.counts)
             if not model.labels or not len(spans):
                 return [[UNKNOWN] * n, np.zeros(n), [[]] * n]
-            post = model.marginals(spans)[0]
+            kinds = features(spans, model.bits)
+            post = model.marginals(spans, model.emissions(spans, kinds))[0]
+            known = (spans.counts > 0) & ~model.foreign(spans, kinds, post)
             share = np.column_stack([sums_by(spans.first, post[:, c].astype(np.float64)) for c in range(post.shape[1])]) / np.maximum(spans.counts, 1)[:, None]
-            best = np.where(spans.counts > 0, share.argmax(1), len(model.labels))
-            return [list(names[best]), np.where(spans.counts > 0, np.clip(share.max(1), 0, 1), 0.0), list(share.astype(np.float32))]
+            best = np.where(known, share.argmax(1), len(model.labels))
+            return [list(names[best]), np.where(known, np.clip(share.max(1), 0, 1), 0.0), list(share.astype(np.float32))]
 
         return kernel
 

@@ -151,6 +151,23 @@ def test_forward_backward_equals_enumeration():
             assert np.allclose(pair / total, both / both.sum(), atol=1e-4)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_unlearned_languages_and_gibberish_go(spark, corpus, n):
+    by = defaultdict(list)
+    for r in sorted(corpus.values(), key=lambda r: r["doc_id"]):
+        if r["text"] and len(r["text"].split()) >= 60:
+            by[r["lang"]].append(r["text"])
+    names = sorted(by)
+    known, other = [(g, t) for g in names[:n] for t in by[g]], by[names[3]][:10]
+    rng = np.random.default_rng(2)
+    noise = [" ".join("".join(rng.choice(list("qxzjkvwhcbpfy"), 6)) for _ in range(80)) for _ in range(10)]
+    model = langid.train([t for _, t in known], [g for g, _ in known])
+    made = langid.label(docs_of(spark, [t for _, t in known] + other + noise), model)
+    lang = {r["doc_id"]: r["langid"]["lang"] for r in made.select("doc_id", "langid").collect()}
+    assert np.mean([lang[i] != "und" for i in range(len(known))]) > 0.97
+    assert [lang[len(known) + i] for i in range(20)].count("und") >= 19
+
+
 def test_langid_labels_switched_text(corpus):
     by = defaultdict(list)
     for r in corpus.values():
