@@ -123,7 +123,7 @@ def _kernel(index: GramIndex):
         where = np.flatnonzero(hit)
         within = where - spans.first[doc[where]]
         hits = ragged(within.astype(np.int32), np.bincount(doc[where], minlength=len(spans.counts)), pa.int32())
-        items = [[str(index.ids[i]) for i in sorted(s) if index.ids[i] is not None] for s in found]
+        items = [sorted({str(index.ids[i]) for i in s if index.ids[i] is not None}) for s in found]
         return [spans.counts, hits, pa.array(items, pa.list_(pa.string()))]
 
     return kernel

@@ -344,6 +344,19 @@ def test_decontam_shards_spans_and_documents(spark):
     assert cut == ["A b  c", texts[1], ". here", None, "clean words"]
 
 
+def test_decontam_repeated_items_equal_the_sql(spark, tmp_path):
+    d = str(tmp_path)
+    passage = " ".join(f"p{i}" for i in range(14))
+    items = [(1, passage), (1, passage), (2, "short item"), (2, "other words"), (2, "short item")]
+    docs_of(spark, [passage + " short item", "other words, short item", "clean"]).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    docs, bench = queries.table(spark, d, "documents"), queries.table(spark, d, "benchmark")
+    one = decontam.report(docs, bench).orderBy("doc_id").collect()
+    assert [r["n_items"] for r in one] == [2, 1, 0]
+    assert decontam.report(docs, bench, shard_bytes=20).orderBy("doc_id").collect() == one
+    same(decontam.report(docs, bench), queries.ORACLE_SQL["op4_decontam"], d)
+
+
 # ---- 5
 
 
