@@ -44,6 +44,9 @@ SYLLABLES = {
 }
 
 TITLE = "|".join(t for names in TITLES.values() for t in names)
+#: A word of a name: an initial, or a capital and letters of either case, over hyphens and apostrophes but for a genitive's.
+NAME = r"\p{Lu}(?:\.(?= \p{Lu})|[\p{L}\p{M}]*+(?:(?:-|['’](?!s(?!\p{L})))\p{L}[\p{L}\p{M}]*+)*+)"
+PARTICLES = "van|von|der|den|de|del|della|di|da|do|dos|du|la|le|bin|al|ter|zu|af|av"
 #: Possessive and anchored, so that a long run without an entity costs its length once.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)*\.[A-Za-z]{2,}+",
@@ -52,8 +55,8 @@ PATTERNS = {
     "phone": r"(?<![\w+])(?:(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{3}[.\- ])\d{3}[.\- ]\d{4}|\+\d(?:[ .\-()]{0,2}\d){7,14})(?!\w)",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}+|(?: \d{4}){3,7}+(?: \d{1,3})?)(?!\w)",
-    "key": r"(?<!\w)(?=[a-fA-F]*+\d)[0-9a-fA-F]{32,128}+(?!\w)",
-    "name": r"(?<!\p{L})(?:" + TITLE + r")\.? \p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++){0,2}+",
+    "key": r"(?<!\w)(?=[a-fA-F]*+\d)[0-9a-fA-F]{32,}+(?!\w)",
+    "name": r"(?<!\p{L})(?:" + TITLE + r")\.? " + NAME + r"(?:(?: (?:" + PARTICLES + r")){0,3}+ " + NAME + r")*+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A cheap look first: most texts have none of these.
@@ -113,12 +116,13 @@ def surrogate(kind: Column, form: Column, title: Column, key: str, attempt: Colu
     area = F.when(F.length(form) > 10, F.length(form) - 10).otherwise(0)
     phone = F.concat(F.substring(form, F.lit(1), area), F.substring(drawn, area + 1, F.length(form)))
     iban = F.concat(F.substring(form, 1, 2), F.upper(_alike(F.lower(F.substring(form, F.lit(3), F.length(form))), digest)))
-    hexed = F.substring(F.concat(digest, digest), F.lit(1), F.length(form))
+    long = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(form) / 128).cast("int")), lambda i: F.sha2(F.concat(digest, i.cast("string")), 512)), "")
+    hexed = F.substring(F.when(F.length(form) > 256, long).otherwise(F.concat(digest, digest)), F.lit(1), F.length(form))
     return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", drawn).when(kind == "iban", iban).when(kind == "key", hexed).otherwise(_name(form, title, digest))
 
 
 def _name(form: Column, style: Column, digest: Column) -> Column:
-    """As many names as form has: a given name of the style, if there are several, and surnames of syllables."""
+    """As many names as form has, three at most: a given name of the style, if there are several, and surnames of syllables."""
     def draw(values, b: Column) -> Column:
         return F.element_at(F.array(*[F.lit(v) for v in values]), b % len(values) + 1)
 
@@ -177,11 +181,12 @@ def dictionary(found: DataFrame, key: str, most: int = 64) -> DataFrame:
 def replace(docs: DataFrame, key: str, text_col: str = "text", counts: bool = False) -> DataFrame:
     """docs with each entity in text_col replaced; with `counts`, a column n_replaced (or that name after underscores).
 
-    A null or empty text stays as it is. Rows that repeat get equal texts. Columns keep their names, types and order,
+    A null or empty text stays as it is. Rows that repeat get equal texts. Mentions without a
+    title of a name that has one elsewhere in its text, or of its last word, are replaced and counted, too. Columns keep their names, types and order,
     whatever they are called. An empty table gives an empty one.
     """
     columns = list(docs.columns)
-    rid, ents, count, row, new = (fresh(x, columns) for x in ("_rid", "_ents", "n_replaced", "_row", "_new"))
+    rid, ents, count, row, new, names = (fresh(x, columns) for x in ("_rid", "_ents", "n_replaced", "_row", "_new", "_names"))
     text = F.col(text_col)
     has = F.coalesce(text.rlike(HINT) & text.rlike(ANY), F.lit(False))
     clean = docs.where(~has)
@@ -190,11 +195,25 @@ def replace(docs: DataFrame, key: str, text_col: str = "text", counts: bool = Fa
     spots = spots.withColumn("kind", kind_of(F.col("entity")))
     spots = written(spots.withColumn("form", normal_form(F.col("kind"), F.col("entity"))).withColumn("style", style_of(F.col("kind"), F.col("entity"))), "spots")
     table = dictionary(spots.select("kind", "form", "style"), key)
-    laid = spots.join(table, ["kind", "form", "style"]).select("rid", F.struct("at", lay_out(F.col("kind"), F.col("entity"), F.col("made")).alias("new")).alias("spot"))
-    rows = laid.groupBy("rid").agg(F.sort_array(F.collect_list("spot")).alias("spots")).select(F.col("rid").alias(row), F.transform("spots", lambda s: s["new"]).alias(new))
+    laid = spots.join(table, ["kind", "form", "style"]).select("rid", F.struct("at", lay_out(F.col("kind"), F.col("entity"), F.col("made")).alias("new"), F.when(F.col("kind") == "name", F.col("form")).alias("form"), "made").alias("spot"))
+    rows = laid.groupBy("rid").agg(F.sort_array(F.collect_list("spot")).alias("spots")).select(F.col("rid").alias(row), F.transform("spots", lambda s: s["new"]).alias(new), F.filter("spots", lambda s: s["form"].isNotNull()).alias(names))
     joined = held.join(rows, F.col(rid) == F.col(row))
-    pieces = F.split(text, ANY, -1)
+    plain = F.split(text, ANY, -1)
+    last = lambda c: F.substring_index(c, " ", -1)
+    full = F.transform(names, lambda s: F.struct(s["form"].alias("form"), s["made"].alias("made")))
+    pairs = F.concat(full, F.transform(F.filter(full, lambda s: s["form"].contains(" ")), lambda s: F.struct(last(s["form"]).alias("form"), last(s["made"]).alias("made"))))
+    joined = joined.withColumn(names, pairs)
+    known = F.reverse(F.array_sort(F.transform(names, lambda s: F.struct(F.length(s["form"]).alias("n"), s["form"].alias("form")))))
+    mention = F.concat(F.lit(r"(?<![\p{L}\p{M}])(?:"), F.array_join(F.transform(known, lambda s: F.concat(F.lit(r"\Q"), s["form"], F.lit(r"\E"))), "|"), F.lit(r")(?!-?[\p{L}\p{M}])"))
+
+    def renamed(piece: Column) -> Column:
+        again = F.transform(F.regexp_extract_all(piece, mention, F.lit(0)), lambda m: F.filter(F.col(names), lambda s: s["form"] == m)[0]["made"])
+        return F.array_join(F.flatten(F.zip_with(F.split(piece, mention, -1), again, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+
+    named = F.size(names) > 0
+    pieces = F.when(named, F.transform(plain, renamed)).otherwise(plain)
+    later = F.when(named, F.aggregate(F.transform(plain, lambda p: F.size(F.regexp_extract_all(p, mention, F.lit(0)))), F.lit(0), lambda a, x: a + x)).otherwise(0)
     whole = F.array_join(F.flatten(F.zip_with(pieces, F.col(new), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    out = joined.select(*[(whole.alias(c) if c == text_col else F.col(c)) for c in columns], F.size(ents).cast("long").alias(count))
+    out = joined.select(*[(whole.alias(c) if c == text_col else F.col(c)) for c in columns], (F.size(ents) + later).cast("long").alias(count))
     out = out.unionByName(clean.withColumn(count, F.lit(0).cast("long")))
     return out if counts else out.select(*columns)

@@ -601,6 +601,23 @@ def test_surrogates(spark):
     assert m and m[1] != "49 30 1234567" and m[2] != "555.123.4567" and m[3] == m[4].replace(" ", "") != "378282246310005"
 
 
+def test_whole_names_and_later_mentions(spark):
+    key = "9a" * 300
+    texts = [
+        "Mr Jean-Luc Picard and Ms McDonald met Mrs O'Brien. Jean-Luc Picard said: Picard's ship, Picardy.",
+        "Señor Juan Carlos Garcia Lopez; Señor Juan Carlos Garcia Diaz; Herr Ludwig von Beethoven; Mr J. R. Smith's car; Mr. Kim left.",
+        f"token={key}",
+    ]
+    rows = {r["doc_id"]: r for r in pii.replace(docs_of(spark, texts), "k", counts=True).collect()}
+    new = {i: r["text"] for i, r in rows.items()}
+    m = re.fullmatch(r"Mr (\w+ \w+) and Ms (\w+) met Mrs (\w+)\. (\w+ \w+) said: (\w+)'s ship, Picardy\.", new[0])
+    assert m and m[1] == m[4] and m[5] == m[1].split()[-1] and rows[0]["n_replaced"] == 5
+    m = re.fullmatch(r"Señor (\w+ \w+ \w+); Señor (\w+ \w+ \w+); Herr (\w+(?: \w+)+); Mr (\w+(?: \w+)+)'s car; Mr\. (\w+) left\.", new[1])
+    assert m and m[1] != m[2]
+    assert not re.search(r"Picard\b|Luc|Donald|Brien|Garcia|Lopez|Diaz|Beethoven|Smith|Kim", new[0] + new[1])
+    assert re.fullmatch(r"token=[0-9a-f]{600}", new[2]) and key not in new[2]
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     ids = [f"{a}.{b}.{c}.7" for a in range(1, 11) for b in range(1, 11) for c in range(1, 11)]
     found = spark.createDataFrame([("ip", x, "") for x in ids], "kind string, form string, style string")
