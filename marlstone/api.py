@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import os
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import ids_hash
+from marlstone.functions.text import nfc, tokens
 from marlstone.operators import bm25, chunk, tables, vector
 from marlstone.plans.indexing import Indexer
 from marlstone.plans.retriever import Retriever
@@ -22,30 +23,30 @@ class Engine:
     mode: str = "hybrid"
     filter_mode: str = "vector_only"
     scorer: object = None
+    split: Callable = tokens
+    options: dict = field(default_factory=dict)  # of Retriever: vector_n, bm25_n, rrf_k, rerank_n, delta_mode
 
     def _index(self) -> bm25.Index | None:
-        store = self.indexer.store.read()
-        texts = store.select(F.sha2(F.concat_ws("\x00", "chunk_id", "text"), 256).alias("h"))
-        fingerprint = texts.agg(ids_hash(F.col("h")).alias("x")).first()[0]
-        path = f"{self.indexer.home}/bm25"
-        found = bm25.load(self.indexer.spark, path, fingerprint)
-        if found is None and store.count():
-            bm25.save(bm25.build(store), path, fingerprint)
-            found = bm25.load(self.indexer.spark, path, fingerprint)
+        """The keyword index of the store as it is: the saved one if it was built of this state, which no scan has to tell."""
+        fingerprint, path = self.indexer.store.state(), f"{self.indexer.home}/bm25"
+        found = bm25.load(self.indexer.spark, path, fingerprint, self.split)
+        if found is None and self.indexer.store.current():
+            bm25.save(bm25.build(self.indexer.store.read(), split=self.split), path, fingerprint)
+            found = bm25.load(self.indexer.spark, path, fingerprint, self.split)
         return found
 
     def search_documents(self, query: str, n_results: int = 10, file_type: str | None = None, author: str | None = None, doc_type: str | None = None) -> DataFrame:
         index = self._index() if self.mode == "hybrid" else None
-        r = Retriever(self.indexer.store.read(), index, self.indexer.embedder, self.scorer, self.mode, self.filter_mode)
+        r = Retriever(self.indexer.store.read(), index, self.indexer.embedder, self.scorer, self.mode, self.filter_mode, **self.options)
         return r.search(query, n_results, {"file_type": file_type, "author": author, "doc_type": doc_type})
 
     def get_document(self, file_path: str, chunk_offset: int = 0, chunk_limit: int = 50) -> DataFrame:
         """A page of a file as it is now on disk; a path outside the root is refused."""
-        root = os.path.realpath(self.indexer.root)
-        if os.path.commonpath([root, os.path.realpath(file_path)]) != root:
-            raise PermissionError(f"{file_path} is not under {root}")
+        file_path = os.path.expanduser(file_path)
+        if not is_under(file_path, self.indexer.root):
+            raise PermissionError(f"{file_path} is not under {self.indexer.root}")
         files = scan.files(self.indexer.spark, file_path, content=True)
-        read = extract.extract_files(files).where("extraction.success")
+        read = extract.extract_files(files, self.indexer.readers).where("extraction.success")
         chunks = chunk.exploded(read, F.lit(file_path), F.col("extraction.text"), self.indexer.chunk_size, self.indexer.overlap)
         return tables.document_page(chunks, file_path, chunk_offset, chunk_limit)
 
@@ -61,8 +62,27 @@ class Engine:
         return summary
 
     def get_stats(self) -> DataFrame:
-        store = self.indexer.store.read()
-        return tables.tracker_stats(self.indexer.tracker.read()).withColumns({"documents": store.agg(F.count("*")).scalar(), "files": store.agg(F.count_distinct("file_path")).scalar()})
+        store = tables.store_stats(self.indexer.store.read())
+        return tables.tracker_stats(self.indexer.tracker.read()).withColumns({c: store.select(c).scalar() for c in store.columns})
+
+    def model_info(self) -> dict:
+        """The embedder's name, dimension and device."""
+        e = self.indexer.embedder
+        return e.info() if hasattr(e, "info") else {"model": e.name, "dimension": e.dim, "device": "cpu"}
+
+
+def is_under(path: str, root: str) -> bool:
+    """Whether a path, its links and dots resolved, is the root or below it."""
+    root = os.path.realpath(os.path.expanduser(root))
+    return os.path.commonpath([root, os.path.realpath(path)]) == root
+
+
+def contained(path: Column, root: str) -> Column:
+    """is_under for a column of absolute paths, by their segments alone: no file system is asked, so links aren't followed."""
+    step = lambda at, s: F.when(s.isin("", "."), at).when(s == "..", F.slice(at, F.lit(1), F.greatest(F.size(at) - 1, F.lit(0)))).otherwise(F.concat(at, F.array(s)))
+    whole = F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(nfc(path), "/"), F.array().cast("array<string>"), step), "/"))
+    base = os.path.normpath(root)
+    return (whole == base) | whole.startswith(base.rstrip("/") + "/")
 
 
 def as_json(df: DataFrame) -> str:

@@ -10,9 +10,10 @@ from pathlib import Path
 DEFAULTS = {
     "document_processing": {"doc_root": "~/Documents", "chunk_size": 800, "chunk_overlap": 100, "max_file_size_mb": 100},
     "embedding": {"model": "hash-64", "batch_size": 32},
-    "search": {"mode": "hybrid", "vector_top_n": 50, "bm25_top_n": 50, "rrf_k": 60, "rerank_top_n": 20},
-    "reranker": {"enable": False, "batch_size": 16},
+    "search": {"mode": "hybrid", "filter_mode": "vector_only", "vector_top_n": 50, "bm25_top_n": 50, "rrf_k": 60, "rerank_top_n": 20},
+    "reranker": {"enable": False, "model": "BAAI/bge-reranker-v2-m3", "batch_size": 16},
     "excluded_patterns": [r"\.DS_Store", "__pycache__", r"\.git", r"~\$", r"Thumbs\.db", r"desktop\.ini"],
+    "ocr": {"enabled": False, "languages": ["eng", "kor"], "dpi": 300, "max_pages_per_pdf": 50, "timeout_per_page": 10},
     "contextual": {"enable": True},
 }
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,6 +25,50 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"(?U)[^\s\x1C-\x1F]+"), F.lit(0))
 
 
+def tokenizer(split: Callable[[str], list[str]]) -> Callable[[Column], Column]:
+    """An expression like `tokens` from a function of one text, a morphological analyser's say.
+
+    A text that it fails on, or finds nothing in, is split at white space.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> list[str] | None:
+            if text is None:
+                return None
+            try:
+                return split(text) or text.split()
+            except Exception:
+                return text.split()
+
+        return texts.map(one)
+
+    return run
+
+
+def morphemes() -> Callable[[Column], Column]:
+    """Korean morphemes without particles and endings of one letter, if the analyser is installed; else `tokens`."""
+    try:
+        from kiwipiepy import Kiwi
+    except ImportError:
+        return tokens
+    loaded: list = []
+
+    def split(text: str) -> list[str]:
+        if not loaded:
+            loaded.append(Kiwi())
+        found = [(t.form.strip(), t.tag) for t in loaded[0].tokenize(text)]
+        return [form for form, tag in found if form and not (len(form) == 1 and tag[:1] in "JE")]
+
+    return tokenizer(split)
+
+
+@F.pandas_udf(T.StringType())
+def nfc(path: pd.Series) -> pd.Series:
+    """Composed Unicode, so that a name is one name however the file system writes its accents."""
+    return path.map(lambda p: p if p is None or p.isascii() else unicodedata.normalize("NFC", p))
+
+
 def preview(c: Column, length: int = 500, always: bool = False) -> Column:
     """The first characters, with dots if something was cut (or always, as the command line shows it)."""
     cut = F.concat(F.substring(c, 1, length), F.lit("..."))
@@ -56,5 +102,12 @@ def content_hash(path: pd.Series, mtime: pd.Series) -> pd.Series:
 
 
 def ids_hash(ids: Column) -> Column:
-    """Fingerprint of a set of ids: an aggregate over the rows."""
+    """SHA-256 of the sorted ids, one a line: an aggregate that holds all ids, so for a set of a known size; see set_hash."""
     return F.sha2(F.array_join(F.array_sort(F.collect_list(ids)), "\n"), 256)
+
+
+def set_hash(ids: Column) -> Column:
+    """Fingerprint of any number of ids in any order: their count and the sums of two 60-bit parts of their SHA-256."""
+    digest = F.sha2(ids, 256)
+    sums = [F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")) for at in (1, 16)]
+    return F.concat_ws("-", F.count(ids).cast("string"), *[F.coalesce(s, F.lit(0).cast("decimal(38,0)")).cast("string") for s in sums])

@@ -6,11 +6,13 @@ so that documents without a match follow in id order; `paper` gives it to matche
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from marlstone.functions.text import tokens
 
@@ -19,16 +21,38 @@ K1, B, DELTA = 1.5, 0.75, 1.0
 
 @dataclass
 class Index:
+    """Tables, and statistics that are read off them when first asked for."""
+
     postings: DataFrame  # term, chunk_id, tf, dl
     terms: DataFrame  # term, df
-    n: int
-    avgdl: float
-    first_ids: list  # the least ids, for documents without a match
-
-
-def term_counts(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", only: DataFrame | None = None) -> DataFrame:
+    docs: DataFrame  # chunk_id, dl
+    split: Callable[[Column], Column] = tokens
+    stats: dict = field(default_factory=dict)
+
+    @property
+    def n(self) -> int:
+        if "n" not in self.stats:
+            self.stats["n"] = self.docs.count()
+        return self.stats["n"]
+
+    @property
+    def avgdl(self) -> float:
+        if "avgdl" not in self.stats:
+            self.stats["n"], words = self.docs.agg(F.count("*"), F.sum("dl")).first()
+            self.stats["avgdl"] = (words or 0) / self.n if self.n else 0.0
+        return self.stats["avgdl"]
+
+    def least(self, k: int) -> list:
+        """The k least ids: those of documents without a match come first."""
+        known = self.stats.get("least", [])
+        if len(known) < min(k, self.n):
+            known = self.stats["least"] = [r[0] for r in self.docs.select("chunk_id").orderBy("chunk_id").limit(k).collect()]
+        return known[:k]
+
+
+def term_counts(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", only: DataFrame | None = None, split: Callable[[Column], Column] = tokens) -> DataFrame:
     """chunk_id, term, tf, dl: one shuffle, on the chunk and its terms; with `only` (term), of these terms alone."""
-    words = chunks.select(F.col(id_col).alias("chunk_id"), tokens(F.col(text_col)).alias("words"))
+    words = chunks.select(F.col(id_col).alias("chunk_id"), split(F.col(text_col)).alias("words"))
     # explode_outer: explode's inferred filter would split every text again
     counted = words.select("chunk_id", F.size("words").alias("dl"), F.explode_outer("words").alias("term")).where("term is not null")
     if only is not None:
@@ -36,14 +60,19 @@ def term_counts(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "te
     return counted.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def build(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", pad: int = 200, queries: DataFrame | None = None) -> Index:
+def document_counts(chunks: DataFrame, text_col: str = "text", only: DataFrame | None = None, split: Callable[[Column], Column] = tokens) -> DataFrame:
+    """term, df. A text's words are told apart within its row, so what is shuffled are each task's distinct terms."""
+    own = chunks.select(F.explode_outer(F.array_distinct(split(F.col(text_col)))).alias("term")).where("term is not null")
+    if only is not None:
+        own = own.join(only, "term", "left_semi")
+    return own.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def build(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", queries: DataFrame | None = None, split: Callable[[Column], Column] = tokens) -> Index:
     """The index of chunks; with `queries` (text), of their terms alone, which is all that they need of it."""
-    only = None if queries is None else queries.select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
-    postings = term_counts(chunks, id_col, text_col, only)
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    n, words = chunks.select(F.count(F.lit(1)), F.sum(F.size(tokens(F.col(text_col))))).first()
-    first = [r[0] for r in chunks.select(id_col).orderBy(id_col).limit(pad).collect()]
-    return Index(postings, terms, n, (words or 0) / n if n else 0.0, first)
+    only = None if queries is None else queries.select(F.explode(split(F.col("text"))).alias("term")).distinct()
+    docs = chunks.select(F.col(id_col).alias("chunk_id"), F.coalesce(F.size(split(F.col(text_col))), F.lit(0)).alias("dl"))
+    return Index(term_counts(chunks, id_col, text_col, only, split), document_counts(chunks, text_col, only, split), docs, split)
 
 
 def idf(df: Column, n: int) -> Column:
@@ -56,20 +85,22 @@ def search(index: Index, queries: DataFrame, n: int = 50, delta_mode: str = "lib
     Scores are rounded before they are ranked, so that equal documents tie; ties follow the chunk's id. A query of no
     known word finds nothing.
     """
-    asked = queries.select("query_id", F.explode_outer(tokens(F.col("text"))).alias("term")).where("term is not null").groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    asked = queries.select("query_id", F.explode_outer(index.split(F.col("text"))).alias("term")).where("term is not null").groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    avgdl = index.avgdl
     weighed = asked.join(index.terms, "term").select("query_id", "term", (idf(F.col("df"), index.n) * F.col("times")).alias("weight"))
     tf = F.col("tf").cast("double")
-    gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / index.avgdl)) if index.avgdl else F.lit(0.0)
+    gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl)) if avgdl else F.lit(0.0)
     if delta_mode == "paper":
         rows = index.postings.join(weighed, "term").select("query_id", "chunk_id", F.lit(0.0).alias("base"), (F.col("weight") * (gain + DELTA)).alias("gain"))
     else:
         weighed = weighed.withColumn("base", DELTA * F.sum("weight").over(Window.partitionBy("query_id")))
         rows = index.postings.join(weighed, "term").select("query_id", "chunk_id", "base", (F.col("weight") * gain).alias("gain"))
-        ids = index.first_ids[: 2 * n]
+        ids = index.least(2 * n)
         if ids:
             # fewer than n matches leave room; then n of the 2n least ids have no match at least
             bases = weighed.groupBy("query_id").agg(F.max("base").alias("base"))
-            rows = rows.unionByName(bases.select("query_id", F.explode(F.array(*[F.lit(i) for i in ids])).alias("chunk_id"), "base", F.lit(0.0).alias("gain")))
+            listed = F.array(*[F.lit(i) for i in ids]).cast(ArrayType(index.docs.schema["chunk_id"].dataType))
+            rows = rows.unionByName(bases.select("query_id", F.explode(listed).alias("chunk_id"), "base", F.lit(0.0).alias("gain")))
     hits = rows.groupBy("query_id", "chunk_id").agg((F.max("base") + F.sum("gain")).alias("score"))
     hits = hits.withColumn("score", F.round("score", digits)).where("score > 0")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
@@ -78,10 +109,9 @@ def search(index: Index, queries: DataFrame, n: int = 50, delta_mode: str = "lib
 
 def add(index: Index, more: DataFrame, id_col: str = "chunk_id", text_col: str = "text", queries: DataFrame | None = None) -> Index:
     """The index with further chunks: their postings are appended and the statistics follow."""
-    new = build(more, id_col, text_col, queries=queries)
-    n = index.n + new.n
+    new = build(more, id_col, text_col, queries, index.split)
     terms = index.terms.unionByName(new.terms).groupBy("term").agg(F.sum("df").alias("df"))
-    return Index(index.postings.unionByName(new.postings), terms, n, (index.n * index.avgdl + new.n * new.avgdl) / n if n else 0.0, sorted({*index.first_ids, *new.first_ids})[: max(len(index.first_ids), len(new.first_ids))])
+    return Index(index.postings.unionByName(new.postings), terms, index.docs.unionByName(new.docs), index.split)
 
 
 def save(index: Index, path: str, fingerprint: str) -> None:
@@ -89,15 +119,18 @@ def save(index: Index, path: str, fingerprint: str) -> None:
     spark = index.postings.sparkSession
     index.postings.write.mode("overwrite").parquet(f"{path}/postings")
     index.terms.write.mode("overwrite").parquet(f"{path}/terms")
-    spark.createDataFrame([(fingerprint, index.n, index.avgdl, [str(i) for i in index.first_ids])], "fingerprint string, n long, avgdl double, first_ids array<string>").write.mode("overwrite").parquet(f"{path}/manifest")
+    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
+    n, words = spark.read.parquet(f"{path}/docs").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    spark.createDataFrame([(fingerprint, n, words / n if n else 0.0)], "fingerprint string, n long, avgdl double").write.mode("overwrite").parquet(f"{path}/manifest")
 
 
-def load(spark, path: str, fingerprint: str) -> Index | None:
-    """A saved index of just this corpus, or None. The fingerprint covers texts too, so an edited text is never served stale."""
+def load(spark, path: str, fingerprint: str, split: Callable[[Column], Column] = tokens) -> Index | None:
+    """A saved index of just this corpus, or None."""
     try:
         m = spark.read.parquet(f"{path}/manifest").first()
     except AnalysisException:  # nothing there
         return None
     if m is None or m["fingerprint"] != fingerprint:
         return None
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), m["n"], m["avgdl"], m["first_ids"])
+    tables = [spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "docs")]
+    return Index(*tables, split, {"n": m["n"], "avgdl": m["avgdl"]})

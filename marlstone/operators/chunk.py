@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.functions.text import chunk_id
+from marlstone.functions.text import chunk_id, strip
 
 #: What ends a sentence, Korean endings first.
 ENDINGS = (r"다\.", r"요\.", r"까\?", r"나\?", r"세요\.", r"습니다\.", r"입니다\.", r"합니다\.", r"[.!?]")
@@ -88,6 +88,16 @@ def chunks(text: Column, size: int = 800, overlap: int = 100) -> Column:
     return run(text)
 
 
+def paragraph_array(text: Column) -> Column:
+    """The paragraphs of a text: pieces between empty lines, stripped, that are not blank."""
+    return F.filter(F.transform(F.split(text, "\n\n"), strip), lambda p: p != "")
+
+
+def not_blank(text: Column) -> Column:
+    """Whether a chunk is worth a vector."""
+    return strip(text) != ""
+
+
 def sentence_array(text: Column) -> Column:
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(texts: pd.Series) -> pd.Series:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -21,6 +23,18 @@ class Embedder(Protocol):
         ...
 
 
+@lru_cache(1 << 16)
+def _gram_hashes(word: str) -> tuple[int, ...]:
+    """FNV-1a of the word and its letter trigrams, ends included."""
+    padded, out = f" {word} ", []
+    for gram in sorted({word, *(padded[i : i + 3] for i in range(len(padded) - 2))}):
+        h = 1469598103934665603
+        for b in gram.encode("utf-8", "ignore"):
+            h = (h ^ b) * 1099511628211 % (1 << 64)
+        out.append(h)
+    return tuple(out)
+
+
 class HashEmbedder:
     """Signed feature hashing of words and of their letter trigrams, to unit length. It has no notion of meaning."""
 
@@ -30,19 +44,82 @@ class HashEmbedder:
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), np.float32)
         for row, text in zip(out, texts, strict=True):
-            for word in re.findall(r"\w+", (text or "").lower()):
-                padded = f" {word} "
-                for gram in {word, *(padded[i : i + 3] for i in range(len(padded) - 2))}:
-                    h = 1469598103934665603
-                    for b in gram.encode("utf-8", "ignore"):
-                        h = (h ^ b) * 1099511628211 % (1 << 64)
-                    row[h % self.dim] += 1.0 if h >> 63 else -1.0
+            hashes = [h for word in re.findall(r"\w+", (text or "").lower()) for h in _gram_hashes(word)]
+            if hashes:
+                h = np.array(hashes, np.uint64)
+                row += np.bincount((h % np.uint64(self.dim)).astype(int), np.where(h >> np.uint64(63), 1.0, -1.0), self.dim)
             size = float(np.sqrt((row * row).sum()))
             if size:
                 row /= size
         return out
 
 
+#: Vector lengths of common models; others have 768 until they are loaded.
+DIMENSIONS = {"BAAI/bge-m3": 1024, "jhgan/ko-sroberta-multitask": 768, "intfloat/multilingual-e5-large": 1024, "intfloat/multilingual-e5-base": 768}
+
+
+class ModelEmbedder:
+    """A sentence model, loaded where it is first used; `load` gives an object with encode(texts, batch_size=).
+
+    A batch too large for the device's buffers is done again text by text; any other failure is raised.
+    """
+
+    def __init__(self, name: str, batch_size: int = 32, dim: int | None = None, load: Callable[[str], object] | None = None):
+        self.name, self.batch_size, self.dim, self.load = name, batch_size, dim or DIMENSIONS.get(name, 768), load or _sentence_model
+        self._model = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_model": None}
+
+    @property
+    def loaded(self) -> bool:
+        return self._model is not None
+
+    def unload(self) -> None:
+        self._model = None
+
+    def info(self) -> dict:
+        return {"model": self.name, "dimension": self.dim, "device": str(getattr(self._model, "device", "cpu"))}
+
+    def embed_text(self, text: str) -> np.ndarray:
+        if not isinstance(text, str) or not text:
+            raise ValueError("there is no text")
+        return self.embed([text])[0]
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        if self._model is None:
+            self._model = self.load(self.name)
+        filled = [i for i, t in enumerate(texts) if t and t.strip()]
+        rows = []
+        for i in range(0, len(filled), self.batch_size):
+            part = [texts[k] for k in filled[i : i + self.batch_size]]
+            try:
+                rows.extend(self._model.encode(part, batch_size=self.batch_size))
+            except Exception as e:
+                if "buffer size" not in str(e).lower():
+                    raise
+                rows.extend(self._model.encode([t], batch_size=1)[0] for t in part)
+        if rows:
+            self.dim = len(rows[0])
+        out = np.zeros((len(texts), self.dim), np.float32)
+        if rows:
+            out[filled] = np.stack(rows)
+        return out
+
+
+def _sentence_model(name: str):
+    from sentence_transformers import SentenceTransformer
+
+    return SentenceTransformer(name)
+
+
+def by_name(name: str, batch_size: int = 32) -> Embedder:
+    """The hash embedder for `hash-<dim>`, a sentence model for any other name."""
+    if name.startswith("hash-"):
+        return HashEmbedder(int(name.removeprefix("hash-")))
+    return ModelEmbedder(name, batch_size)
+
+
 def embedded(text: Column, embedder: Embedder, batch: int = 64) -> Column:
     """Vectors of texts, in Arrow batches; the embedder comes with the function, so it may load its model there."""
 

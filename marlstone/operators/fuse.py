@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 import pandas as pd
@@ -34,15 +35,50 @@ def hydrate(hits: DataFrame, store: DataFrame, columns: tuple[str, ...] = ("text
 
 
 def rerank(hits: DataFrame, query: str, n: int, scorer: Callable[[str, list[str]], list[float]] | None = None) -> DataFrame:
-    """The n best by scorer(query, texts), or, with none, by the order the hits have; a failing scorer counts as none."""
+    """The n best by scorer(query, texts), or, with none, by the order the hits have.
+
+    The hits are a fused list of a few; they are scored in one call, and if that fails, the whole list keeps its order and
+    `rerank_error` says why.
+    """
     if scorer is None:
-        return hits.withColumn("rerank_score", F.lit(None).cast("double")).orderBy("rank").limit(n)
+        return hits.withColumns({"rerank_score": F.lit(None).cast("double"), "rerank_error": F.lit(None).cast("string")}).orderBy("rank").limit(n)
 
-    @F.pandas_udf(T.DoubleType())
-    def score(texts: pd.Series) -> pd.Series:
+    def score(batches):
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        rows = pd.concat(parts, ignore_index=True)
+        values, error = [None] * len(rows), None
         try:
-            return pd.Series(scorer(query, list(texts)), dtype="float64")
-        except Exception:
-            return pd.Series([None] * len(texts), dtype="float64")
+            values = [float(x) for x in scorer(query, list(rows["text"]))]
+        except Exception as e:
+            error = f"{type(e).__name__}: {e}"
+            warnings.warn(f"hits are not reranked: {error}", stacklevel=1)
+        if len(values) != len(rows):
+            values, error = [None] * len(rows), f"{len(values)} scores for {len(rows)} texts"
+        yield rows.assign(rerank_score=pd.Series(values, dtype="float64"), rerank_error=error)
+
+    schema = T.StructType([*hits.schema.fields, T.StructField("rerank_score", T.DoubleType()), T.StructField("rerank_error", T.StringType())])
+    return hits.coalesce(1).mapInPandas(score, schema).orderBy(F.desc_nulls_last("rerank_score"), "rank").limit(n)
+
+
+class CrossEncoder:
+    """A scorer that loads its model where it first scores; `load` gives an object with predict(pairs, batch_size=)."""
+
+    def __init__(self, model: str, batch_size: int = 16, load: Callable[[str], object] | None = None):
+        self.model, self.batch_size, self.load = model, batch_size, load or _cross_encoder
+        self._loaded = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_loaded": None}
+
+    def __call__(self, query: str, texts: list[str]) -> list[float]:
+        if self._loaded is None:
+            self._loaded = self.load(self.model)
+        return [float(x) for x in self._loaded.predict([(query, t) for t in texts], batch_size=self.batch_size)]
+
+
+def _cross_encoder(name: str):
+    from sentence_transformers import CrossEncoder as Model
 
-    return hits.withColumn("rerank_score", score("text")).orderBy(F.desc_nulls_last("rerank_score"), "rank").limit(n)
+    return Model(name)

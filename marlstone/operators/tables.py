@@ -58,6 +58,20 @@ def tracker_stats(tracked: DataFrame) -> DataFrame:
     return tracked.agg(F.count("*").alias("total"), indexed.alias("indexed"), failed.alias("failed"), (F.count("*") - indexed - failed).alias("pending"))
 
 
+def by_path(tracked: DataFrame, path: str) -> DataFrame:
+    """The tracker's row of one file."""
+    return tracked.where(F.col("file_path") == path)
+
+
+def indexed_files(tracked: DataFrame) -> DataFrame:
+    return tracked.where("is_indexed").select("file_path", "file_mtime", "content_hash")
+
+
+def store_stats(store: DataFrame) -> DataFrame:
+    """documents (the store's rows, which are chunks) and files."""
+    return store.agg(F.count("*").alias("documents"), F.count_distinct("file_path").alias("files"))
+
+
 def run_summary(results: DataFrame) -> DataFrame:
     """Of results (status: success, failed or skipped; n_chunks): counts and the success rate in per cent of those tried."""
     ok, bad = F.count_if(F.col("status") == "success"), F.count_if(F.col("status") == "failed")

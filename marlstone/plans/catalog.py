@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as X
 from marlstone.functions.vectors import cosine_distance, distance_score
 from marlstone.operators import bm25, chunk, fuse, metadata, tables, vector
-from marlstone.plans.retriever import ranked
+from marlstone.plans.retriever import Retriever, ranked
 from marlstone.sources import extract, scan
 
 QUERIES, SQL = {}, {}
@@ -88,6 +88,11 @@ def preview(spark, d):
     return table(spark, d, "documents").select("doc_id", X.preview(F.col("text")).alias("preview"), X.preview(F.col("text"), 200, True).alias("short"))
 
 
+@query("""select concat_ws('-', count(*), sum(cast('0x' || substr(sha256(file_path), 1, 15) as hugeint)), sum(cast('0x' || substr(sha256(file_path), 16, 15) as hugeint))) as set_hash from """ + FILES)
+def set_hash(spark, d):
+    return files(spark, d).agg(X.set_hash(F.col("file_path")).alias("set_hash"))
+
+
 @query("select sha256(string_agg(file_path, chr(10) order by file_path)) as ids_hash, count(*) as n from " + FILES)
 def ids_hash(spark, d):
     return files(spark, d).agg(X.ids_hash(F.col("file_path")).alias("ids_hash"), F.count("*").alias("n"))
@@ -159,15 +164,17 @@ def sentence_split(spark, d):
     return made.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.coalesce(F.get("s", F.lit(0)), F.lit("")).alias("first"), F.coalesce(F.get("s", F.size("s") - 1), F.lit("")).alias("last"))
 
 
-@query(rf"select doc_id, cast(len(list_filter(list_transform(string_split(text, chr(10)), lambda s: {STRIP.format('s')}), lambda s: s <> '')) as bigint) as n_paragraphs from documents")
+@query(rf"""select doc_id, cast(len(l) as bigint) as n_paragraphs, coalesce(l[len(l)], '') as last from (
+    select doc_id, list_filter(list_transform(string_split(replace(text, chr(10), ' ' || chr(10) || chr(10)), chr(10) || chr(10)), lambda s: {STRIP.format('s')}), lambda s: s <> '') as l from documents)""")
 def paragraph_split(spark, d):
-    parts = F.filter(F.transform(F.split("text", "\n"), X.strip), lambda p: p != "")
-    return table(spark, d, "documents").select("doc_id", F.size(parts).cast("long").alias("n_paragraphs"))
+    spaced = F.replace("text", F.lit("\n"), F.lit(" \n\n"))  # the documents have no empty lines
+    made = table(spark, d, "documents").select("doc_id", chunk.paragraph_array(spaced).alias("p"))
+    return made.select("doc_id", F.size("p").cast("long").alias("n_paragraphs"), F.coalesce(F.get("p", F.size("p") - 1), F.lit("")).alias("last"))
 
 
 @query(rf"select doc_id, {STRIP.format('text')} <> '' as kept from documents where {STRIP.format('text')} <> ''")
 def blank_chunk_filter(spark, d):
-    return table(spark, d, "documents").where(X.strip(F.col("text")) != "").select("doc_id", F.lit(True).alias("kept"))
+    return table(spark, d, "documents").where(chunk.not_blank(F.col("text"))).select("doc_id", F.lit(True).alias("kept"))
 
 
 # ---- formats
@@ -323,11 +330,11 @@ DISTANCE = "round(1.0 - list_cosine_similarity(cast(e.embedding as double[]), ca
 FIRST_VECTOR = "(select embedding from embeddings order by vec_id limit 1)"
 
 
-def store(spark, d) -> DataFrame:
-    """The vectors with the texts and attributes of the documents of the same ids, where there are such."""
+def store(spark, d, how: str = "left") -> DataFrame:
+    """The vectors with the texts and attributes of the documents of the same ids, where there are such; or all of both."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
     f = files(spark, d, F.col("doc_id").alias("chunk_id"), "text")
-    return e.join(f, "chunk_id", "left")
+    return e.join(f, "chunk_id", how)
 
 
 def first_vector(spark, d) -> list:
@@ -357,10 +364,7 @@ def vector_batch(spark, d):
 
 @query(f"select e.vec_id, round(greatest(0.0, 1 - {DISTANCE}), 6) as score from embeddings e, {FIRST_VECTOR} x where greatest(0.0, 1 - {DISTANCE}) >= 0.1")
 def distance_score_filter(spark, d):
-    e = table(spark, d, "embeddings")
-    q = F.array(*[F.lit(float(x)) for x in first_vector(spark, d)])
-    s = e.select("vec_id", distance_score(F.round(cosine_distance(F.col("embedding"), q), 9)).alias("score"))
-    return s.where(F.col("score") >= 0.1).select("vec_id", F.round("score", 6).alias("score"))
+    return vector.within(table(spark, d, "embeddings"), first_vector(spark, d), 0.1, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query("select concat(source, '/', doc_id, '.txt') as file_path from documents where source = 'src3' and lang = 'en'")
@@ -396,10 +400,10 @@ HYBRID_TAIL = " select t.doc_id, case when length(d.text) > 500 then substr(d.te
 
 
 def hybrid_hits(spark, d, filters=None, n: int = 10) -> DataFrame:
-    near, words = _sides(spark, d, vector.predicate(filters))
-    hits = ranked(fuse.rrf(near, words, 20, by=None), F.desc("rrf_score"), F.asc_nulls_last("vector_rank"), F.asc_nulls_last("bm25_rank"))
-    full = fuse.rerank(fuse.hydrate(hits.drop("text"), corpus(spark, d)), "", n)
-    return full.select(F.col("chunk_id").alias("doc_id"), X.preview(F.col("text")).alias("preview"), F.round("rrf_score", 9).alias("rrf_score"), F.round("score", 6).alias("score"))
+    asked = first_query(spark, d)
+    r = Retriever(store(spark, d, "full"), bm25.build(corpus(spark, d), queries=asked))
+    hits = r.search(asked.first()["text"], n, filters, first_vector(spark, d))
+    return hits.select(F.col("chunk_id").alias("doc_id"), "preview", F.round("rrf_score", 9).alias("rrf_score"), F.round("score", 6).alias("score"))
 
 
 @query(_rrf_sql() + HYBRID_TAIL)
@@ -500,9 +504,10 @@ def tracker_stats(spark, d):
     return tables.tracker_stats(tracked(spark, d))
 
 
-@query("select count(*) as documents, count(distinct source) as authors from documents")
+@query(f"select count(*) as documents, count(distinct file_path) as files from {FILES} join lineitem on l_orderkey % 100 = doc_id")
 def store_stats(spark, d):
-    return table(spark, d, "documents").agg(F.count("*").alias("documents"), F.count_distinct("source").alias("authors"))
+    lines = table(spark, d, "lineitem").select((F.col("l_orderkey") % 100).alias("doc_id"))
+    return tables.store_stats(files(spark, d, "doc_id").join(lines, "doc_id"))
 
 
 @query("""with r as (select case when event_type = 'click' then 'failed' when event_type = 'view' then 'skipped' else 'success' end as status, cast(floor(value) as bigint) as n from events)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone import schema
-from marlstone.functions.text import chunk_id, content_hash, strip
+from marlstone.functions.text import chunk_id, content_hash
 from marlstone.operators import chunk, embed, metadata, tables
 from marlstone.operators.snapshot import Snapshot
 from marlstone.sources import extract, scan
@@ -29,15 +29,24 @@ class Indexer:
     prefix: bool = True
     max_mb: int = 100
     excluded: tuple[str, ...] = ()
+    batch_size: int = 64
+    buckets: int = 256
+    readers: dict | None = None  # extract.readers(...): an engine for images, other formats
 
     def __post_init__(self):
-        self.store = Snapshot(self.spark, f"{self.home}/chunks", schema.CHUNK)
-        self.tracker = Snapshot(self.spark, f"{self.home}/tracker", schema.TRACKER)
+        self.store = Snapshot(self.spark, f"{self.home}/chunks", schema.CHUNK, buckets=self.buckets)
+        self.tracker = Snapshot(self.spark, f"{self.home}/tracker", schema.TRACKER, buckets=self.buckets)
+
+    def changes(self) -> DataFrame:
+        """file_path, change of what differs between the folder and the tracker."""
+        return tables.snapshot_diff(scan.scan(self.spark, self.root, self.excluded, self.max_mb), self.tracker.read())
+
+    def pending(self) -> dict[str, int]:
+        return {r["change"]: r["count"] for r in self.changes().groupBy("change").count().collect()}
 
     def incremental(self, now: str = "") -> DataFrame:
         """Indexes new and changed files, drops deleted ones; the run's summary."""
-        disk = scan.scan(self.spark, self.root, self.excluded, self.max_mb)
-        changes = tables.snapshot_diff(disk, self.tracker.read()).persist()
+        changes = self.changes().persist()
         summary = self._apply(changes, now)
         changes.unpersist()
         return summary
@@ -57,7 +66,7 @@ class Indexer:
         """(chunks, results, extracted files) of the new and changed files; only these are opened. The last is persisted."""
         paths = changes.where("change <> 'deleted'").select("file_path")
         opened = scan.files(self.spark, self.root, content=True).join(paths, "file_path", "left_semi")
-        read = extract.extract_files(opened).persist()
+        read = extract.extract_files(opened, self.readers).persist()
         good = read.where("extraction.success").select("file_path", "mtime", "length", F.col("extraction.text").alias("body"), F.col("extraction.properties").alias("properties"), F.col("extraction.extractor_used").alias("extractor_used"))
         rows = good.withColumn("_chunks", chunk.chunks(F.col("body"), self.chunk_size, self.overlap)).withColumn("first_chunk", F.get("_chunks", F.lit(0)))
         rows = metadata.file_metadata(rows, root=self.root)
@@ -65,8 +74,8 @@ class Indexer:
         text = F.col("chunk_text")
         if self.prefix:
             text = F.concat(metadata.context_prefix(*[F.col(c) for c in ("doc_title", "doc_author", "doc_created", "fs_modified", "file_name", "relative_path")]), text)
-        rows = rows.withColumn("text", text).where(strip(F.col("text")) != "")
-        rows = rows.withColumn("chunk_id", chunk_id(F.col("file_path"), F.col("chunk_index"))).withColumn("embedding", embed.embedded(F.col("text"), self.embedder))
+        rows = rows.withColumn("text", text).where(chunk.not_blank(F.col("text")))
+        rows = rows.withColumn("chunk_id", chunk_id(F.col("file_path"), F.col("chunk_index"))).withColumn("embedding", embed.embedded(F.col("text"), self.embedder, self.batch_size))
         results = read.select("file_path", "mtime", F.col("extraction.success").alias("success"), F.col("extraction.error").alias("error"))
         return rows.select(*[f.name for f in schema.CHUNK.fields]), results, read
 

@@ -58,7 +58,7 @@ class Retriever:
 
     def _shaped(self, hits: DataFrame, n: int, query: str) -> DataFrame:
         full = fuse.hydrate(hits, self.store)
-        return fuse.rerank(full, query, n, self.scorer).select("chunk_id", "text", preview(F.col("text")).alias("preview"), "score", "rrf_score", "rerank_score", "rank")
+        return fuse.rerank(full, query, n, self.scorer).select("chunk_id", "text", preview(F.col("text")).alias("preview"), "score", "rrf_score", "rerank_score", "rerank_error", "rank")
 
 
 def ranked(top: DataFrame, *order: Column | str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -13,6 +15,17 @@ SETTINGS = {
 }
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The folder all executors see (spark.checkpoint.dir). Where it is unset, a temporary one in local mode; else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="marlstone-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
 def session(master: str | None = None, app: str = "marlstone", **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:

@@ -11,9 +11,10 @@ import re
 import struct
 import zipfile
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from typing import Protocol
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -498,6 +499,69 @@ def hwp(raw: bytes) -> Extracted:
     raise Unreadable("; ".join(why))
 
 
+PAGE_BREAK = "\n--- Page Break ---\n"
+
+
+class Ocr(Protocol):
+    """An engine for pages that are images. `name` names the method of what it read."""
+
+    name: str
+
+    def pages(self, raw: bytes, dpi: int, most: int) -> Iterable[str]:
+        """The texts of the file's first `most` pages, one at a time."""
+        ...
+
+
+@dataclass
+class TesseractOcr:
+    """Pages rasterised one at a time and read by tesseract; both libraries are optional."""
+
+    languages: str = "eng+kor"
+    seconds: int = 10  # a page
+    name: str = "tesseract"
+
+    def pages(self, raw: bytes, dpi: int, most: int) -> Iterable[str]:
+        import pytesseract
+        from pdf2image import convert_from_bytes, pdfinfo_from_bytes
+
+        for k in range(1, min(pdfinfo_from_bytes(raw).get("Pages", 1), most) + 1):
+            for image in convert_from_bytes(raw, dpi=dpi, first_page=k, last_page=k):
+                yield pytesseract.image_to_string(image, lang=self.languages, timeout=self.seconds)
+
+
+def read_images(raw: bytes, ocr: Ocr, dpi: int = 300, most: int = 50) -> Extracted:
+    kept = [p.strip() for p in ocr.pages(raw, dpi, most) if p and p.strip()]
+    return Extracted(PAGE_BREAK.join(kept), f"ocr_{ocr.name}", facts={"pages_extracted": str(len(kept))})
+
+
+def pdf_with(ocr: Ocr, dpi: int = 300, most: int = 50) -> Callable[[bytes], Extracted]:
+    """A PDF reader that looks at page images where no text is found; properties are those the text reader knows."""
+
+    def run(raw: bytes) -> Extracted:
+        try:
+            return pdf(raw)
+        except Exception as why:
+            found = read_images(raw, ocr, dpi, most)
+            if not found.text:
+                raise Unreadable(f"{why}; {ocr.name} read no text") from why
+            found.properties = pdf_properties(raw)
+            return found
+
+    return run
+
+
+def pdf_properties(raw: bytes) -> dict[str, str]:
+    """The document information of a PDF, by whichever reader is installed and gives one."""
+    for library in ("pypdf", "PyPDF2"):
+        try:
+            info = __import__(library).PdfReader(io.BytesIO(raw)).metadata
+        except Exception:
+            continue
+        if info:
+            return {k.lstrip("/").lower(): str(v) for k, v in info.items()}
+    return {}
+
+
 def pdf(raw: bytes) -> Extracted:
     """Pages that have text, by whichever reader is installed."""
     for library in ("pdfplumber", "PyPDF2", "pypdf"):
@@ -513,8 +577,8 @@ def pdf(raw: bytes) -> Extracted:
             pages, info = [p.extract_text() or "" for p in doc.pages], doc.metadata or {}
         kept = [p for p in pages if p.strip()]
         if kept:
-            return Extracted("\n--- Page Break ---\n".join(kept), library, {k.lstrip("/").lower(): str(v) for k, v in info.items()}, {"pages_extracted": str(len(kept))})
-    raise Unreadable("no PDF reader found text, and none for images is set")
+            return Extracted(PAGE_BREAK.join(kept), library, {k.lstrip("/").lower(): str(v) for k, v in info.items()} or pdf_properties(raw), {"pages_extracted": str(len(kept))})
+    raise Unreadable("no PDF reader found text")
 
 
 def xls(raw: bytes) -> Extracted:
@@ -541,10 +605,15 @@ EXTRACTORS: dict[str, Callable[[bytes], Extracted]] = {
 }
 
 
-def extract_one(raw: bytes | None, extension: str | None) -> dict:
+def readers(ocr: Ocr | None = None, more: dict[str, Callable[[bytes], Extracted]] | None = None, dpi: int = 300, most: int = 50) -> dict[str, Callable[[bytes], Extracted]]:
+    """The readers by extension: the built-in ones, with an engine for images if given, and others over them."""
+    return {**EXTRACTORS, **({"pdf": pdf_with(ocr, dpi, most)} if ocr else {}), **(more or {})}
+
+
+def extract_one(raw: bytes | None, extension: str | None, by: dict[str, Callable[[bytes], Extracted]] = EXTRACTORS) -> dict:
     """A row of schema.EXTRACTION."""
     out = {"text": "", "success": False, "extractor_used": extension or "", "error": None, "metadata": {}, "properties": {}}
-    reader = EXTRACTORS.get(extension or "")
+    reader = by.get(extension or "")
     if reader is None:
         return out | {"error": f"unsupported format: {extension}"}
     if not raw:
@@ -559,19 +628,20 @@ def extract_one(raw: bytes | None, extension: str | None) -> dict:
     return out | {"text": text, "success": True, "metadata": {**found.facts, "method": found.method, "text_length": str(len(text))}, "properties": {k: v for k, v in found.properties.items() if v}}
 
 
-@F.pandas_udf(schema.EXTRACTION)
-def _extract(content: pd.Series, extension: pd.Series) -> pd.DataFrame:
-    rows = [extract_one(c, e) for c, e in zip(content, extension, strict=True)]
-    return pd.DataFrame(rows, columns=[f.name for f in schema.EXTRACTION.fields])
+def extracted(content: Column, path: Column, by: dict[str, Callable[[bytes], Extracted]] | None = None) -> Column:
+    """The extraction of files' contents, by the readers given or the built-in ones."""
 
+    @F.pandas_udf(schema.EXTRACTION)
+    def run(content: pd.Series, extension: pd.Series) -> pd.DataFrame:
+        rows = [extract_one(c, e, by or EXTRACTORS) for c, e in zip(content, extension, strict=True)]
+        return pd.DataFrame(rows, columns=[f.name for f in schema.EXTRACTION.fields])
 
-def extracted(content: Column, path: Column) -> Column:
-    return _extract(content, file_extension(path))
+    return run(content, file_extension(path))
 
 
-def extract_files(files: DataFrame) -> DataFrame:
+def extract_files(files: DataFrame, by: dict[str, Callable[[bytes], Extracted]] | None = None) -> DataFrame:
     """files (file_path, content, ...) with a column `extraction`; the contents go."""
-    return files.withColumn("extraction", extracted(F.col("content"), F.col("file_path"))).drop("content")
+    return files.withColumn("extraction", extracted(F.col("content"), F.col("file_path"), by)).drop("content")
 
 
 #: Entities of the expression form below.

@@ -8,7 +8,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import file_extension
+from marlstone.functions.text import file_extension, nfc
 
 #: The formats, and names that are passed over.
 SUPPORTED = ("hwp", "hwpx", "pdf", "docx", "pptx", "xlsx", "xls", "csv", "txt", "md", "html", "htm", "rtf", "pages", "numbers", "key")
@@ -50,11 +50,11 @@ def select_files_full(files: DataFrame, patterns: tuple[str, ...] = (), max_mb:
 
 
 def files(spark: SparkSession, root: str, glob: str | None = None, content: bool = False) -> DataFrame:
-    """file_path, mtime, length (and content) of all files under root. Without content, no file is opened."""
+    """file_path (composed Unicode), mtime, length (and content) of all files under root. Without content, no file is opened."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     found = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
     path = F.regexp_replace("path", "^file:/*", "/")
-    return found.select(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))).alias("file_path"), (F.unix_micros("modificationTime") / 1_000_000).alias("mtime"), "length", *(["content"] if content else []))
+    return found.select(nfc(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))).alias("file_path"), (F.unix_micros("modificationTime") / 1_000_000).alias("mtime"), "length", *(["content"] if content else []))
 
 
 def scan(spark: SparkSession, root: str, more: tuple[str, ...] = (), max_mb: int = 500, content: bool = False) -> DataFrame:

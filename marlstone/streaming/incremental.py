@@ -46,4 +46,5 @@ def upsert_stream(changes: DataFrame, target: Snapshot, key: str, order: list, c
 
 def event_counts(events: DataFrame, delay: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Windowed counts and sums by type, with a watermark for late rows."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs one with a time zone
     return events.withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))

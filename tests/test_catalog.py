@@ -1,6 +1,6 @@
 import pytest
 
-from marlstone.plans import catalog
+from marlstone.plans import catalog, catalog_index  # noqa: F401
 from tests.compare import same
 
 
