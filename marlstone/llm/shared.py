@@ -95,6 +95,25 @@ def sample_rows(df: DataFrame, key: list[str], stratum: Column, cells: int, max_
     return [r["_r"] if len(columns) > 1 else {columns[0]: r["_r"]} for r in sorted(rows, key=lambda r: r["_h"])]
 
 
+def commonest(counts: DataFrame, most: int):
+    """Of counts(h, c) the hashes and counts of at most `most` commonest ones, by hash; and the others.
+
+    The least count comes from a histogram of steps of an eighth of an octave: a sort's top rows would meet in one task.
+    """
+    step = F.floor(F.log2("c") * 8)
+    least, room = None, most
+    for k, n in sorted(((r["k"], r["n"]) for r in counts.groupBy(step.alias("k")).agg(F.count("*").alias("n")).collect()), reverse=True):
+        if n > room:
+            break
+        least, room = k, room - n
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), counts
+    table = counts.where(step >= least).toArrow()
+    h, c = table["h"].to_numpy().view(np.uint64), table["c"].to_numpy()
+    order = np.argsort(h)
+    return h[order], c[order], counts.where(step < least)
+
+
 def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
     """Arrow batches of at most 16 MB, unless the session has a bound of its own: long texts come in small batches."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

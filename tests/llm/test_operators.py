@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -552,14 +553,163 @@ def test_quality_query(spark, small, corpus):
         assert not (r["base_failed"] and r["kept"])
 
 
-def test_kneser_ney_sums_to_one():
+def test_spelling_sums_to_one():
     data, offsets = textbytes.of_texts(["the cat sat on the mat, the cat ran", "a dog ran on"])
-    codes, n = np.unique(quality.gram_codes(data, offsets), return_counts=True)
-    model = quality.KneserNey.fit(codes, n)
-    for context in (codes[3] >> 6, codes[10] >> 6, 63 | 62 << 6 | 61 << 12):
-        every = (int(context) << 6) + np.arange(64)
-        assert np.isclose((10.0 ** model.score(every)).sum(), 1, atol=1e-9)
-    assert np.allclose(model.score(codes), model.dense()[codes], atol=1e-5)
+    spans = textbytes.Spans(data, offsets, textbytes.NOT_SPACE)
+    codes, n = np.unique(quality.spelling_codes(data, spans.starts, spans.ends)[0], return_counts=True)
+    model = quality.Spelling.fit(codes, n)
+    for context in (int(codes[3]) >> 6, int(codes[10]) >> 6, 63 | 62 << 6 | 61 << 12):
+        assert np.isclose((10.0 ** model.score((context << 6) + np.arange(64))).sum(), 1, atol=1e-9)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 2**63), max_size=50))
+def test_numbers_pack(x):
+    assert quality.unpack_numbers(quality.pack_numbers(np.array(x, np.uint64))).tolist() == x
+
+
+def less_discount(counts):
+    n = [0, *(sum(c == i for c in counts) for i in (1, 2, 3, 4))]
+    y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+    d = {i: min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.05), i - 0.05) if n[i] else 0.5 for i in (1, 2, 3)}
+    return lambda c: c - d[min(c, 3)] if c else 0.0
+
+
+def brute_perplexity(texts):
+    """Perplexity a token, by dictionaries of words; with each text's probability of every word after each of its own."""
+    split = [TOKEN.findall(low(t or "")) for t in texts]
+    numbered = {w for w, c in Counter(w for ws in split for w in ws).items() if c >= 3}
+    lines = [["<s>", "<s>", *(w if w in numbered else "?" for w in ws), "</s>"] for ws in split]
+    triples = {t for x in lines for t in zip(x, x[1:], x[2:], strict=False)}
+    left, ends, around = Counter((v, w) for _, v, w in triples), Counter(), Counter(v for _, v, _ in triples)
+    for _, w in left:
+        ends[w] += 1
+    vocabulary = {w for w in numbered if ends[w] >= 2} | {"</s>", "?"}
+    ends["?"] += sum(ends[w] for w in numbered - vocabulary)
+    ends = {w: ends[w] for w in vocabulary}
+    total, give = max(1, sum(ends.values())), less_discount(list(ends.values()))
+    spare = 1 - sum(map(give, ends.values())) / total
+    word = {w: give(c) / total + spare / len(ends) for w, c in ends.items()}
+    give2 = less_discount(list(left.values()))
+    stored = {(v, w): give2(n) / around[v] for (v, w), n in left.items() if n > 1 and v in vocabulary and w in vocabulary}
+    back = Counter()
+    for (v, _), x in stored.items():
+        back[v] += x
+    p = lambda v, w: stored.get((v, w), 0.0) + (1 - back[v]) * word[w]
+    grams = Counter()
+    spelled = lambda w: [0, 0, 0, *quality.CLASSES[list(w.encode())].tolist(), 0]
+    for ws in split:
+        for w in ws:
+            if w not in numbered:
+                c = spelled(w)
+                grams.update(zip(c, c[1:], c[2:], c[3:], strict=False))
+    spelling, counts = [], grams
+    for k in range(4, 0, -1):
+        spelling.append(counts)
+        counts = Counter(g[1:] for g in counts) if k > 1 else counts
+
+    def letter(context, c):
+        out = 1 / 64
+        for k in range(1, 5):
+            level, ctx = spelling[4 - k], tuple(context[4 - k :])
+            rows = {g: n for g, n in level.items() if g[:-1] == ctx}
+            if rows:
+                cut = less_discount(list(level.values()))
+                out = cut(rows.get((*ctx, c), 0)) / sum(rows.values()) + (1 - sum(map(cut, rows.values())) / sum(rows.values())) * out
+        return out
+
+    result = []
+    for ws in split:
+        logp, v = 0.0, "<s>"
+        for w in [*ws, None]:
+            known = "</s>" if w is None else w if w in vocabulary else "?"
+            logp += math.log10(p(v, known))
+            if known == "?":
+                c = spelled(w)
+                logp += sum(math.log10(letter(tuple(c[i - 3 : i]), c[i])) for i in range(3, len(c)))
+            v = known
+        result.append(10 ** (-logp / (len(ws) + 1)) if ws else None)
+    for v in vocabulary | {"<s>"}:
+        assert sum(p(v, w) for w in vocabulary) == pytest.approx(1)
+    return result
+
+
+def sentences(rng, n):
+    """Texts of a grammar, so that the order of words matters."""
+    who, does, what = ("the cat", "a dog", "one bird", "my aunt"), ("sees", "likes", "eats"), ("red fish", "old bread", "the moon", "warm milk")
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    return [" ".join(f"{pick(who)} {pick(does)} {pick(what)} ." for _ in range(int(rng.integers(8, 20)))) for _ in range(n)]
+
+
+def test_perplexity_and_verdict_against_brute_force(spark):
+    """Whole model and bands: two languages, copies, junk, nulls, empty and repeated rows."""
+    rng = np.random.default_rng(5)
+    plain = sentences(rng, 60)
+    junk = [" ".join("".join(chr(97 + int(c)) for c in rng.integers(0, 26, 9)) for _ in range(40)) for _ in range(3)]
+    texts = [*plain, *plain[:1] * 5, *junk, *(t.upper() for t in sentences(rng, 12)), None, "", "too few words", " \n"]
+    langs = ["en"] * 68 + [None] * 12 + ["en"] * 4
+    rows = {r["doc_id"]: r for r in quality.judge(docs_of(spark, texts, langs)).collect()}
+    want = brute_perplexity(texts)
+    passed = {}
+    for i, (t, x) in enumerate(zip(texts, want, strict=True)):
+        n, *_, repeat = brute_rules(t)
+        failed = n < 20 or 100 * repeat > 30 * n
+        assert rows[i]["base_failed"] == failed and (rows[i]["perplexity"] is None) == (x is None)
+        if x is not None:
+            assert rows[i]["perplexity"] == pytest.approx(x, rel=1e-4)
+        if not failed:
+            passed.setdefault(langs[i], []).append(math.log(x))
+    for i, (t, x) in enumerate(zip(texts, want, strict=True)):
+        kept = False
+        if not rows[i]["base_failed"]:
+            own = sorted(passed[langs[i]])
+            q1, q3 = (own[math.ceil(len(own) * q) - 1] for q in (0.25, 0.75))
+            reach, give = 3 * max(q3 - q1, 0.01), 4 / math.sqrt(len(TOKEN.findall(t)))
+            kept = q1 - reach - give <= math.log(x) <= q3 + reach + give
+        assert rows[i]["kept"] == kept, i
+    assert not any(rows[i]["kept"] for i in range(65, 68)) and all(rows[i]["kept"] or rows[i]["base_failed"] for i in range(60))
+
+
+def test_word_order_matters(spark):
+    rng = np.random.default_rng(6)
+    texts = sentences(rng, 200)
+    mixed = [" ".join(rng.permutation(t.split())) for t in texts]
+    model = quality.train(docs_of(spark, texts))
+    measured = [model.texts(textbytes.Spans(*textbytes.of_texts(x), textbytes.NOT_SPACE)) / np.array([len(t.split()) + 1 for t in x]) for x in (texts, mixed)]
+    assert (measured[0] - measured[1]).mean() > 10 * measured[0].std()
+
+
+def test_copies_do_not_lower_perplexity(spark):
+    rng = np.random.default_rng(7)
+    texts = sentences(rng, 30)
+    odd = "strange words stand here once alone and never come back to any other text at all " * 2
+    once, often = (quality.train(docs_of(spark, [*texts, *[odd] * k])) for k in (1, 400))
+    spans = textbytes.Spans(*textbytes.of_texts(texts[:5] + [odd]), textbytes.NOT_SPACE)
+    a, b = once.texts(spans), often.texts(spans)
+    assert np.abs(a - b).max() < 0.1 * np.abs(a).max()
+
+
+def test_counter_blocks_are_bounded_and_exact():
+    """Many flushes give the pairs and neighbours that one pass gives."""
+    texts = [" ".join(f"w{(i * j * j) % 41}" for j in range(50)) for i in range(60)]
+    data, offsets = textbytes.of_texts(texts)
+    h = np.unique(textbytes.Spans(data, offsets, textbytes.NOT_SPACE).hashes(textbytes.LOWER))[::2]
+    found = []
+    for most, bits in ((40, 2), (1 << 20, 0)):
+        counter, rows = quality._Counter(h, 3 + np.arange(len(h)), bits, most), []
+        for i in range(len(texts)):
+            rows += counter.take(data[offsets[i] : offsets[i + 1]], offsets[i : i + 2] - offsets[i], None) or ()
+        rows += counter.finish()
+        blocks = defaultdict(list)
+        for b in rows:
+            for r in b.to_pylist():
+                blocks[r["kind"], r["block"]].append(r)
+        total = Counter()
+        for group in blocks.values():
+            for r in quality._count_group(pa.Table.from_pylist(group, schema=rows[0].schema)).to_pylist():
+                total[r["kind"], r["code"]] += r["n"]
+        found.append({k: n for k, n in total.items() if n})
+    assert found[0] == found[1]
 
 
 # ---- 10
