@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh, kernel_columns, ragged, written
+from .shared import fresh, kernel_columns, new_path, ragged, remove, written
 from .textbytes import ALNUM, LOWER, Spans, U, covered, of_texts, window_hashes, window_starts
 
 _LOWER = bytes(LOWER)
@@ -72,18 +72,20 @@ class GramIndex:
         return hit, found
 
 
-def index_shards(benchmark: DataFrame, n: int, id_col: str, text_col: str, shard_bytes: int):
-    """Indexes of the benchmark, each of at most shard_bytes of text (or one item)."""
+def shards_of(benchmark: DataFrame, id_col: str, text_col: str, shard_bytes: int) -> list:
+    """Functions that collect the benchmark's rows, each at most shard_bytes of text (or one item), one at a time.
+
+    A benchmark larger than that is written once, in a folder a shard.
+    """
     known = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
     total = known.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     if total <= shard_bytes:
-        yield GramIndex([tuple(r) for r in known.collect()], n)
-        return
-    shards = -(-total // shard_bytes) * 2
-    for s in range(shards):
-        rows = known.where(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == s).collect()
-        if rows:
-            yield GramIndex([tuple(r) for r in rows], n)
+        return [lambda: [tuple(r) for r in known.collect()]]
+    n, path = -(-total // shard_bytes) * 2, new_path(benchmark.sparkSession, "benchmark")
+    dealt = known.withColumn("_shard", F.pmod(F.xxhash64("i", "t"), F.lit(n)))
+    dealt.write.partitionBy("_shard").parquet(path)
+    table = benchmark.sparkSession.read.schema(dealt.schema).parquet(path)
+    return [lambda s=s: [tuple(r) for r in table.where(F.col("_shard") == s).select("i", "t").collect()] for s in range(n)]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = 8 << 20) -> DataFrame:
@@ -91,16 +93,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "te
 
     Fields: n_words, n_hit (words inside a hit), hits (positions of hit words), items (ids found, sorted as strings).
     A null or empty text has no words and no hits; an empty benchmark hits nothing; a null item id is left out of `items`
-    though its words count as hit. Repeated rows are judged alike; the input's own columns stay, whatever their names.
+    though its words count as hit; an item_id with more rows than one is one item with the windows of all. Repeated rows are
+    judged alike; a text of any length is scanned whole; the input's own columns stay, whatever their names.
     """
     name = fresh("decontam", docs.columns)
     spark = docs.sparkSession
     own = [fresh(f"_d{k}", docs.columns) for k in range(3)]
     fields = [T.StructField(o, kind) for o, kind in zip(own, (T.LongType(), T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())), strict=True)]
     columns, out, first = list(docs.columns), docs, True
-    shards = list(index_shards(benchmark, n, item_col, item_text_col, shard_bytes))
-    for k, index in enumerate(shards or [GramIndex([], n)]):
-        handle = spark.sparkContext.broadcast(index)
+    shards, last, handle = shards_of(benchmark, item_col, item_text_col, shard_bytes), None, None
+    for k, rows in enumerate(shards):
+        handle = spark.sparkContext.broadcast(GramIndex(rows(), n))
         new = [fresh(f"_e{i}", [*columns, *own]) for i in range(3)]
         part = kernel_columns(out, text_col, [T.StructField(n, f.dataType) for n, f in zip(new, fields, strict=True)], lambda h=handle: _kernel(h.value))
         if first:
@@ -108,8 +111,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "te
         else:
             out = part.select(*columns, F.col(own[0]), *[F.array_distinct(F.concat(F.col(o), F.col(n))).alias(o) for o, n in zip(own[1:], new[1:], strict=True)])
         first = False
-        if k + 1 < len(shards):
+        if k + 1 < len(shards):  # one shard is in memory at a time
             out = written(out, "decontam")
+            handle.destroy()
+            if last is not None:
+                remove(last)
+            last = out
     out = out.select(*columns, F.struct(F.col(own[0]).alias("n_words"), F.size(own[1]).cast("long").alias("n_hit"), F.array_sort(own[1]).alias("hits"), F.array_sort(own[2]).alias("items")).alias(name))
     out.decontam_column = name
     return out
@@ -136,17 +143,17 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **opti
     return found.select("doc_id", d["n_words"].alias("n_words"), d["n_hit"].alias("n_hit"), F.size(d["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(d["items"], ","), 256).alias("items_sha256"), (d["n_hit"] > 0).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", text_col: str = "text", **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", text_col: str = "text", **options) -> DataFrame:
     """docs without what the benchmark hits: whole documents, or ("spans") the hit words with what stands between them.
 
     A null text stays as it is. A document of which nothing remains keeps the empty text.
     """
     found = scan(docs, benchmark, text_col=text_col, **options)
     d = F.col(found.decontam_column)
-    if remove == "documents":
+    if mode == "documents":
         return found.where(d["n_hit"] == 0).select(*docs.columns)
-    if remove != "spans":
-        raise ValueError(f"remove must be documents or spans, not {remove}")
+    if mode != "spans":
+        raise ValueError(f"mode must be documents or spans, not {mode}")
     cut = F.pandas_udf(_cut, T.StringType())
     return found.select(*[F.when(d["n_hit"] > 0, cut(F.col(c), d["hits"])).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontam, langid, lbl, neardup, packing, pii, quality, toxicity, urlfilter, warc
 
-#: Rules of the url query, and hosts on its block list.
+#: Rules of the url query.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-BLOCKED = ("cheap-pills.example.net/", "ads-track.example.com/", "casino-win.example.net/", "free-bets.example.net/")
 #: Stands for a secret that a deployment would supply.
 PII_KEY = "marlstone-surrogates"
 
@@ -33,9 +33,16 @@ def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def block_list(pages: DataFrame) -> DataFrame:
+    """Stands for a supplied list: three of sixteen of the folders that pages lie in, by MD5, and a key a page that no page has."""
+    host, path = urlfilter.host_of(F.col("url")), urlfilter.path_of(F.col("url"))
+    folders = pages.select(F.concat(host, F.regexp_extract(path, "(?s)^(/.*/|/)", 1)).alias("key")).where("key rlike '^[^/]+/'").where(F.substring(F.md5("key"), 1, 1).isin("0", "1", "2"))
+    return folders.union(pages.select(F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".listed.example.com/")))).distinct()
+
+
 def op5_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocked = spark.createDataFrame([(k,) for k in BLOCKED], "key string")
-    return urlfilter.judge(table(spark, sf_dir, "pages"), RULES, blocked)
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.judge(pages, RULES, block_list(pages))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,10 +99,11 @@ ORACLE_SQL = {
                      translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
                      coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
         rules(rule, h, p, v) as (values ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
-        listed(h) as (values ('cheap-pills.example.net'), ('ads-track.example.com'), ('casino-win.example.net'), ('free-bets.example.net')),
+        folders as (select distinct host, regexp_extract(path, '(?s)^(/.*/|/)', 1) as p from u where host <> '' and starts_with(path, '/')),
+        listed(h, p) as (select host, p from folders where substr(md5(host || p), 1, 1) in ('0', '1', '2') union all select 'page-' || page_id || '.listed.example.com', '/' from pages),
         r as (select u.*, (select rule from rules where (u.host = h or ends_with(u.host, '.' || h)) and starts_with(u.path, p) order by length(rule) desc limit 1) as rule from u)
         select page_id, host, path, r.rule,
                coalesce((select v from rules x where x.rule = r.rule),
-                        case when starts_with(path, '/') and exists (select 1 from listed where r.host = h or ends_with(r.host, '.' || h)) then 'block' else 'allow' end) as verdict
+                        case when exists (select 1 from listed where (r.host = h or ends_with(r.host, '.' || h)) and starts_with(r.path, p)) then 'block' else 'allow' end) as verdict
         from r""",
 }

@@ -367,14 +367,35 @@ def test_cascade_is_exact(spark):
         cascade = urlfilter.build(spark.createDataFrame(keys, "key string, listed boolean"), bits_per_key=bits, k=2)
         assert all((k in cascade) == v for k, v in keys)
         assert bits == 12 or len(cascade.levels) > 2
-    assert not urlfilter.Cascade([], 2).listed(np.zeros(3, np.uint64)).any()
+        assert cascade.bytes() == sum(map(len, cascade.levels)) == len(b"".join(x.tobytes() for x in cascade.levels))
+    with pytest.raises(urlfilter.TooLarge):
+        urlfilter.build(spark.createDataFrame(keys, "key string, listed boolean"), max_bytes=64)
+    assert not urlfilter.Cascade([], 2).listed((np.zeros(3, np.uint64),) * 2).any()
+
+
+def test_keys_without_a_closing_slash_are_refused(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/x/y")], "page_id long, url string")
+    for rules, key in (({"a.com": "block"}, "b.com/"), ({"a.com/x": "block"}, "b.com/"), ({"a.com/": "block"}, "b.com"), ({}, "b.com/x")):
+        with pytest.raises(ValueError, match="host/"):
+            urlfilter.judge(pages, rules, spark.createDataFrame([(key,)], "key string"))
+    twice = spark.createDataFrame([("a.com/x/",), ("a.com/x/",), (None,)], "key string")
+    assert urlfilter.judge(pages.union(pages), {}, twice).select("verdict").collect() == [("block",)] * 2
+
+
+def test_block_list_gives_both_verdicts(spark):
+    """Folders with and without rules, listed and not; thousands of keys, most of no page."""
+    d = "/root/testdata/sf0.1"
+    rows = queries.op5_urlfilter(spark, d)
+    verdicts = {r["verdict"]: r["count"] for r in rows.where("rule is null").groupBy("verdict").count().collect()}
+    assert verdicts["block"] > 100 and verdicts["allow"] > 100
+    assert queries.block_list(queries.table(spark, d, "pages")).count() > 2500
 
 
 def test_shards_agree(spark, small):
     pages = queries.table(spark, small, "pages")
-    blocked = spark.createDataFrame([(k,) for k in queries.BLOCKED], "key string")
+    blocked = queries.block_list(pages)
     one = sorted(urlfilter.judge(pages, queries.RULES, blocked).collect(), key=lambda r: r["page_id"])
-    many = sorted(urlfilter.judge(pages, queries.RULES, blocked, max_bytes=8).collect(), key=lambda r: r["page_id"])
+    many = sorted(urlfilter.judge(pages, queries.RULES, blocked, max_bytes=200).collect(), key=lambda r: r["page_id"])
     assert one == many
 
 
