@@ -3,20 +3,22 @@
 Writing: a page's record holds an HTTP response whose body has chunked transfer framing. Blocks of over `segment_bytes`
 become a first record and continuation records (WARC-Segment-Number, -Origin-ID, and on the last -Total-Length). Spark's
 text writer lays the records into files, as a WARC record ends with two line ends; so archives go wherever Spark writes.
-Reading: Spark reads whole files, whose size has a bound (records a file times segment size); records are cut by their
-Content-Length. A record in one piece is decoded there and then; only segments are shuffled, grouped by origin, ordered
-by number and checked against the total length.
+Reading: archives named .gz, of one member or of one a record, go through Spark's text reader, cut where a record may
+begin, so that a task holds a record and never an archive; pieces are put together until they have the Content-Length, as
+a payload may hold such a place, too. Archives of another name are read file by file. A record in one piece is decoded
+there and then; only segments are shuffled, grouped by origin, ordered by number and checked against the total length.
 """
 
 from __future__ import annotations
 
 import re
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path
+from .shared import bounded_batches, new_path, written
 
 #: Fixed values of the formats.
 VERSION = "WARC/1.1"
@@ -56,14 +58,16 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     Of equal payloads of min_bytes or more, the rows of the least page_id are responses (rows that repeat it, all of them);
     the others revisit it. Smaller payloads are responses. Payloads of null page_ids alone are responses. Only digests and
-    ids are grouped; the pages themselves move once, and only if some payload repeats.
+    ids are grouped; the pages themselves move once, and only if some payload repeats. Small ones don't move to one place,
+    as they look for no other.
     """
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("payload"))
     pages = pages.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
-    first = pages.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    out = pages.join(first.select(F.col("payload_digest").alias("_digest"), "_first"), F.col("payload_digest") == F.col("_digest"), "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first"))
-    return out.withColumn("refers_to", refers).drop("_digest", "_first")
+    first = pages.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.min_by("url", "page_id").alias("_url"), F.count("*").alias("_n")).where("_n > 1")
+    sought = F.when(F.col("payload_bytes") >= min_bytes, F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    out = pages.join(first.select(F.col("payload_digest").alias("_digest"), "_first", "_url"), sought == F.col("_digest"), "left")
+    other = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
+    return out.withColumns({"refers_to": F.when(other, F.col("_first")), "refers_url": F.when(other, F.col("_url"))}).drop("_digest", "_first", "_url")
 
 
 def write_archives(planned: DataFrame, path: str, segment_bytes: int = 1 << 14, chunk_bytes: int = 1 << 12, records_per_file: int = 4096) -> None:
@@ -72,14 +76,14 @@ def write_archives(planned: DataFrame, path: str, segment_bytes: int = 1 << 14,
     def run(batches):
         for batch in batches:
             out = []
-            for page, url, payload, size, digest, refers, uid in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            for page, url, payload, digest, refers, refers_url, uid in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 body = payload if payload is not None else b""
                 block = HTTP_HEAD + (frame(body, chunk_bytes) if refers is None else b"0\r\n\r\n")
-                target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else "urn:page:unknown"
+                target = _target(url)
                 own = f"<urn:uuid:{uid}>"
-                heads = [f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: {own}", f"WARC-Target-URI: {target}", "WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}", f"X-Page-ID: {'' if page is None else page}"]
+                heads = [f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: {own}", f"WARC-Target-URI: {target}", "WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}", *([] if page is None else [f"X-Page-ID: {quote(str(page), safe='')}"])]
                 if refers is not None:
-                    heads += [f"WARC-Profile: {REVISIT_PROFILE}", f"X-Refers-To-Page-ID: {refers}"]
+                    heads += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To-Target-URI: {_target(refers_url)}", "WARC-Refers-To-Date: 1970-01-01T00:00:00Z", f"X-Refers-To-Page-ID: {quote(str(refers), safe='')}"]
                 pieces = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
                 for k, piece in enumerate(pieces):
                     lines = list(heads)
@@ -92,11 +96,60 @@ def write_archives(planned: DataFrame, path: str, segment_bytes: int = 1 << 14,
                     out.append("\r\n".join([VERSION, *lines, f"Content-Length: {len(piece)}", "", ""]).encode() + piece)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    rows = planned.select("page_id", "url", F.col("payload").cast("binary"), "payload_bytes", "payload_digest", "refers_to", F.expr("uuid()").alias("uid"))
+    rows = planned.select("page_id", "url", F.col("payload").cast("binary"), "payload_digest", "refers_to", "refers_url", F.expr("uuid()").alias("uid"))
     records = rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
     records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
+def _target(url: str | None) -> str:
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else "urn:page:unknown"
+
+
+def _headers(lines: bytes) -> dict[str, str]:
+    """The named fields of a record's head after its first line; names are lower-case."""
+    return {n.strip().lower(): v.strip() for n, _, v in (x.partition(":") for x in lines.decode("utf-8", "replace").split("\r\n")[1:])}
+
+
+#: Where a record may begin; the text reader cuts there.
+CUT = b"\r\n\r\nWARC/"
+
+
+def joined(pieces):
+    """(headers, block) of each record from (file, piece) in order, as cut; Content-Length says what belongs together."""
+    name, heads, parts, size = None, None, [], 0
+    for file, piece in pieces:
+        if file != name:
+            if parts:
+                raise ValueError(f"the last record of {name} is cut short")
+            name = file
+            piece = piece.removeprefix(b"WARC/")
+        if parts:
+            parts.append(CUT)
+        parts.append(piece)
+        if heads is None:  # the head may lie in several pieces, too
+            held = b"".join(parts)
+            end = held.find(b"\r\n\r\n")
+            if end < 0:
+                continue
+            heads = _headers(held[:end])
+            if "content-length" not in heads:
+                raise ValueError(f"no WARC record in {name}")
+            parts = [held[end + 4 :]]
+            size = len(parts[0])
+        else:
+            size += len(CUT) + len(piece)
+        length = int(heads["content-length"])
+        if size < length:
+            continue
+        block = b"".join(parts)
+        if block[length:].strip(b"\r\n"):
+            raise ValueError(f"a record of {name} is longer than it says")
+        yield heads, block[:length]
+        heads, parts = None, []
+    if parts:
+        raise ValueError(f"the last record of {name} is cut short")
+
+
 def records_of(raw: bytes):
     """(headers, block) of each record of an archive's bytes; names are lower-case. Raises on bytes that are no record."""
     at = 0
@@ -104,8 +157,7 @@ def records_of(raw: bytes):
         end = raw.find(b"\r\n\r\n", at)
         if end < 0 or not raw.startswith(b"WARC/", at):
             raise ValueError(f"no WARC record at byte {at}")
-        lines = raw[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        heads = {n.strip().lower(): v.strip() for n, _, v in (x.partition(":") for x in lines)}
+        heads = _headers(raw[at:end])
         size = int(heads["content-length"])
         if len(raw) < end + 4 + size:
             raise ValueError(f"the record at byte {at} is cut short")
@@ -121,35 +173,34 @@ PARSED = "origin string, segment int, total long, record_type string, page_id st
 def parse_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row a record: its origin (its own id, or a continuation's), segment number (0: in one piece) and block."""
 
-    def run(batches):
-        import zlib
-
+    def rows_of(records):
+        rows: list[tuple] = []
+        held = 0
+        text = lambda x: None if x is None else unquote(x)
+        for h, block in records:
+            origin = h.get("warc-segment-origin-id") or h.get("warc-record-id")
+            rows.append((origin, int(h.get("warc-segment-number", 0)), int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, h.get("warc-type"), text(h.get("x-page-id")), text(h.get("x-refers-to-page-id")), (h.get("warc-payload-digest") or "").removeprefix("sha256:") or None, h.get("warc-target-uri"), block))
+            held += len(block)
+            if held > 1 << 22:
+                yield _batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield _batch(rows)
+
+    def streamed(batches):
+        pieces = ((f, p) for b in batches for f, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        yield from rows_of(joined(pieces))
+
+    def whole(batches):
         for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = _gunzip(raw, zlib) if raw[:2] == b"\x1f\x8b" else raw
-                rows: list[tuple] = []
-                held = 0
-                for h, block in records_of(data):
-                    origin = h.get("warc-segment-origin-id") or h.get("warc-record-id")
-                    rows.append((origin, int(h.get("warc-segment-number", 0)), int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, h.get("warc-type"), h.get("x-page-id") or None, h.get("x-refers-to-page-id"), (h.get("warc-payload-digest") or "").removeprefix("sha256:") or None, h.get("warc-target-uri"), block))
-                    held += len(block)
-                    if held > 1 << 22:
-                        yield _batch(rows)
-                        rows, held = [], 0
-                if rows:
-                    yield _batch(rows)
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(run, PARSED)
-
-
-def _gunzip(raw: bytes, zlib) -> bytes:
-    out = []
-    while raw:
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(raw))
-        raw = d.unused_data
-    return b"".join(out)
+            for raw in batch.column(0).to_pylist():
+                yield from rows_of(records_of(raw))
+
+    bounded_batches(spark)
+    files = spark.read.option("recursiveFileLookup", "true")
+    packed = files.option("pathGlobFilter", "*.gz").option("lineSep", CUT.decode()).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary"))
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(~F.col("path").endswith(".gz") & ~F.substring_index("path", "/", -1).rlike("^[._]"))
+    return packed.mapInArrow(streamed, PARSED).union(plain.select("content").mapInArrow(whole, PARSED))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -161,10 +212,12 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row a whole record: record_type, page_id, refers_to, payload_digest (as its header says), url, payload.
 
+    The archives are parsed once, into a work table.
+
     Segments are grouped by origin; a group must have the numbers 1 to its count once each and, in all, the bytes that its
     last record states, or the job fails. payload is the HTTP body without its transfer framing; a revisit's is empty.
     """
-    parsed = parse_archives(spark, path)
+    parsed = written(parse_archives(spark, path), "warc-records")
     names = ["record_type", "page_id", "refers_to", "payload_digest", "url"]
 
     def decode(batches):
@@ -187,7 +240,8 @@ def round_trip(pages: DataFrame, path: str | None = None, id_col: str = "page_id
 
     One row a page: page_id, payload_bytes, payload_digest, record_type, refers_to. Both figures are of the payload as
     decoded; a revisit's come from the response it refers to, whose digest its own header must equal. A null html is
-    empty; null and repeated page_ids keep a record each; other columns are ignored; an empty table gives no rows.
+    empty; null and repeated page_ids keep a record each; of equal payloads the least page_id is the response; a payload of
+    any length is segmented and comes back whole; other columns are ignored; an empty table gives no rows.
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")

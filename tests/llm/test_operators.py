@@ -208,6 +208,35 @@ def test_framing_with_extensions_and_damage():
         warc.unframe(b"5\r\nabc\r\n0\r\n\r\n")
 
 
+def test_archives_of_a_member_a_record_with_misleading_payloads(spark, tmp_path):
+    """Payloads that look like records, ids with line ends, several members and files; what is cut short is refused."""
+    import gzip
+
+    odd = [b"", b"x\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc", b"\r\n\r\nWARC/\r\n\r\nWARC/", bytes(range(256)) * 400, b"end\r\n\r\n"]
+
+    def record(k, body):
+        return b"WARC/1.%d\r\nWARC-Type: resource\r\nWARC-Record-ID: <r%d>\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n" % (k % 2, k, len(body), body)
+
+    whole = [record(k, b) for k, b in enumerate(odd)]
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in whole))
+    (tmp_path / "one.warc.gz").write_bytes(gzip.compress(b"".join(whole[::-1])))
+    (tmp_path / "plain.warc").write_bytes(b"".join(whole))
+    got = sorted((r["origin"], bytes(r["block"])) for r in warc.parse_archives(spark, str(tmp_path)).collect())
+    assert got == sorted((f"<r{k}>", b) for k, b in enumerate(odd) for _ in range(3))
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(whole[3][:-900]))
+    with pytest.raises(Exception, match="cut short"):
+        warc.parse_archives(spark, str(tmp_path)).collect()
+
+
+def test_archives_keep_any_id(spark):
+    rows = [("a\r\nWARC-Type: x", "http://a/ b", "p" * 200), ("ü:é", "http://b/", "p" * 200), (None, None, "q"), ("", "http://c/", "r\r\n\r\nWARC/1.1\r\n" * 40_000)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = {r["page_id"]: r for r in warc.round_trip(pages).collect()}
+    assert set(got) == {r[0] for r in rows}
+    assert got["ü:é"]["refers_to"] == rows[0][0] and got[""]["payload_bytes"] == len(rows[3][2])
+
+
+
 def test_segments(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://x/{i}", "".join(map(str, range(i * 700)))) for i in range(6)], "page_id long, url string, html string")
     path = str(tmp_path / "w")
