@@ -242,8 +242,8 @@ def label(docs: DataFrame, model: Crf, text_col: str = "text", keep: list[str] |
     """docs (its `keep` columns, all by default) with a struct column, named in `.langid_column`: lang, score, shares.
 
     lang is `und` and score 0 if the text is null or empty, has no letters or is of no learned language, or if nothing was
-    learned. shares are the
-    labels' shares of the words, in the model's order.
+    learned. shares are the labels' shares of the words, in the model's order; of equal shares the first label's, in
+    alphabetical order, counts. A text of any length is one chain; repeated rows are labelled alike; columns of any name stay.
     """
     keep = list(docs.columns) if keep is None else keep
     name = fresh("langid", keep)
@@ -279,7 +279,8 @@ def label(docs: DataFrame, model: Crf, text_col: str = "text", keep: list[str] |
 
 
 def predict(docs: DataFrame, model: Crf | None = None, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, held: int = 0, **options) -> DataFrame:
-    """One row a document: doc_id, held_out, lang_pred, score. Repeated rows are judged alike; a null id is in fold 0."""
+    """One row a document: doc_id, held_out, lang_pred, score, as label() says. Repeated rows are judged alike; a null id is in
+    fold 0; texts of any length are judged whole; other columns are ignored; an empty table gives no rows."""
     model = model or fit(docs, id_col, text_col, modulus=modulus, held=held, **options)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     made = label(docs, model, keep=["doc_id"])

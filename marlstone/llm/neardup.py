@@ -165,7 +165,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     in one class; others whose bags overlap by `threshold` are linked, and classes are the components of links. A null
     text or one without words is a class of its own. Rows that repeat an id each get a row; null ids are in their
     class without naming it (class_id is null only in a class of none but null ids). Other columns are ignored; an empty
-    table gives no rows. `slack` is how far below the threshold a pair's signature estimate may lie and still be verified;
+    table gives no rows. A text of any length is signed whole, in a slice of its own. A pair of just the threshold is linked;
+    the class is named by the least id, whatever the order of rows. `slack` is how far below the threshold a pair's signature estimate may lie and still be verified;
     buckets still open with over `few` nodes are compared in blocks of about `block`.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
@@ -203,7 +204,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     ends = late.join(ca, "a", "left").join(cb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     joined = components(ends).select(F.col("node").alias("comp"), F.col("comp").alias("last"))
     named = whole.join(comp2, "node", "left").select("f1", "f2", F.coalesce("comp", "node").alias("comp")).join(joined, "comp", "left").select("f1", "f2", F.coalesce("last", "comp").alias("comp"))
-    rows_ = signed.select("rid", "doc_id", "size", "f1", "f2").join(named, ["f1", "f2"], "left")
+    # texts without words look for no class, and must not meet in one task
+    rows_ = signed.select("rid", "doc_id", "size", "f1", F.when(F.col("size") > 0, F.col("f2")).otherwise(F.col("rid")).alias("f2")).join(named, ["f1", "f2"], "left")
     rows_ = rows_.select("doc_id", F.when(F.col("size") > 0, F.col("comp")).otherwise(F.col("rid")).alias("comp"))
     rows_ = written(rows_, "classed")
     least = rows_.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))

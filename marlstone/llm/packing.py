@@ -39,7 +39,7 @@ class WordEncoder:
     def _learn(self, keys: np.ndarray, words: list[str]):
         """Adds words; keys ascend."""
         odd = [k for k, w in enumerate(words) if self.separator in w]
-        joined = self.separator.join(w for k, w in enumerate(words) if k not in set(odd)) if odd else self.separator.join(words)
+        joined = self.separator.join(w for w in words if self.separator not in w)
         flat = np.array(self.tokenizer.encode_batch_fast([joined + self.separator], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(flat == self.mark)[: len(words) - len(odd)]
         begins = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
@@ -130,7 +130,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = 2048, p
 
     A document is its tokens and end_id; only one of over `size` tokens is cut. A null or empty text is the end alone;
     ids may be null or repeat, each row is packed on its own; other columns are ignored; an empty table gives no rows.
-    A document wider than a batch of Arrow is never split by it: a batch holds whole texts.
+    A document wider than a batch of Arrow is never split by it: a batch holds whole texts. Of open sequences with the same
+    free space the last one opened or filled to it takes the next piece.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -1,9 +1,10 @@
 """Surrogates for personal data, in DataFrame expressions alone.
 
-Entities are found by patterns: e-mail addresses, IPv4 addresses, card and phone numbers, US social security numbers,
-IBANs, keys of 32 or more hexadecimal digits, and names after a title. Each distinct entity (an address in any case, a
-number in any layout) has one row in a dictionary, with a surrogate made from a keyed SHA-512: digits for digits, letters
-for letters, a given name of the same gender and script. A surrogate that another entity has or that is itself found in
+Entities are found by patterns: e-mail addresses, IP addresses, card and phone numbers, US social security numbers, IBANs,
+keys of 32 or more hexadecimal digits, and names after a title. Each distinct entity (an address in any case, a number in
+any layout) has one row in a dictionary, with a surrogate made from a keyed SHA-512: digits for digits, letters for letters,
+a given name of the same gender and script. A name has two rows, one for its last word and one for what stands before it, so
+that Mr. John Smith, Mr. Smith and Mrs. Ann Smith keep one surname, in all documents. A surrogate that another entity has or that is itself found in
 the corpus is made anew with the next attempt number, until all differ; so distinct entities stay distinct, and all
 mentions of one stay alike. The surrogate is then laid out as the mention was: separators, case, checksum.
 
@@ -28,6 +29,7 @@ TITLES = {
     ("f", "cyrillic"): ("Госпожа",),
     ("m", "greek"): ("Κύριος",),
     ("f", "greek"): ("Κυρία",),
+    ("n", "latin"): ("Dr", "Prof", "Professor", "Mx"),
 }
 GIVEN = {
     ("m", "latin"): ("Adrian", "Bruno", "Conrad", "Dominic", "Emil", "Felix", "Gustav", "Hugo", "Ivo", "Julian", "Kaspar", "Leon", "Martin", "Nicolas", "Oscar", "Paul"),
@@ -36,6 +38,7 @@ GIVEN = {
     ("f", "cyrillic"): ("Анна", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Мария", "Нина"),
     ("m", "greek"): ("Ανδρέας", "Γιώργος", "Δημήτρης", "Ηλίας", "Κώστας", "Νίκος", "Πέτρος", "Στέφανος"),
     ("f", "greek"): ("Άννα", "Βασιλική", "Ειρήνη", "Ελένη", "Ζωή", "Κατερίνα", "Μαρία", "Σοφία"),
+    ("n", "latin"): ("Alex", "Andrea", "Chris", "Dominique", "Jean", "Jo", "Kai", "Kim", "Luca", "Nico", "Noa", "Robin", "Sam", "Sascha", "Toni", "Val"),
 }
 SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe ga go ka ke ki ko la le li lo ma me mi mo na ne no ra re ri ro sa".split(),
@@ -51,6 +54,7 @@ PARTICLES = "van|von|der|den|de|del|della|di|da|do|dos|du|la|le|bin|al|ter|zu|af
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)*\.[A-Za-z]{2,}+",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)",
+    "ipv6": r"(?<![\w:.])(?=[^\s]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]))[0-9A-Fa-f]{3,4}(?::[0-9A-Fa-f]{1,4}){0,5}::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})(?![\w:])",
     "card": r"(?<![\w.+\-])(?:\d{16}|3[47]\d{13}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|3[47]\d{2} \d{6} \d{5})(?![\w\-])",
     "phone": r"(?<![\w+])(?:(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{3}[.\- ])\d{3}[.\- ]\d{4}|\+\d(?:[ .\-()]{0,2}\d){7,14})(?!\w)",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
@@ -89,6 +93,11 @@ def _alike(text: Column, digest: Column, skip: int = 0) -> Column:
     return F.array_join(F.transform(chars, one), "")
 
 
+def _hexed(text: Column, digest: Column) -> Column:
+    """text with hexadecimal digits replaced by keyed ones, position by position."""
+    return F.array_join(F.transform(F.split(text, ""), lambda c, i: F.when(c.rlike("^[0-9a-f]$"), F.lower(F.conv((_byte(digest, i * 7 % 61) % 16).cast("string"), 10, 16))).otherwise(c)), "")
+
+
 def _luhn(digits: Column) -> Column:
     """The sum of a number's digits, every second one from the right doubled, modulo 10."""
     n = F.length(digits)
@@ -118,23 +127,29 @@ def surrogate(kind: Column, form: Column, title: Column, key: str, attempt: Colu
     iban = F.concat(F.substring(form, 1, 2), F.upper(_alike(F.lower(F.substring(form, F.lit(3), F.length(form))), digest)))
     long = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(form) / 128).cast("int")), lambda i: F.sha2(F.concat(digest, i.cast("string")), 512)), "")
     hexed = F.substring(F.when(F.length(form) > 256, long).otherwise(F.concat(digest, digest)), F.lit(1), F.length(form))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", drawn).when(kind == "iban", iban).when(kind == "key", hexed).otherwise(_name(form, title, digest))
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ipv6", _hexed(form, digest)).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", drawn).when(kind == "iban", iban).when(kind == "key", hexed).otherwise(_name(kind, form, title, digest, attempt))
 
 
-def _name(form: Column, style: Column, digest: Column) -> Column:
-    """As many names as form has, three at most: a given name of the style, if there are several, and surnames of syllables."""
+def _name(kind: Column, form: Column, style: Column, digest: Column, attempt: Column) -> Column:
+    """For a surname one of syllables in its script; for given names one of the style, with another of syllables after it where
+    there were several or where the first choice was taken."""
     def draw(values, b: Column) -> Column:
         return F.element_at(F.array(*[F.lit(v) for v in values]), b % len(values) + 1)
 
-    def surname(script: str, at: int) -> Column:
+    def word(script: str, at: int) -> Column:
         return F.initcap(F.concat(*[draw(SYLLABLES[script], _byte(digest, at + k)) for k in range(4)]))
 
     def made(gender: str, script: str) -> Column:
-        names = F.size(F.split(form, " "))
-        last = surname(script, 10)
-        return F.when(names == 1, last).when(names == 2, F.concat_ws(" ", draw(GIVEN[gender, script], _byte(digest, 1)), last)).otherwise(F.concat_ws(" ", draw(GIVEN[gender, script], _byte(digest, 1)), surname(script, 20), last))
+        given = draw(GIVEN[gender, script], _byte(digest, 1))
+        more = form.contains(" ") | (attempt > 0)
+        return F.when(kind == "surname", word(script, 10)).when(more, F.concat_ws(" ", given, word(script, 20))).otherwise(given)
+
+    return reduce(lambda c, g: c.when(style == f"{g[0]} {g[1]}", made(*g)), GIVEN, F.when(F.lit(False), F.lit(""))).otherwise(made("n", "latin"))
+
 
-    return reduce(lambda c, g: c.when(style == f"{g[0]} {g[1]}", made(*g)), GIVEN, F.when(F.lit(False), F.lit(""))).otherwise(made("f", "latin"))
+def surname_style(style: Column) -> Column:
+    """A surname's style is its script alone, so that all of a family share it."""
+    return F.concat(F.lit("f "), F.substring_index(style, " ", -1))
 
 
 def style_of(kind: Column, entity: Column) -> Column:
@@ -183,7 +198,8 @@ def replace(docs: DataFrame, key: str, text_col: str = "text", counts: bool = Fa
 
     A null or empty text stays as it is. Rows that repeat get equal texts. Mentions without a
     title of a name that has one elsewhere in its text, or of its last word, are replaced and counted, too. Columns keep their names, types and order,
-    whatever they are called. An empty table gives an empty one.
+    whatever they are called. A text of any length is looked through whole; where two patterns fit at one place, the one that
+    is named first counts. An empty table gives an empty one.
     """
     columns = list(docs.columns)
     rid, ents, count, row, new, names = (fresh(x, columns) for x in ("_rid", "_ents", "n_replaced", "_row", "_new", "_names"))
@@ -194,12 +210,17 @@ def replace(docs: DataFrame, key: str, text_col: str = "text", counts: bool = Fa
     spots = held.select(F.col(rid).alias("rid"), F.posexplode(ents).alias("at", "entity"))
     spots = spots.withColumn("kind", kind_of(F.col("entity")))
     spots = written(spots.withColumn("form", normal_form(F.col("kind"), F.col("entity"))).withColumn("style", style_of(F.col("kind"), F.col("entity"))), "spots")
-    table = dictionary(spots.select("kind", "form", "style"), key)
-    laid = spots.join(table, ["kind", "form", "style"]).select("rid", F.struct("at", lay_out(F.col("kind"), F.col("entity"), F.col("made")).alias("new"), F.when(F.col("kind") == "name", F.col("form")).alias("form"), "made").alias("spot"))
+    named, last = F.col("kind") == "name", lambda c: F.substring_index(c, " ", -1)
+    spots = spots.select("rid", "at", "entity", "kind", "form", F.when(named, "surname").otherwise(F.col("kind")).alias("k"), F.when(named, last(F.col("form"))).otherwise(F.col("form")).alias("f"), F.when(named, surname_style(F.col("style"))).otherwise(F.col("style")).alias("s"), F.when(named & F.col("form").contains(" "), F.regexp_replace("form", " [^ ]+$", "")).alias("given"), "style")
+    parts = spots.select(F.explode(F.array(F.struct(F.col("k").alias("kind"), F.col("f").alias("form"), F.col("s").alias("style")), F.struct(F.lit("given").alias("kind"), F.col("given").alias("form"), "style"))).alias("p")).select("p.*").where("form is not null")
+    table = dictionary(parts, key)
+    main = table.select(F.col("kind").alias("k"), F.col("form").alias("f"), F.col("style").alias("s"), F.col("made").alias("own"))
+    before = table.where("kind = 'given'").select(F.col("form").alias("given"), "style", F.col("made").alias("first"))
+    spots = spots.join(main, ["k", "f", "s"]).join(before, ["given", "style"], "left").withColumn("made", F.concat_ws(" ", "first", "own"))
+    laid = spots.select("rid", F.struct("at", lay_out(F.col("kind"), F.col("entity"), F.col("made")).alias("new"), F.when(F.col("kind") == "name", F.col("form")).alias("form"), "made").alias("spot"))
     rows = laid.groupBy("rid").agg(F.sort_array(F.collect_list("spot")).alias("spots")).select(F.col("rid").alias(row), F.transform("spots", lambda s: s["new"]).alias(new), F.filter("spots", lambda s: s["form"].isNotNull()).alias(names))
     joined = held.join(rows, F.col(rid) == F.col(row))
     plain = F.split(text, ANY, -1)
-    last = lambda c: F.substring_index(c, " ", -1)
     full = F.transform(names, lambda s: F.struct(s["form"].alias("form"), s["made"].alias("made")))
     pairs = F.concat(full, F.transform(F.filter(full, lambda s: s["form"].contains(" ")), lambda s: F.struct(last(s["form"]).alias("form"), last(s["made"]).alias("made"))))
     joined = joined.withColumn(names, pairs)

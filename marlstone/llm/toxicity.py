@@ -127,18 +127,20 @@ def train(positive: list[str], unlabelled: list[str], prior: float, n_features:
     return Classifier(model.keys, params[0].reshape(-1, LEVELS), float(params[1][0]), float(params[1][1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 4, held: int = 2, max_positive: int = 1500, max_unlabelled: int = 4000, max_chars: int = 20_000, **options) -> Classifier:
-    """A classifier of samples of the learning folds: at most max_positive toxic and max_unlabelled other texts.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 4, held: int = 2, max_positive: int = 1500, max_unlabelled: int = 4000, max_chars: int = 20_000, grow: int = 1 << 16, **options) -> Classifier:
+    """A classifier of samples of the learning folds: at most max_positive toxic texts, and max_unlabelled of all texts, which
+    beyond `grow` rows grow with their fourth root.
 
-    The prior is the share of toxic labels among the learning folds' labels. Of a longer text a passage of max_chars
-    characters is taken.
+    The prior is the share of toxic ones among the learning folds' labelled ids; an id with several labels is toxic if one of
+    them says so. Of a longer text a passage of max_chars characters is taken.
     """
     learn = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(fold(F.col("doc_id"), modulus) != held)
-    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("mark")).where((fold(F.col("doc_id"), modulus) != held) & F.col("mark").isNotNull())
+    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("mark")).where((fold(F.col("doc_id"), modulus) != held) & F.col("mark").isNotNull()).groupBy("doc_id").agg(F.max("mark").alias("mark"))
     n, toxic = marks.agg(F.count("*"), F.coalesce(F.sum("mark"), F.lit(0))).first()
     marked = marks.where("mark = 1").select("doc_id")
     pos = sample_rows(learn, ["doc_id"], F.lit(0), max_positive, max_chars, ["text"], ids_of=marked)
-    unl = sample_rows(learn, ["doc_id"], F.lit(0), max_unlabelled, max_chars, ["text"], salt=11)
+    many = int(max_unlabelled * max(1.0, (learn.count() / grow) ** 0.25))
+    unl = sample_rows(learn, ["doc_id"], F.lit(0), many, max_chars, ["text"], salt=11)
     return train([r["text"] for r in pos], [r["text"] for r in unl], min(max(toxic / n if n else 0.01, 1e-4), 0.9), **options)
 
 
@@ -146,7 +148,8 @@ def score(docs: DataFrame, labels: DataFrame, model: Classifier | None = None, i
     """One row a document: doc_id, held_out, score, predicted.
 
     Null and empty texts have the score of a text with no words. With no labels or no texts to learn from, all score low.
-    Repeated rows are scored alike; a null id is in fold 0; other columns are ignored.
+    A text of any length is scored whole; repeated rows are scored alike; a score at the threshold is predicted 1; a null id is
+    in fold 0; other columns are ignored; an empty table gives no rows.
     """
     model = model or fit(docs, labels, id_col, text_col, modulus=modulus, held=held, **options)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

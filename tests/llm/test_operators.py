@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontam, langid, lbl, neardup, packing, pii, quality, queries, shared, textbytes, urlfilter, warc
+from marlstone.llm import decontam, langid, lbl, neardup, packing, pii, quality, queries, shared, textbytes, toxicity, urlfilter, warc
 from tests.compare import same
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -195,6 +195,33 @@ def test_langid_learns_languages_of_long_texts_alone_and_every_language(spark):
 # ---- 2
 
 
+def test_language_query_against_brute_force(spark, small, corpus):
+    """Forward-backward a word at a time, in logarithms, over each whole text; shares, label and fold of the query."""
+    docs = queries.table(spark, small, "documents")
+    model = langid.fit(docs)
+    rows = {r["doc_id"]: r for r in queries.op1_langid(spark, small).collect()}
+    assert set(rows) == set(corpus)
+    add = lambda x, axis: np.logaddexp.reduce(x, axis=axis)
+    for i in sorted(corpus)[:25]:
+        spans = textbytes.Spans(*textbytes.of_texts([corpus[i]["text"] or ""]), textbytes.LETTERS)
+        r = rows[i]
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+        if r["lang_pred"] == "und":
+            continue
+        e = model.emissions(spans).astype(np.float64)
+        alpha, beta = np.zeros_like(e), np.zeros_like(e)
+        alpha[0] = model.start + e[0]
+        for k in range(1, len(e)):
+            alpha[k] = add(alpha[k - 1][:, None] + model.trans, 0) + e[k]
+        for k in range(len(e) - 2, -1, -1):
+            beta[k] = add(model.trans + (e[k + 1] + beta[k + 1])[None, :], 1)
+        post = alpha + beta
+        share = np.exp(post - add(post, 1)[:, None]).mean(0)
+        assert r["score"] == pytest.approx(share.max(), abs=2e-3)
+        assert r["lang_pred"] == model.labels[share.argmax()] or np.sort(share)[-1] - np.sort(share)[-2] < 2e-3
+    assert sum(r["lang_pred"] == "und" for r in rows.values()) < 0.1 * len(rows)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.binary(max_size=300), st.integers(1, 50))
 def test_chunk_framing_round_trip(payload, chunk):
@@ -431,6 +458,53 @@ def test_shards_agree(spark, small):
 # ---- 6
 
 
+def test_toxicity_score_against_brute_force(spark):
+    """Each text's score by a dictionary of its words and word beginnings; repeated labels, nulls, empty and repeated texts."""
+    bad = [f"vile{c}rant awful{c} nasty words here" for c in "abcdefghij"]
+    good = [f"calm {c}lake under green hills and {c}{c} quiet birds" for c in "abcdefghijklmnopqrstuvwxyz"]
+    texts = [(bad[i % 10] + " " if i % 3 == 0 else "") + good[i % 26] + (" vilest" * (i % 5) if i % 3 == 0 else "") for i in range(160)] + [None, "", "12 34", "VILEARANT " * 5]
+    labels = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(0, 160, 2) for _ in range(1 + i % 3)] + [(1, 0, None)], "doc_id long, quality int, toxic int")
+    docs = docs_of(spark, texts)
+    docs = docs.union(docs.where("doc_id = 4"))
+    model = toxicity.fit(docs, labels)
+    assert len(model.keys)
+    rows = toxicity.score(docs, labels).collect()
+    assert len(rows) == len(texts) + 1
+    weight = {int(k): w for k, w in zip(model.keys, model.weights, strict=True)}
+
+    def key(word, k):
+        found = toxicity.keys_of(textbytes.Spans(*textbytes.of_texts([word]), textbytes.LETTERS))
+        return int(found[0][0][0]) if k is None else int(found[1 + toxicity.PREFIXES.index(k)][0][0])
+
+    for r in rows:
+        words = re.findall(r"[A-Za-z\x80-\U0010ffff]+", texts[r["doc_id"]] or "")
+        seen = Counter(key(w, k) for w in words for k in (None, *toxicity.PREFIXES) if k is None or len(w.encode()) > k)
+        margin = model.bias + model.length * math.log1p(len(words)) + sum(weight[f][:min(n, 3)].sum() for f, n in seen.items() if f in weight)
+        want = 1 / (1 + math.exp(-max(-40, min(40, margin))))
+        assert r["score"] == pytest.approx(want, abs=1e-9) and r["predicted"] == (want >= 0.3)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+    toxic = {i for i in range(160) if i % 3 == 0}
+    assert min(r["score"] for r in rows if r["doc_id"] in toxic) > max(r["score"] for r in rows if r["doc_id"] < 160 and r["doc_id"] not in toxic)
+
+
+def test_toxicity_descends_its_risk():
+    """The corrected risk of the fit, by its formula, is below that of no model, and the prior moves it."""
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, 6))
+    plain = [" ".join(word() for _ in range(30)) for _ in range(300)]
+    bad = [t + " rotten filth" * int(rng.integers(1, 4)) for t in plain[:60]]
+
+    def risk(model, prior):
+        p, u = (np.array([model.margin(textbytes.Spans(*textbytes.of_texts([t]), textbytes.LETTERS))[0] for t in x]) for x in (bad, plain[60:] + bad[:30]))
+        return prior * np.logaddexp(0, -p).mean() + max(0, np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean())
+
+    fitted = toxicity.train(bad, plain[60:] + bad[:30], 0.1)
+    nothing = toxicity.Classifier(np.zeros(0, np.uint64), np.zeros((0, toxicity.LEVELS)), 0.0, 0.0)
+    assert risk(fitted, 0.1) < 0.5 * risk(nothing, 0.1)
+    none = toxicity.train([], plain, 0.1)
+    assert none.margin(textbytes.Spans(*textbytes.of_texts(["filth"]), textbytes.LETTERS))[0] < 0
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
     rows = {r["doc_id"]: r for r in queries.op6_toxicity(spark, d).collect()}
@@ -830,6 +904,35 @@ def test_counter_blocks_are_bounded_and_exact():
 # ---- 10
 
 
+def test_names_keep_their_parts(spark):
+    """One surname has one surrogate under any title, given name and document, one given name one; different ones differ;
+    nothing of the real names is left; numbers in any notation agree."""
+    rng = np.random.default_rng(8)
+    given, last = [f"Gv{chr(97 + i)}n" for i in range(20)] + ["Jean-Luc", "Ana Maria"], [f"Lst{chr(97 + i)}{chr(97 + j)}r" for i in range(6) for j in range(6)] + ["O'Neill", "Smith-Jones"]
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    facts, texts = [], []
+    for _ in range(150):
+        g, a, b = pick(given), pick(last), pick(last)
+        facts.append((g, a, b))
+        texts.append(f"Mr. {g} {a} came; Dr {b} and Mrs. {a} left. {g} {a} waved, {a}'s hat fell. From 2001:db8::{int(rng.integers(1, 9))}a1:7 or 2001:DB8:0:0:1:2:3:4.")
+    rows = pii.replace(docs_of(spark, texts), "k", counts=True).orderBy("doc_id").collect()
+    people, names, v6 = defaultdict(set), defaultdict(set), defaultdict(set)
+    for (g, a, b), r, t in zip(facts, rows, texts, strict=True):
+        m = re.fullmatch(r"Mr\. (.+) (\w+) came; Dr (\w+) and Mrs\. (\w+) left\. (.+) (\w+) waved, (\w+)'s hat fell\. From ([0-9a-f:]+) or ([0-9A-F:]+)\.", r["text"])
+        assert m, r["text"]
+        assert m[2] == m[4] == m[6] == m[7] and m[1] == m[5] and r["n_replaced"] == 7
+        people[a].add(m[2])
+        people[b].add(m[3])
+        names[g].add(m[1])
+        assert m[1].split()[0] in pii.GIVEN["m", "latin"]
+        v6[re.search(r"2001:db8::\w+:7", t)[0]].add(m[8])
+        v6["whole"].add(m[9])
+    for found, real in ((people, last), (names, given), (v6, v6)):
+        assert all(len(x) == 1 for x in found.values())
+        assert len({min(x) for x in found.values()}) == len(found)
+        assert not {y for x in found.values() for y in x} & set(real)
+
+
 def test_surrogates(spark):
     texts = [
         "Write to Ann.Lee7@mail.example.com or ANN.LEE7@MAIL.EXAMPLE.COM.",
