@@ -115,7 +115,10 @@ CUT = b"\r\n\r\nWARC/"
 
 
 def joined(pieces):
-    """(headers, block) of each record from (file, piece) in order, as cut; Content-Length says what belongs together."""
+    """(headers, block) of each record from (file, piece) in order, as cut; Content-Length says what belongs together.
+
+    The reader can pass over a cut where line ends before it straddle its buffers; a piece then holds several records.
+    """
     name, heads, parts, size = None, None, [], 0
     for file, piece in pieces:
         if file != name:
@@ -125,27 +128,31 @@ def joined(pieces):
             piece = piece.removeprefix(b"WARC/")
         if parts:
             parts.append(CUT)
+            size += len(CUT)
         parts.append(piece)
-        if heads is None:  # the head may lie in several pieces, too
-            held = b"".join(parts)
-            end = held.find(b"\r\n\r\n")
-            if end < 0:
-                continue
-            heads = _headers(held[:end])
-            if "content-length" not in heads:
-                raise ValueError(f"no WARC record in {name}")
-            parts = [held[end + 4 :]]
-            size = len(parts[0])
-        else:
-            size += len(CUT) + len(piece)
-        length = int(heads["content-length"])
-        if size < length:
-            continue
-        block = b"".join(parts)
-        if block[length:].strip(b"\r\n"):
-            raise ValueError(f"a record of {name} is longer than it says")
-        yield heads, block[:length]
-        heads, parts = None, []
+        size += len(piece)
+        while parts:
+            if heads is None:  # the head may lie in several pieces, too
+                held = b"".join(parts)
+                end = held.find(b"\r\n\r\n")
+                if end < 0:
+                    parts = [held]
+                    break
+                heads = _headers(held[:end])
+                if "content-length" not in heads:
+                    raise ValueError(f"no WARC record in {name}")
+                parts = [held[end + 4 :]]
+                size = len(parts[0])
+            length = int(heads["content-length"])
+            if size < length:
+                break
+            block = b"".join(parts)
+            yield heads, block[:length]
+            rest = block[length:].lstrip(b"\r\n")
+            if rest and not rest.startswith(b"WARC/"):
+                raise ValueError(f"a record of {name} is longer than it says")
+            heads, parts = None, [rest[5:]] if rest else []
+            size = len(rest[5:])
     if parts:
         raise ValueError(f"the last record of {name} is cut short")
 

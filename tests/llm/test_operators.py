@@ -250,6 +250,11 @@ def test_archives_of_a_member_a_record_with_misleading_payloads(spark, tmp_path)
     (tmp_path / "plain.warc").write_bytes(b"".join(whole))
     got = sorted((r["origin"], bytes(r["block"])) for r in warc.parse_archives(spark, str(tmp_path)).collect())
     assert got == sorted((f"<r{k}>", b) for k, b in enumerate(odd) for _ in range(3))
+    many = [b"\r\n" * (k % 9) + b"x" * (k % 211) + b"\r\n" * (k % 7) for k in range(6000)]  # line ends at every place of the reader's buffers
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many" / "a.warc.gz").write_bytes(gzip.compress(b"".join(record(k, b) for k, b in enumerate(many))))
+    got = {r["origin"]: bytes(r["block"]) for r in warc.parse_archives(spark, str(tmp_path / "many")).collect()}
+    assert got == {f"<r{k}>": b for k, b in enumerate(many)}
     (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(whole[3][:-900]))
     with pytest.raises(Exception, match="cut short"):
         warc.parse_archives(spark, str(tmp_path)).collect()
