@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, near-duplicates, decontamination, surrogates, packing.
 
 Each stage gets what its predecessor kept, written as Parquet and read again; all but the last return the columns of
-documents.
+documents, and columns of other names as they are. An empty table stays empty through all stages. Rows that repeat are
+treated alike by each stage but the second.
 """
 
 from __future__ import annotations
@@ -14,22 +15,24 @@ from marlstone.llm.shared import written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or of no learned language by their trigrams, go."""
+    """Documents without letters (null and empty texts are such), or of no learned language by their trigrams, go. A text of
+    any length is judged whole; a null lang teaches nothing and is no reason to go."""
     return langid.keep_known(docs)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the least id stays."""
+    """Of each class of near-duplicates the document with the least id stays; of rows that repeat it, one. Texts without words
+    are no one's copies. A null id stays only where its class has no other."""
     return neardup.keep_first(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark window go."""
+    """Documents with a benchmark window go, wherever in the text it is; null and empty texts have none and stay."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in texts is replaced; every document stays. n_chars follows the text."""
+    """Personal data in texts is replaced; every document stays, null and empty texts as they are. n_chars follows the text."""
     from pyspark.sql import functions as F
 
     out = pii.replace(docs, PII_KEY)
@@ -37,7 +40,8 @@ def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, each with its place in a sequence."""
+    """Pieces of documents, each with its place in a sequence. A null or empty text is its end token alone; only a document
+    longer than a sequence is cut; of equally full sequences any may be taken."""
     return packing.pack(docs)
 
 
