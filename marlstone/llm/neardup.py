@@ -11,8 +11,9 @@ one it shares most bands with, and a link counts once the bags' true overlap is
 compared across components: a bucket within one component gives no more pairs, so a group of copies costs in proportion
 to its size, while no pair of different components is left out (but for those whose signatures differ so much that the
 similarity cannot be near the threshold). Buckets of many documents that share much and yet stay apart are cut into
-blocks; a task compares two blocks as matrices, each pair in the first bucket it shares, and gives a spanning forest of
-the links it finds, so that neither rows nor memory grow with the pairs. Everything between the steps lies in written
+blocks; a task compares two blocks' sketches as matrices, each pair in the first bucket it shares, and a second pass
+fetches the texts of nodes that any such pair needs and gives a spanning forest of the links it finds, so that neither
+rows nor memory grow with the pairs. Everything between the steps lies in written
 tables.
 """
 
@@ -197,7 +198,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     left, right = small.select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca")), small.select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb"))
     pairs = left.join(right, "bucket").where("ca < cb").select("a", "b").distinct()
     links.append(written(_verify(_near(pairs, nodes, threshold - slack), texts, threshold, width), "links"))
-    links.append(written(_compare_blocks(rest.where(F.col("n") > few), nodes, texts, threshold, slack, width, block), "links"))
+    links.append(_compare_blocks(rest.where(F.col("n") > few), nodes, texts, threshold, slack, width, block))
     # what the last links join, component by component
     late = links[2].union(links[3]).select("a", "b")
     ca, cb = comp2.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comp2.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
@@ -236,54 +237,74 @@ def _agree(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series((a == b).mean(axis=1))
 
 
+def _block_pairs(t: pa.Table, least: float):
+    """The rows of a task's two blocks, and which pairs of them its bucket has to compare: of different components, with
+    sketches that agree at `least`, and with no earlier band in common."""
+    blk, node, comp = (t[c].to_numpy() for c in ("blk", "node", "comp"))
+    i, j, bucket = t["i"][0].as_py(), t["j"][0].as_py(), t["bucket"][0].as_py()
+    band = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+    sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(node), -1)
+    x, y = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
+    need = comp[x][:, None] != comp[y][None, :]
+    if i == j:
+        need &= node[x][:, None] < node[y][None, :]
+    agree = np.zeros(need.shape, np.float32)
+    for k in range(sketch.shape[1]):
+        agree += sketch[x, k][:, None] == sketch[y, k][None, :]
+    need &= agree >= least * sketch.shape[1]
+    todo = need.copy()
+    for k in range(band.shape[1]):  # up to the first band a pair shares
+        same = todo & (band[x, k][:, None] == band[y, k][None, :])
+        need[same] = band[x, k][np.nonzero(same)[0]] == bucket
+        todo &= ~same
+    return x, y, need
+
+
 def _compare_blocks(members: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float, slack: float, width: int, block: int) -> DataFrame:
-    """a, b, similarity: of members (bucket, node, comp, n) links across components, enough to join what any link joins."""
+    """a, b, similarity: of members (bucket, node, comp, n) links across components, enough to join what any link joins.
+
+    A first pass sends sketches alone, and says which nodes of a pair of blocks any pair needs; only their texts follow.
+    """
     g = F.ceil(F.col("n") / block)
     own = members.withColumn("blk", F.pmod(F.xxhash64("node"), g).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (g - 1).cast("int"))))
     own = own.select("bucket", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "node", "comp")
-    full = own.join(nodes.select("node", "bands", "sketch"), "node").join(texts, "node").select("bucket", "i", "j", "blk", "node", "comp", "bands", "sketch", "text")
+    signed = nodes.select("node", "bands", "sketch")
+    columns = ["bucket", "i", "j", "blk", "node", "comp", "bands", "sketch"]
+    schema = "bucket long, i int, j int, blk int, node long, comp long, bands array<long>, sketch binary"
+
+    def needed(table: pa.Table) -> pa.Table:
+        x, y, need = _block_pairs(table, threshold - slack)
+        out = table.take(np.union1d(x[need.any(axis=1)], y[need.any(axis=0)]))
+        release()
+        return out
 
     def run(table: pa.Table) -> pa.Table:
-        t = table.combine_chunks()
-        blk, i, j = (t[c].to_numpy() for c in ("blk", "i", "j"))
-        bucket = t["bucket"][0].as_py()
-        node, comp = t["node"].to_numpy(), t["comp"].to_numpy()
-        band = np.array(t["bands"].to_pylist(), np.int64)
-        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(node), -1)
-        x, y = np.flatnonzero(blk == i[0]), np.flatnonzero(blk == j[0])
-        need = comp[x][:, None] != comp[y][None, :]
-        if i[0] == j[0]:
-            need &= node[x][:, None] < node[y][None, :]
-        agree = np.zeros(need.shape, np.float32)
-        for k in range(sketch.shape[1]):
-            agree += sketch[x, k][:, None] == sketch[y, k][None, :]
-        need &= agree >= (threshold - slack) * sketch.shape[1]
-        todo = need.copy()
-        for k in range(band.shape[1]):  # up to the first band a pair shares
-            same = todo & (band[x, k][:, None] == band[y, k][None, :])
-            need[same] = band[x, k][np.nonzero(same)[0]] == bucket
-            todo &= ~same
+        x, y, need = _block_pairs(table, threshold - slack)
+        node, comp = table["node"].to_numpy(), table["comp"].to_numpy()
+        s = overlap_matrix(table["text"].to_pylist(), x, y, width)
         rows: list[tuple[int, int, float]] = []
-        if need.any():
-            s = overlap_matrix(t["text"].to_pylist(), x, y, width)
-            parent: dict[int, int] = {}
-
-            def root(c: int) -> int:
-                while parent.get(c, c) != c:
-                    parent[c] = parent.get(parent[c], parent[c])
-                    c = parent[c]
-                return c
-
-            for p, q in zip(*np.nonzero(need & (s >= threshold - 1e-12)), strict=True):
-                a, b = root(int(comp[x[p]])), root(int(comp[y[q]]))
-                if a != b:
-                    parent[b] = a
-                    rows.append((int(node[x[p]]), int(node[y[q]]), float(s[p, q])))
-        columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                parent[c] = parent.get(parent[c], parent[c])
+                c = parent[c]
+            return c
+
+        for p, q in zip(*np.nonzero(need & (s >= threshold - 1e-12)), strict=True):
+            a, b = root(int(comp[x[p]])), root(int(comp[y[q]]))
+            if a != b:
+                parent[b] = a
+                rows.append((int(node[x[p]]), int(node[y[q]]), float(s[p, q])))
+        out = list(zip(*rows, strict=True)) if rows else [[], [], []]
         release()
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["a", "b", "similarity"])
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["a", "b", "similarity"])
 
-    return full.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long, similarity double")
+    some = written(own.join(signed, "node").select(*columns).groupBy("bucket", "i", "j").applyInArrow(needed, schema), "needed")
+    full = some.join(texts, "node").select(*columns, "text")
+    links = written(full.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long, similarity double"), "links")
+    remove(some)
+    return links
 
 
 def overlap_matrix(texts: list, x: np.ndarray, y: np.ndarray, width: int = 5) -> np.ndarray:
