@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lbl, neardup, packing, pii, quality, toxicity, urlfilter, warc
+from . import alignment, decontam, langid, lbl, neardup, packing, pii, quality, simhash, spelling, toxicity, urlfilter, warc
 
 #: Rules of the url query.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -65,13 +65,25 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, counts=True)
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_warc, op3_neardup, op4_decontam, op5_urlfilter, op6_toxicity, op7_lbl, op8_packing, op9_quality, op10_pii, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_warc, op3_neardup, op4_decontam, op5_urlfilter, op6_toxicity, op7_lbl, op8_packing, op9_quality, op10_pii, op11_simhash, op12_spelling, op13_alignment, pipeline)}
 
 ORACLE_SQL = {
     "op2_warc": """
