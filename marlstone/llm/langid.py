@@ -239,16 +239,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def label(docs: DataFrame, model: Crf, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs (its `keep` columns, all by default) with a struct column, named in `.langid_column`: lang, score, shares.
+    """docs (its `keep` columns, all by default) with a struct column, named in `.langid_column`: lang, score, foreign, shares.
 
-    lang is `und` and score 0 if the text is null or empty, has no letters or is of no learned language, or if nothing was
-    learned. shares are the labels' shares of the words, in the model's order; of equal shares the first label's, in
+    lang is `und` and score 0 if the text is null or empty or has no letters, or if nothing was learned; any other text gets a
+    learned language, and foreign says if by its letter trigrams it is of none of them. shares are the labels' shares of the words, in the model's order; of equal shares the first label's, in
     alphabetical order, counts. A text of any length is one chain; repeated rows are labelled alike; columns of any name stay.
     """
     keep = list(docs.columns) if keep is None else keep
     name = fresh("langid", keep)
-    own = [fresh(x, keep) for x in ("_lang", "_score", "_shares")]
-    kinds = (T.StringType(), T.DoubleType(), T.ArrayType(T.FloatType()))
+    own = [fresh(x, keep) for x in ("_lang", "_score", "_shares", "_foreign")]
+    kinds = (T.StringType(), T.DoubleType(), T.ArrayType(T.FloatType()), T.BooleanType())
     handle = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -259,13 +259,13 @@ def label(docs: DataFrame, model: Crf, text_col: str = "text", keep: list[str] |
             spans = Spans(data, offsets, LETTERS)
             n = len(spans.counts)
             if not model.labels or not len(spans):
-                return [[UNKNOWN] * n, np.zeros(n), [[]] * n]
+                return [[UNKNOWN] * n, np.zeros(n), [[]] * n, [False] * n]
             kinds = features(spans, model.bits)
             post = model.marginals(spans, model.emissions(spans, kinds))[0]
-            known = (spans.counts > 0) & ~model.foreign(spans, kinds, post)
+            known = spans.counts > 0
             share = np.column_stack([sums_by(spans.first, post[:, c].astype(np.float64)) for c in range(post.shape[1])]) / np.maximum(spans.counts, 1)[:, None]
             best = np.where(known, share.argmax(1), len(model.labels))
-            return [list(names[best]), np.where(known, np.clip(share.max(1), 0, 1), 0.0), list(share.astype(np.float32))]
+            return [list(names[best]), np.where(known, np.clip(share.max(1), 0, 1), 0.0), list(share.astype(np.float32)), known & model.foreign(spans, kinds, post)]
 
         return kernel
 
@@ -273,7 +273,7 @@ def label(docs: DataFrame, model: Crf, text_col: str = "text", keep: list[str] |
     source = docs.withColumn(has, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     out = kernel_columns(source, text_col, [T.StructField(o, k) for o, k in zip(own, kinds, strict=True)], make, [*keep, has], 1 << 20)
     letters = F.col(has)
-    out = out.select(*keep, F.struct(F.when(letters, F.col(own[0])).otherwise(UNKNOWN).alias("lang"), F.when(letters, F.col(own[1])).otherwise(0.0).alias("score"), F.col(own[2]).alias("shares")).alias(name))
+    out = out.select(*keep, F.struct(F.when(letters, F.col(own[0])).otherwise(UNKNOWN).alias("lang"), F.when(letters, F.col(own[1])).otherwise(0.0).alias("score"), (letters & F.col(own[3])).alias("foreign"), F.col(own[2]).alias("shares")).alias(name))
     out.langid_column = name
     return out
 
@@ -289,7 +289,7 @@ def predict(docs: DataFrame, model: Crf | None = None, id_col: str = "doc_id", t
 
 
 def keep_known(docs: DataFrame, min_score: float = 0.3, text_col: str = "text", **options) -> DataFrame:
-    """docs whose language is known with at least min_score of their words; the columns stay as they are."""
+    """docs whose language is learned, by trigrams and at least min_score of their words; the columns stay as they are."""
     made = label(docs, fit(docs, text_col=text_col, **options), text_col)
     x = F.col(made.langid_column)
-    return made.where((x["lang"] != UNKNOWN) & (x["score"] >= min_score)).select(*docs.columns)
+    return made.where((x["lang"] != UNKNOWN) & ~x["foreign"] & (x["score"] >= min_score)).select(*docs.columns)
