@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import nfc, tokens
-from marlstone.operators import bm25, chunk, tables, vector
+from marlstone.operators import chunk, tables, vector
+from marlstone.operators.ann import VectorIndex
+from marlstone.operators.keywords import KeywordIndex
+from marlstone.operators.snapshot import Version, fingerprint
 from marlstone.plans.indexing import Indexer
 from marlstone.plans.retriever import Retriever
 from marlstone.sources import extract, scan
@@ -25,19 +28,43 @@ class Engine:
     scorer: object = None
     split: Callable = tokens
     options: dict = field(default_factory=dict)  # of Retriever: vector_n, bm25_n, rrf_k, rerank_n, delta_mode
-
-    def _index(self) -> bm25.Index | None:
-        """The keyword index of the store as it is: the saved one if it was built of this state, which no scan has to tell."""
-        fingerprint, path = self.indexer.store.state(), f"{self.indexer.home}/bm25"
-        found = bm25.load(self.indexer.spark, path, fingerprint, self.split)
-        if found is None and self.indexer.store.current():
-            bm25.save(bm25.build(self.indexer.store.read(), split=self.split), path, fingerprint)
-            found = bm25.load(self.indexer.spark, path, fingerprint, self.split)
-        return found
+    approximate: bool = False  # search vectors by an index in lists, not by a scan of all
+
+    def __post_init__(self):
+        self.keywords = KeywordIndex(self.indexer.spark, f"{self.indexer.home}/keywords", self.split)
+        self.vectors = VectorIndex(self.indexer.spark, f"{self.indexer.home}/vectors", keep=tuple(vector.FILTERS.values()))
+        if self.mode == "hybrid" or self.approximate:
+            self.indexer.on_change = self._follow
+
+    def _follow(self, before: Version, after: Version, added: DataFrame, removed: DataFrame) -> None:
+        """The indexes take a run's chunks, if they are of the state that the run began with; one that is not is built anew when it
+        is next asked for."""
+        if self.mode == "hybrid" and (self.keywords.fingerprint() == fingerprint(before.folders) or not before.folders):
+            self.keywords.append(added, removed, fingerprint(after.folders))
+        if self.approximate and self.vectors.fingerprint() == fingerprint(before.folders):
+            self.vectors.append(added, removed, fingerprint(after.folders))
+
+    def _vectors(self) -> VectorIndex | None:
+        """The vector index of the store as it is; built anew, too, once the rows are four times what its lists were fitted for."""
+        state = self.indexer.store.latest()
+        if not self.approximate or not state.folders:
+            return None
+        if self.vectors.fingerprint() != fingerprint(state.folders) or self.vectors.n > 4 * self.vectors.manifest()["trained"]:
+            self.vectors.build(self.indexer.store.read(at=state), fingerprint(state.folders))
+        return self.vectors
+
+    def _index(self) -> KeywordIndex | None:
+        """The keyword index of the store as it is, which no scan has to tell: the runs have kept it, or it is built."""
+        state = self.indexer.store.latest()
+        if not state.folders:
+            return None
+        if self.keywords.fingerprint() != fingerprint(state.folders):
+            self.keywords.build(self.indexer.store.read(at=state).select("chunk_id", "text"), fingerprint(state.folders))
+        return self.keywords
 
     def search_documents(self, query: str, n_results: int = 10, file_type: str | None = None, author: str | None = None, doc_type: str | None = None) -> DataFrame:
         index = self._index() if self.mode == "hybrid" else None
-        r = Retriever(self.indexer.store.read(), index, self.indexer.embedder, self.scorer, self.mode, self.filter_mode, **self.options)
+        r = Retriever(self.indexer.store.read(), index, self.indexer.embedder, self.scorer, self.mode, self.filter_mode, vectors=self._vectors(), **self.options)
         return r.search(query, n_results, {"file_type": file_type, "author": author, "doc_type": doc_type})
 
     def get_document(self, file_path: str, chunk_offset: int = 0, chunk_limit: int = 50) -> DataFrame:
@@ -45,8 +72,8 @@ class Engine:
         file_path = os.path.expanduser(file_path)
         if not is_under(file_path, self.indexer.root):
             raise PermissionError(f"{file_path} is not under {self.indexer.root}")
-        files = scan.files(self.indexer.spark, file_path, content=True)
-        read = extract.extract_files(files, self.indexer.readers).where("extraction.success")
+        files = scan.files(self.indexer.spark, file_path, None)
+        read = extract.extract_files(files, self.indexer.readers, self.indexer.max_mb).where("extraction.success")
         chunks = chunk.exploded(read, F.lit(file_path), F.col("extraction.text"), self.indexer.chunk_size, self.indexer.overlap)
         return tables.document_page(chunks, file_path, chunk_offset, chunk_limit)
 

@@ -49,6 +49,9 @@ class Index:
             known = self.stats["least"] = [r[0] for r in self.docs.select("chunk_id").orderBy("chunk_id").limit(k).collect()]
         return known[:k]
 
+    def search(self, queries: DataFrame, n: int = 50, delta_mode: str = "library") -> DataFrame:
+        return search(self, queries, n, delta_mode)
+
 
 def term_counts(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", only: DataFrame | None = None, split: Callable[[Column], Column] = tokens) -> DataFrame:
     """chunk_id, term, tf, dl: one shuffle, on the chunk and its terms; with `only` (term), of these terms alone."""

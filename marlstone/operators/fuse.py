@@ -59,7 +59,8 @@ def rerank(hits: DataFrame, query: str, n: int, scorer: Callable[[str, list[str]
         yield rows.assign(rerank_score=pd.Series(values, dtype="float64"), rerank_error=error)
 
     schema = T.StructType([*hits.schema.fields, T.StructField("rerank_score", T.DoubleType()), T.StructField("rerank_error", T.StringType())])
-    return hits.coalesce(1).mapInPandas(score, schema).orderBy(F.desc_nulls_last("rerank_score"), "rank").limit(n)
+    # an exchange of the few hits: without one, whatever finds them would run in one task, too
+    return hits.repartition(1).mapInPandas(score, schema).orderBy(F.desc_nulls_last("rerank_score"), "rank").limit(n)
 
 
 class CrossEncoder:

@@ -1,11 +1,15 @@
 """Indexing: difference, extraction, chunks, metadata, prefix, vectors, upsert, clean-up, tracking.
 
-A run is one plan over the changed files; a file that fails is a row. The store changes in one step at the end, in the
-buckets of changed files alone, so a failed run leaves the last state.
+A run lists the tree without the folders that are excluded, and opens the files that the difference names and no others. What it
+reads is staged once as a table; a file that fails is a row. The store changes in one step at the end, in the
+buckets of changed files alone, so a failed run leaves the last state. The keyword index gets one segment of what came and went.
 """
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +18,7 @@ from pyspark.sql import functions as F
 from marlstone import schema
 from marlstone.functions.text import chunk_id, content_hash
 from marlstone.operators import chunk, embed, metadata, tables
-from marlstone.operators.snapshot import Snapshot
+from marlstone.operators.snapshot import Snapshot, Version
 from marlstone.sources import extract, scan
 
 
@@ -32,41 +36,44 @@ class Indexer:
     batch_size: int = 64
     buckets: int = 256
     readers: dict | None = None  # extract.readers(...): an engine for images, other formats
+    on_change: Callable[[Version, Version, DataFrame, DataFrame], None] | None = None  # (before, after, chunks that came, chunks that went)
 
     def __post_init__(self):
         self.store = Snapshot(self.spark, f"{self.home}/chunks", schema.CHUNK, buckets=self.buckets)
         self.tracker = Snapshot(self.spark, f"{self.home}/tracker", schema.TRACKER, buckets=self.buckets)
 
-    def changes(self) -> DataFrame:
+    def listing(self, folder: str) -> DataFrame:
+        """The files that count, off the tree as it is now; the levels of the walk lie in `folder`."""
+        return scan.once(scan.scan(self.spark, self.root, self.excluded, self.max_mb, lambda level, depth: self._staged(level, f"{folder}/level-{depth}")))
+
+    def changes(self, listing: DataFrame | None = None) -> DataFrame:
         """file_path, change of what differs between the folder and the tracker."""
-        return tables.snapshot_diff(scan.scan(self.spark, self.root, self.excluded, self.max_mb), self.tracker.read())
+        found = scan.once(scan.scan(self.spark, self.root, self.excluded, self.max_mb)) if listing is None else listing
+        return tables.snapshot_diff(found, self.tracker.read())
 
     def pending(self) -> dict[str, int]:
         return {r["change"]: r["count"] for r in self.changes().groupBy("change").count().collect()}
 
     def incremental(self, now: str = "") -> DataFrame:
         """Indexes new and changed files, drops deleted ones; the run's summary."""
-        changes = self.changes().persist()
-        summary = self._apply(changes, now)
-        changes.unpersist()
-        return summary
+        with self._stage() as folder:
+            listing = self._staged(self.listing(folder), f"{folder}/listing")
+            return self._apply(self.changes(listing), listing, folder, now)
 
     def full(self, now: str = "", patterns: tuple[str, ...] = ()) -> DataFrame:
         """Indexes whatever is not indexed with its present hash; it deletes nothing."""
-        files = scan.select_files_full(scan.files(self.spark, self.root), patterns, self.max_mb)
-        wanted = tables.skip_unchanged(files.withColumn("content_hash", content_hash(F.col("file_path"), F.col("mtime"))), self.tracker.read())
-        known = self.tracker.read().select("file_path", F.lit(True).alias("known"))
-        changes = wanted.join(known, "file_path", "left").select("file_path", F.when(F.col("known"), "changed").otherwise("new").alias("change")).persist()
-        skipped = files.count() - changes.count()
-        summary = self._apply(changes, now, skipped)
-        changes.unpersist()
-        return summary
-
-    def build(self, changes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(chunks, results, extracted files) of the new and changed files; only these are opened. The last is persisted."""
-        paths = changes.where("change <> 'deleted'").select("file_path")
-        opened = scan.files(self.spark, self.root, content=True).join(paths, "file_path", "left_semi")
-        read = extract.extract_files(opened, self.readers).persist()
+        with self._stage() as folder:
+            found = scan.files(self.spark, self.root, None, lambda level, depth: self._staged(level, f"{folder}/level-{depth}"))
+            files = self._staged(scan.once(scan.select_files_full(found, patterns, self.max_mb)), f"{folder}/listing")
+            wanted = tables.skip_unchanged(files.withColumn("content_hash", content_hash(F.col("file_path"), F.col("mtime"))), self.tracker.read())
+            known = self.tracker.read().select("file_path", F.lit(True).alias("known"))
+            changes = wanted.join(known, "file_path", "left").select("file_path", F.when(F.col("known"), "changed").otherwise("new").alias("change"))
+            return self._apply(changes, files, folder, now, files.count() - wanted.count())
+
+    def build(self, changes: DataFrame, listing: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+        """(chunks, results) of the new and changed files, as tables in `folder`; only these files are opened, once each."""
+        wanted = scan.even(listing.join(changes.where("change <> 'deleted'"), "file_path", "left_semi"))
+        read = self._staged(extract.extract_files(wanted, self.readers, self.max_mb), f"{folder}/read")
         good = read.where("extraction.success").select("file_path", "mtime", "length", F.col("extraction.text").alias("body"), F.col("extraction.properties").alias("properties"), F.col("extraction.extractor_used").alias("extractor_used"))
         rows = good.withColumn("_chunks", chunk.chunks(F.col("body"), self.chunk_size, self.overlap)).withColumn("first_chunk", F.get("_chunks", F.lit(0)))
         rows = metadata.file_metadata(rows, root=self.root)
@@ -77,21 +84,38 @@ class Indexer:
         rows = rows.withColumn("text", text).where(chunk.not_blank(F.col("text")))
         rows = rows.withColumn("chunk_id", chunk_id(F.col("file_path"), F.col("chunk_index"))).withColumn("embedding", embed.embedded(F.col("text"), self.embedder, self.batch_size))
         results = read.select("file_path", "mtime", F.col("extraction.success").alias("success"), F.col("extraction.error").alias("error"))
-        return rows.select(*[f.name for f in schema.CHUNK.fields]), results, read
+        return self._staged(rows.select(*[f.name for f in schema.CHUNK.fields]), f"{folder}/chunks"), results
 
-    def _apply(self, changes: DataFrame, now: str, skipped: int = 0) -> DataFrame:
-        chunks, results, read = self.build(changes)
-        gone, done = changes.where("change = 'deleted'"), results.where("success").select("file_path")
-        # a re-indexed file's chunks go whole, stale ones with them
-        self.store.change(changes, lambda old: tables.delete_files(tables.delete_files(old, gone), done).unionByName(chunks))
+    def _apply(self, changes: DataFrame, listing: DataFrame, folder: str, now: str, skipped: int = 0) -> DataFrame:
+        changes = self._staged(changes, f"{folder}/changes")
+        chunks, results = self.build(changes, listing, folder)
+        gone, done = changes.where("change = 'deleted'").select("file_path"), results.where("success").select("file_path")
+        over = gone.union(done)  # a re-indexed file's chunks go whole, stale ones with them
+        made = self.store.change(changes, lambda old: tables.delete_files(old, over).unionByName(chunks))
+        if made is not None and self.on_change:
+            before, after = made
+            removed = self.store.read(self.store.buckets_of(changes), before).join(over, "file_path", "left_semi")
+            self.on_change(before, after, chunks, removed)
         rows = results.where("success").select("file_path", F.col("mtime").alias("file_mtime"), content_hash(F.col("file_path"), F.col("mtime")).alias("content_hash"), F.lit(now).alias("last_indexed"), F.lit(True).alias("is_indexed"), F.lit(None).cast("string").alias("error_msg"), F.lit(self.embedder.name).alias("embedding_model"))
         failed = results.where("not success").select("file_path", F.col("error").alias("error_msg"))
         self.tracker.change(changes, lambda old: tables.record_errors(tables.upsert(tables.delete_files(old, gone), rows, "file_path"), failed))
-        counted = self.store.read().join(done, "file_path", "left_semi").groupBy("file_path").agg(F.count("*").alias("n_chunks"))
+        counted = chunks.groupBy("file_path").agg(F.count("*").alias("n_chunks"))
         outcome = results.select("file_path", F.when(F.col("success"), "success").otherwise("failed").alias("status")).join(counted, "file_path", "left")
         if skipped:
             outcome = outcome.unionByName(self.spark.range(skipped).select(F.lit(None).cast("string").alias("file_path"), F.lit("skipped").alias("status"), F.lit(None).cast("long").alias("n_chunks")))
         summary = tables.run_summary(outcome)
-        out = self.spark.createDataFrame([summary.first()], summary.schema)
-        read.unpersist()
-        return out
+        return self.spark.createDataFrame([summary.first()], summary.schema)
+
+    def _staged(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    @contextlib.contextmanager
+    def _stage(self) -> Iterator[str]:
+        """A folder for a run's tables, which goes with the run."""
+        folder = f"{self.home}/runs/{uuid.uuid4().hex}"
+        try:
+            yield folder
+        finally:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import preview
 from marlstone.operators import bm25, fuse, vector
+from marlstone.operators.ann import VectorIndex
 from marlstone.operators.embed import Embedder
+from marlstone.operators.keywords import KeywordIndex
 
 
 @dataclass
@@ -21,7 +23,7 @@ class Retriever:
     """
 
     store: DataFrame
-    index: bm25.Index | None = None
+    index: bm25.Index | KeywordIndex | None = None
     embedder: Embedder | None = None
     scorer: Callable | None = None
     mode: str = "hybrid"
@@ -31,6 +33,7 @@ class Retriever:
     rerank_n: int = 20
     rrf_k: int = fuse.RRF_K
     delta_mode: str = "library"
+    vectors: VectorIndex | None = None  # instead of a scan of the store: approximate
 
     def search(self, query: str, n: int = 10, filters: dict[str, str | None] | None = None, query_vector=None, min_score: float = 0.0) -> DataFrame:
         """chunk_id, text, score, rrf_score, rerank_score, rank; at most rerank_n rows in hybrid mode. A blank query finds nothing."""
@@ -42,13 +45,14 @@ class Retriever:
             if self.embedder is None:
                 raise ValueError("either an embedder or a query vector is needed")
             query_vector = self.embedder.embed([query])[0]
-        near = vector.top(self.store, query_vector, self.vector_n if self.mode == "hybrid" else n, where)
+        wanted = self.vector_n if self.mode == "hybrid" else n
+        near = vector.top(self.store, query_vector, wanted, where) if self.vectors is None else self.vectors.top(query_vector, wanted, where)
         if min_score > 0:
             near = near.where(F.col("score") >= min_score)
         near = ranked(near.select("chunk_id", "score", "distance"), "distance").drop("distance")
         if self.mode == "vector_only" or self.index is None:
             return self._shaped(near.withColumn("rrf_score", F.lit(None).cast("double")), n, query)
-        words = bm25.search(self.index, spark.createDataFrame([(0, query)], "query_id int, text string"), self.bm25_n, self.delta_mode).select("chunk_id", "score", "rank")
+        words = self.index.search(spark.createDataFrame([(0, query)], "query_id int, text string"), self.bm25_n, self.delta_mode).select("chunk_id", "score", "rank")
         if self.filter_mode == "both" and filters:
             kept = words.join(self.store.where(where).select("chunk_id"), "chunk_id", "left_semi")
             words = ranked(kept, F.desc("score"))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from marlstone import schema
 from marlstone.functions.text import file_extension
+from marlstone.sources import tree
 
 
 class Unreadable(Exception):
@@ -639,9 +640,16 @@ def extracted(content: Column, path: Column, by: dict[str, Callable[[bytes], Ext
     return run(content, file_extension(path))
 
 
-def extract_files(files: DataFrame, by: dict[str, Callable[[bytes], Extracted]] | None = None) -> DataFrame:
-    """files (file_path, content, ...) with a column `extraction`; the contents go."""
-    return files.withColumn("extraction", extracted(F.col("content"), F.col("file_path"), by)).drop("content")
+def extract_files(files: DataFrame, by: dict[str, Callable[[bytes], Extracted]] | None = None, max_mb: int = 500) -> DataFrame:
+    """files (place, file_path, ...) with a column `extraction`. Just these files are opened, in the tasks that extract them; one
+    that cannot be read, or is larger than max_mb by now, is a row that says so."""
+
+    def use(raw: bytes | None, why: str | None, extension: str) -> dict:
+        found = extract_one(raw, extension, by or EXTRACTORS)
+        return found | {"metadata": list(found["metadata"].items()), "properties": list(found["properties"].items()), **({"error": why} if why else {})}
+
+    named = files.withColumn("_extension", file_extension(F.col("file_path")))
+    return tree.opened(named, max_mb << 20, use, schema.EXTRACTION, "_extension").drop("_extension")
 
 
 #: Entities of the expression form below.

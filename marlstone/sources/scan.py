@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 import warnings
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import file_extension, nfc
+from marlstone.functions.text import file_extension
+from marlstone.sources import tree
 
 #: The formats, and names that are passed over.
 SUPPORTED = ("hwp", "hwpx", "pdf", "docx", "pptx", "xlsx", "xls", "csv", "txt", "md", "html", "htm", "rtf", "pages", "numbers", "key")
@@ -49,13 +51,25 @@ def select_files_full(files: DataFrame, patterns: tuple[str, ...] = (), max_mb:
     return files.where(supported(F.col("file_path"), extensions) & ~excluded(F.col("file_path"), patterns, ()) & (F.col("length") <= max_mb * 1024 * 1024))
 
 
-def files(spark: SparkSession, root: str, glob: str | None = None, content: bool = False) -> DataFrame:
-    """file_path (composed Unicode), mtime, length (and content) of all files under root. Without content, no file is opened."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    found = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
-    path = F.regexp_replace("path", "^file:/*", "/")
-    return found.select(nfc(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))).alias("file_path"), (F.unix_micros("modificationTime") / 1_000_000).alias("mtime"), "length", *(["content"] if content else []))
+def files(spark: SparkSession, root: str, more: tuple[str, ...] | None = (), keep: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """file_path (composed Unicode), place, mtime, length of the files under root; no file is opened, and no folder entered whose
+    name is excluded (more=None: all are entered). What cannot be read is left out."""
+    skipped = None if more is None else lambda name: excluded(name, more)
+    found = tree.walk(spark, root, skipped, keep)
+    return found.where("error is null").select("file_path", "place", "mtime", "length")
 
 
-def scan(spark: SparkSession, root: str, more: tuple[str, ...] = (), max_mb: int = 500, content: bool = False) -> DataFrame:
-    return select_files(files(spark, root, content=content), root, more, max_mb)
+def scan(spark: SparkSession, root: str, more: tuple[str, ...] = (), max_mb: int = 500, keep: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    return select_files(files(spark, root, more, keep), root, more, max_mb)
+
+
+def once(found: DataFrame) -> DataFrame:
+    """One row a file_path: names that composing makes equal are one file, that of the least place."""
+    rest = [c for c in found.columns if c != "file_path"]
+    return found.groupBy("file_path").agg(F.min(F.struct("place", *[c for c in rest if c != "place"])).alias("f")).select("file_path", *[F.col(f"f.{c}").alias(c) for c in rest])
+
+
+def even(found: DataFrame, size: int = 1 << 27, most: int = 4096) -> DataFrame:
+    """found (length, ...) dealt out so that a task opens about `size` bytes, or `most` files."""
+    n, total = found.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    return found.repartition(max(1, -(-n // most), -(-int(total) // size), min(n, found.sparkSession.sparkContext.defaultParallelism)))

@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.functions.text import nfc
 from marlstone.operators import tables
 from marlstone.operators.snapshot import Snapshot
 from marlstone.plans.indexing import Indexer
+from marlstone.sources import scan
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -21,15 +23,17 @@ def new_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFr
 
 
 def index_stream(indexer: Indexer, checkpoint: str, glob: str | None = None):
-    """A query that indexes files as they come; each micro-batch is one upsert, so a repeated batch changes nothing."""
+    """A query that indexes files as they come; each micro-batch is one upsert, so a repeated batch changes nothing. A file's
+    content is read by the batch that names it, and none of the others'."""
 
     def apply(batch: DataFrame, _: int) -> None:
-        changes = batch.select(F.url_decode(F.replace(F.regexp_replace("path", "^file:/*", "/"), F.lit("+"), F.lit("%2B"))).alias("file_path"), F.lit("changed").alias("change"))
-        changes = changes.persist()
-        indexer._apply(changes, "")
-        changes.unpersist()
+        with indexer._stage() as folder:
+            plain = F.url_decode(F.replace(F.regexp_replace("path", "^file:/*", "/"), F.lit("+"), F.lit("%2B")))
+            listed = batch.select(nfc(plain).alias("file_path"), plain.alias("place"), (F.unix_micros("modificationTime") / 1_000_000).alias("mtime"), "length")
+            listing = indexer._staged(scan.once(scan.select_files(listed, indexer.root, indexer.excluded, indexer.max_mb)), f"{folder}/listing")
+            indexer._apply(listing.select("file_path", F.lit("changed").alias("change")), listing, folder, "")
 
-    stream = new_files(indexer.spark, indexer.root, glob).select("path")
+    stream = new_files(indexer.spark, indexer.root, glob).select("path", "modificationTime", "length")
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
