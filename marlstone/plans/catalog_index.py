@@ -8,18 +8,21 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlstone.api import Engine, contained
 from marlstone.functions import text as X
-from marlstone.operators import bm25, fuse, tables
+from marlstone.operators import bm25, fuse, tables, vector
+from marlstone.operators.ann import VectorIndex
 from marlstone.operators.embed import HashEmbedder, ModelEmbedder, embedded
+from marlstone.operators.keywords import KeywordIndex
 from marlstone.operators.snapshot import Snapshot
 from marlstone.plans.catalog import DISTANCE, FIRST, FIRST_VECTOR, STRIP, TRACKED, UNITS, _bm25_sql, corpus, first_query, first_vector, query, store, table, tracked
 from marlstone.plans.indexing import Indexer
 from marlstone.plans.retriever import Retriever
 from marlstone.session import work_dir
 from marlstone.sources import extract, scan, writers
-from marlstone.streaming import incremental
+from marlstone.streaming import incremental, watch
 
 # ---- paths
 
@@ -185,17 +188,53 @@ def bm25_saved(spark, d):
     return found.select(F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
-SMALL = "documents as (select * from main.documents where doc_id < 20), "
-
-
-@query(f"with {SMALL}{_bm25_sql(FIRST.replace('from benchmark where', 'from main.benchmark where'), 50)} select doc_id, round(score, 6) as score, cast(rank as int) as rank from bm")
+@query(f"with {_bm25_sql(FIRST, 50)} select doc_id, round(score, 6) as score, cast(rank as int) as rank from bm")
 def bm25_add_small(spark, d):
-    docs = corpus(spark, d).where("chunk_id < 20")
+    """Half of the documents after the other half, without knowing the queries beforehand."""
+    docs = corpus(spark, d)
     index = bm25.add(bm25.build(docs.where("chunk_id % 2 = 0")), docs.where("chunk_id % 2 = 1"))
     found = bm25.search(index, first_query(spark, d), 50)
     return found.select(F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
+def _runs(spark, d) -> KeywordIndex:
+    """A kept index after three runs: all but one source; that one comes and another goes; the other comes back."""
+    docs = corpus(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source"), "chunk_id")
+    some = lambda *sources: docs.where(F.col("source").isin(*sources)).select("chunk_id", "text")
+    index = KeywordIndex(spark, f"{work_dir(spark)}/keywords-{uuid.uuid4().hex}", id_type="long")
+    index.append(docs.where("source <> 'src3'").select("chunk_id", "text"), some(), "1")
+    index.append(some("src3"), some("src5"), "2")
+    index.append(some("src5"), some(), "3")
+    return index
+
+
+@query(f"with {_bm25_sql(FIRST, 50)} select doc_id, round(score, 6) as score, cast(rank as int) as rank from bm")
+def bm25_segments(spark, d):
+    found = _runs(spark, d).search(first_query(spark, d), 50)
+    return found.select(F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"with {_bm25_sql('select item_id as q, text as t from benchmark', 10, True)} select q as item_id, doc_id, round(score, 6) as score, cast(rank as int) as rank from bm")
+def bm25_segments_batch(spark, d):
+    """All passages of the benchmark at once, matched words alone."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = _runs(spark, d).search(asked, 10, "paper")
+    return found.select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@query("select count(*) as n_queries, true as found_nine_of_ten, true as distances_exact, true as lists_skipped from embeddings where vec_id % 100 = 0")
+def vector_lists(spark, d):
+    """Every hundredth vector against all, by the index in lists: its recall, held against the exact search."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    index = VectorIndex(spark, f"{work_dir(spark)}/vectors-{uuid.uuid4().hex}", id_type="long")
+    index.build(rows, "1")
+    asked = rows.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    got, want = index.batch(asked, 10), vector.batch_top(rows, asked, 10).select("query_id", "chunk_id", F.col("distance").alias("true"))
+    both = want.join(got, ["query_id", "chunk_id"], "left").agg((F.count("distance") >= 0.9 * F.count("*")).alias("found_nine_of_ten"), F.coalesce(F.bool_and(F.abs(F.col("distance") - F.col("true")) < 1e-6), F.lit(True)).alias("distances_exact"))
+    m = index.manifest()
+    return asked.agg(F.count("*").alias("n_queries")).join(F.broadcast(both), how="full").withColumn("lists_skipped", F.lit(m["probes"] < len(index._model(m)["centers"])))
+
+
 @query(r"select doc_id, cast(len(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda s: s <> '')) as bigint) as n_tokens from documents where regexp_matches(lower(text), '[a-z]')")
 def tokenizer_hook(spark, d):
     """Another tokenizer than white space, as an expression."""
@@ -283,12 +322,7 @@ def index_round(spark, d):
         rows.append((k, s["success"], s["failed"], s["chunks"], indexer.store.read().count()))
 
     run(1)
-    jvm, root = spark._jvm, indexer.home.removesuffix("-home")
-    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/source=src3"), True)
-    for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{root}/source=src7")):
-        fs.setTimes(f.getPath(), 1_700_000_000_000, -1)
-    _put(table(spark, d, "documents").where("source = 'src5' and doc_id % 3 = 0"), root)
+    _mutate(spark, d, indexer.home.removesuffix("-home"))
     run(2)
     run(3)
     return spark.createDataFrame(rows, "round int, success long, failed long, chunks long, stored long")
@@ -350,9 +384,92 @@ def rpc_envelopes(spark, d):
     return spark.createDataFrame([(t, r["result"]["isError"]) for t, r in replies], "tool string, failed boolean")
 
 
+@query(f"""with recursive {_units(WHOLE + " having source <> 'src3'")}, parts as (select row_number() over () as doc_id, x.text as text from chunked where x.text <> ''),
+    {re.sub("[(]?documents[)]?", lambda m: m.group().replace("documents", "parts"), _bm25_sql(FIRST, 20))} select cast(rank as int) as rank, round(score, 6) as score from bm""")
+def index_search(spark, d):
+    """Two runs, a source deleted and one touched between them, and a search off the segments that the runs have kept."""
+    engine = Engine(_indexer(spark, d))
+    engine.reindex("t1")
+    _mutate(spark, d, engine.indexer.root, False)
+    engine.reindex("t2")
+    found = engine.keywords.search(first_query(spark, d), 20)
+    return found.select("rank", F.round("score", 6).alias("score"))
+
+
+@query("select doc_id, text as before, text || '!' as after from documents")
+def read_during_change(spark, d):
+    """A table read after it was changed, by a reader that held it before, and by one that did not."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    target = Snapshot(spark, f"{work_dir(spark)}/versions-{uuid.uuid4().hex}", docs.schema, "doc_id", 8, retention=0.0)
+    target.write(docs)
+    with target.lease() as held:
+        target.change(docs, lambda old: old.withColumn("text", F.concat("text", F.lit("!"))))
+        out = held.withColumnRenamed("text", "before").join(target.read().withColumnRenamed("text", "after"), "doc_id")
+        path = f"{target.path}-seen"
+        out.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("select doc_id, case when doc_id = (select max(doc_id) from documents) then 'mine' else text end as text from documents union all select -1, 'new'")
+def upsert_one(spark, d):
+    """One known row and one unknown one put in, each touching a bucket."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    target = Snapshot(spark, f"{work_dir(spark)}/one-{uuid.uuid4().hex}", docs.schema, "doc_id", 8)
+    target.write(docs)
+    last = docs.agg(F.max("doc_id")).first()[0]
+    for row in ((last, "mine"), (-1, "new")):
+        one = spark.createDataFrame([row], docs.schema)
+        target.change(one, lambda old, one=one: tables.upsert(old, one, "doc_id"))
+    return target.read()
+
+
 # ---- streams
 
 
+def _mutate(spark, d, root: str, more: bool = True) -> None:
+    """A source goes, another is touched, and (if wanted) a third gets a file."""
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/source=src3"), True)
+    for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{root}/source=src7")):
+        fs.setTimes(f.getPath(), 1_700_000_000_000, -1)
+    if more:
+        _put(table(spark, d, "documents").where("source = 'src5' and doc_id % 3 = 0"), root)
+
+
+@query("select source, case source when 'src3' then 'deleted' when 'src7' then 'changed' else 'new' end as change, case when source in ('src3', 'src7') then sum(octet_length(encode(text)) + 1) else sum(octet_length(encode(text)) + 1) filter (doc_id % 3 = 0) end::bigint as length from documents where source in ('src3', 'src5', 'src7') group by source")
+def stream_diff(spark, d):
+    """What the second listing of a folder tells: a source deleted, one rewritten, one with a file more. Also equal to the batch."""
+    root, path = _local(_folder(spark, d)), f"{work_dir(spark)}/diff-{uuid.uuid4().hex}"
+    target = Snapshot(spark, f"{path}/seen", T.StructType([T.StructField("file_path", T.StringType()), T.StructField("mtime", T.DoubleType())]), buckets=4)
+
+    def step(name: str) -> None:
+        watched = watch.changes(spark, root).writeStream.format("parquet").option("path", f"{path}/{name}").option("checkpointLocation", f"{path}/checkpoint-all")
+        watched.trigger(availableNow=True).start().awaitTermination()
+
+    step("told")
+    before = scan.scan(spark, root).select("file_path", F.col("mtime").alias("file_mtime"))
+    before.write.parquet(f"{path}/before")
+    first = spark.read.schema(watch.CHANGED).parquet(f"{path}/told").inputFiles()
+    _mutate(spark, d, root)
+    step("told")
+    told = spark.read.schema(watch.CHANGED).parquet(f"{path}/told").where(~F.input_file_name().isin(first) if first else F.lit(True))
+    batch = tables.snapshot_diff(scan.scan(spark, root), spark.read.parquet(f"{path}/before"))
+    same = told.join(batch, ["file_path", "change"], "full").count() == batch.count() == told.count()
+    return told.where(F.lit(same)).select(_source(), "change", "length")
+
+
+@query("select source, count(*) over (partition by source) as n_files from (select distinct source from documents where source <> 'src3')")
+def stream_keeps_index(spark, d):
+    """An index kept equal to a folder by a stream: what is deleted goes, what is rewritten stays once."""
+    indexer = _indexer(spark, d)
+    for k in range(2):
+        watch.keep(indexer, indexer.home + "-watch").awaitTermination()
+        if not k:
+            _mutate(spark, d, indexer.root, False)
+    return indexer.store.read().groupBy(_source()).agg(F.count_distinct("file_path").alias("n_files"))
+
+
 @query(f"with recursive {_units(WHOLE)} select doc_id as source, cast(len(c) as bigint) as n_chunks from packed")
 def stream_index(spark, d):
     indexer = _indexer(spark, d)
