@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from marlstone.api import Engine, contained
 from marlstone.functions import text as X
-from marlstone.operators import bm25, fuse, tables, vector
+from marlstone.functions.vectors import dot
+from marlstone.operators import bm25, fuse, proximity, semantic, tables, vector
 from marlstone.operators.ann import VectorIndex
 from marlstone.operators.embed import HashEmbedder, ModelEmbedder, embedded
 from marlstone.operators.keywords import KeywordIndex
@@ -265,6 +266,34 @@ def tracker_lookup(spark, d):
     return tables.by_path(rows, rows.agg(F.min("file_path")).first()[0])
 
 
+@query("select count(*) as n_documents, true as ndcg_up_by_a_twentieth from documents")
+def rerank_learned(spark, d):
+    """A reranker learned on passages of the documents, held against the keyword order on other passages."""
+    docs = corpus(spark, d)
+
+    def judged(salt: int) -> DataFrame:
+        asked = proximity.passages(docs, 300, 6, salt)
+        hits = bm25.search(bm25.build(docs, queries=asked), asked, 20)
+        return proximity.judged(asked, hits.select("query_id", "chunk_id", "rank"), docs)
+
+    held = proximity.reranked(judged(12), proximity.learn(judged(11))).persist()
+    up = proximity.gain(held, "new_rank") - proximity.gain(held, "rank")
+    held.unpersist()
+    return docs.agg(F.count("*").alias("n_documents")).withColumn("ndcg_up_by_a_twentieth", F.lit(up >= 0.05))
+
+
+@query("select count(*) as n_pairs, true as nearer_by_four_tenths from documents a join documents b on b.doc_id = a.doc_id + 1")
+def embed_semantic(spark, d):
+    """The halves of one document are nearer each other than those of two documents, by an embedding learned from all of them."""
+    docs = table(spark, d, "documents")
+    learned = semantic.fit(docs, f"{work_dir(spark)}/associations-{uuid.uuid4().hex}", dim=32)
+    first, second = semantic.halves(F.col("text"))
+    own = docs.select("doc_id", embedded(first, learned).alias("a"), embedded(second, learned).alias("b"))
+    next_ = own.select((F.col("doc_id") - 1).alias("doc_id"), F.col("b").alias("c"))
+    margin = F.avg(dot(F.col("a"), F.col("b"))) - F.avg(dot(F.col("a"), F.col("c")))
+    return own.join(next_, "doc_id").agg(F.count("*").alias("n_pairs"), (margin >= 0.4).alias("nearer_by_four_tenths"))
+
+
 # ---- a folder of files, indexed
 
 
