@@ -128,6 +128,8 @@ def links(nodes: DataFrame, radius: int = 3, tile: int = 4096, parts: int | None
     cell = sum((F.shiftleft(c, 8 * k) for k, c in enumerate(counts)), F.lit(0).cast("long"))
     placed = nodes.select("fp", cell.alias("cell"))
     blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / tile).alias("n"))
+    if parts <= 4:  # 17^4 cells at most; to meet by cell, all of a common one would pass one task
+        blocks = F.broadcast(blocks)
     placed = placed.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("fp"), "n").alias("block"), "fp")
 
     def pack(table: pa.Table) -> pa.Table:
