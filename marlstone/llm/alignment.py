@@ -1,7 +1,7 @@
 """Alignment of two tokenizers' tokens by byte offsets: groups that both end at once, and how often two ids end together.
 
 A text is cut before blanks and line ends that follow something else, where no token of either tokenizer crosses; so each
-distinct piece is encoded and aligned once a task. DuckDB aligns a batch's new pieces: their tokens are tables of byte
+distinct piece is encoded and aligned once a Python worker, as long as it is met again. DuckDB aligns a batch's new pieces: their tokens are tables of byte
 intervals; an ASOF join gives each B token the A token that its last byte is in, which are cut where both end; sums
 over windows number the groups; a range join deals the A tokens out to the groups' byte ranges. A text's result is the sum over
 its pieces. Pair counts are summed within each task by DuckDB and merged by Spark.
@@ -118,21 +118,40 @@ TEXT = """select id || sep as t from (
 
 
 class Aligner:
-    """Aligned pieces of a task, each distinct one once; at most `most` are kept."""
+    """Aligned pieces, each distinct one once. Of more than `most` those stay that were met twice since there were as many."""
+
+    _shared: dict[tuple, Aligner] = {}
+
+    @classmethod
+    def shared(cls, a_path: str, b_path: str) -> Aligner:
+        """One a Python worker, whatever the task: its pieces serve the next task, too."""
+        if (a_path, b_path) not in cls._shared:
+            cls._shared[a_path, b_path] = cls(ByteLevel(a_path), Pieces(b_path))
+        return cls._shared[a_path, b_path]
 
     def __init__(self, a: ByteLevel, b: Pieces, most: int = 300_000):
         import duckdb
 
         self.a, self.b, self.most = a, b, most
         self.db = duckdb.connect(config={"threads": 1, "temp_directory": "", "preserve_insertion_order": False})
-        self.clear()
-
-    def clear(self):
         self.at: dict[bytes, int] = {}
-        self.good, self.n_a, self.n_b = np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.good, self.n_a, self.n_b, self.met = np.zeros(0, bool), *(np.zeros(0, np.int64) for _ in range(3))
         self.groups: list[bytes] = []
         self.first, self.pairs = np.zeros(1, np.int64), np.zeros(0, np.int64)
 
+    def shrink(self):
+        kept = np.flatnonzero(self.met > 1)
+        kept = kept if 2 * len(kept) < self.most else kept[:0]
+        place = np.full(len(self.met), -1)
+        place[kept] = np.arange(len(kept))
+        place = place.tolist()
+        self.at = {name: place[k] for name, k in self.at.items() if place[k] >= 0}
+        self.groups = [self.groups[k] for k in kept.tolist()]
+        size = (self.first[1:] - self.first[:-1])[kept]
+        self.pairs = self.pairs[np.arange(int(size.sum())) + np.repeat(self.first[kept] - (np.cumsum(size) - size), size)]
+        self.first = np.append(0, np.cumsum(size))
+        self.good, self.n_a, self.n_b, self.met = self.good[kept], self.n_a[kept], self.n_b[kept], np.zeros(len(kept), np.int64)
+
     def places(self, raw: bytes, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Each piece's place among those kept; new ones are aligned. Those that end with white space, at a text's end, are
         encoded by themselves."""
@@ -146,6 +165,7 @@ class Aligner:
                 names.setdefault(raw[begins[k] : ends[k]], False)
             self._add(list(names))
             out[new] = [at[raw[begins[k] : ends[k]]] for k in new.tolist()]
+        self.met += np.bincount(out, minlength=len(self.met))
         return out
 
     def _add(self, names: list[bytes], size: int = 1 << 18):
@@ -165,7 +185,7 @@ class Aligner:
         n = len(names)
         n_a, n_b, groups, lens, flat = self._align(names, np.array(good, bool), *tokens)
         self.good = np.append(self.good, np.array(good, bool))
-        self.n_a, self.n_b = np.append(self.n_a, n_a), np.append(self.n_b, n_b)
+        self.n_a, self.n_b, self.met = np.append(self.n_a, n_a), np.append(self.n_b, n_b), np.append(self.met, np.zeros(n, np.int64))
         self.groups += groups
         self.first = np.append(self.first, self.first[-1] + np.cumsum(lens))
         self.pairs = np.append(self.pairs, flat)
@@ -247,7 +267,7 @@ class Aligner:
         digests, pairs = [hashlib.sha256() for _ in range(m)], [[] for _ in range(m)]
         for j in range(0, len(begins), step):
             if len(self.groups) > self.most:
-                self.clear()
+                self.shrink()
             t = text[j : j + step]
             place = self.places(raw, begins[j : j + step], ends[j : j + step])
             heads = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
@@ -280,9 +300,8 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        aligner = None
         for batch in batches:
-            aligner = aligner or Aligner(ByteLevel(a_path), Pieces(b_path))
+            aligner = Aligner.shared(a_path, b_path)
             data, offsets = utf8_column(batch.column(1))
             nulls = np.asarray(batch.column(1).is_null())
             for i, j in row_slices(offsets, max_bytes):
