@@ -6,7 +6,8 @@ any layout) has one row in a dictionary, with a surrogate made from a keyed SHA-
 a given name of the same gender and script. A name has two rows, one for its last word and one for what stands before it, so
 that Mr. John Smith, Mr. Smith and Mrs. Ann Smith keep one surname, in all documents. A surrogate that another entity has or that is itself found in
 the corpus is made anew with the next attempt number, until all differ; so distinct entities stay distinct, and all
-mentions of one stay alike. The surrogate is then laid out as the mention was: separators, case, checksum.
+mentions of one stay alike; surnames grow longer with the attempts, so there is no end of them. The surrogate is then laid out as
+the mention was: separators, case, checksum.
 
 Documents without entities pass through; the others, with the places of their entities, are written once, joined with the
 dictionary by entity, and put together again by row. No text is grouped, and nothing reaches the driver but counts.
@@ -46,25 +47,32 @@ SYLLABLES = {
     "greek": "βα βε δα δε κα κε κο λα λε λι μα με μι να νε νο".split(),
 }
 
-TITLE = "|".join(t for names in TITLES.values() for t in names)
+#: Capitalised words that end a name; those of the second line may be one, right after a title.
+STOP = "The An This That These Those He She It They We You His Her Its Their My Our Your And But Or So If When While As At In On Of For From To With By After Before Then There Here Who What Where Why How Is Was Has Had Will Not No Yes All Some Many Most Later Today Yesterday Tomorrow Now Der Die Das Und Aber Le La Les Et Mais El Los Las Pero".split()
+DATES = "Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December Montag Dienstag Mittwoch Donnerstag Freitag Samstag Sonntag Januar Februar März Mai Juni Juli Oktober Dezember Lundi Mardi Mercredi Jeudi Vendredi Samedi Dimanche Lunes Martes Jueves Viernes Domingo Enero Febrero Marzo Abril Mayo Junio Julio Agosto Septiembre Octubre Noviembre Diciembre".split()
+
+ALL_TITLES = {g: (*names, *(n.upper() for n in names)) for g, names in TITLES.items()}
+TITLE = "|".join(t for names in ALL_TITLES.values() for t in names)
+_END = r"(?![\p{L}\p{M}])"
+_NO_STOP, _NO_DATE = (rf"(?!(?:{'|'.join([*words, *(w.upper() for w in words)])}){_END})" for words in (STOP, DATES))
 #: A word of a name: an initial, or a capital and letters of either case, over hyphens and apostrophes but for a genitive's.
-NAME = r"\p{Lu}(?:\.(?= \p{Lu})|[\p{L}\p{M}]*+(?:(?:-|['’](?!s(?!\p{L})))\p{L}[\p{L}\p{M}]*+)*+)"
+NAME = r"\p{Lu}(?:\.(?= {1,4}\p{Lu})|[\p{L}\p{M}]*+(?:(?:-|['’](?!s(?!\p{L})))\p{L}[\p{L}\p{M}]*+)*+)"
 PARTICLES = "van|von|der|den|de|del|della|di|da|do|dos|du|la|le|bin|al|ter|zu|af|av"
 #: Possessive and anchored, so that a long run without an entity costs its length once.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)*\.[A-Za-z]{2,}+",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)",
-    "ipv6": r"(?<![\w:.])(?=[^\s]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]))[0-9A-Fa-f]{3,4}(?::[0-9A-Fa-f]{1,4}){0,5}::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})(?![\w:])",
+    "ipv6": r"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=(?:[0-9A-Fa-f]{0,4}:){2,8}[0-9A-Fa-f]{0,4}(?![\w:]))(?:[0-9A-Fa-f]{3,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?|::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}))(?![\w:])",
     "card": r"(?<![\w.+\-])(?:\d{16}|3[47]\d{13}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|3[47]\d{2} \d{6} \d{5})(?![\w\-])",
     "phone": r"(?<![\w+])(?:(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{3}[.\- ])\d{3}[.\- ]\d{4}|\+\d(?:[ .\-()]{0,2}\d){7,14})(?!\w)",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}+|(?: \d{4}){3,7}+(?: \d{1,3})?)(?!\w)",
     "key": r"(?<!\w)(?=[a-fA-F]*+\d)[0-9a-fA-F]{32,}+(?!\w)",
-    "name": r"(?<!\p{L})(?:" + TITLE + r")\.? " + NAME + r"(?:(?: (?:" + PARTICLES + r")){0,3}+ " + NAME + r")*+",
+    "name": r"(?<!\p{L})(?:" + TITLE + r")\.? {1,4}+" + _NO_STOP + NAME + r"(?:(?: {1,4}+(?:" + PARTICLES + r")){0,3}+ {1,4}+" + _NO_STOP + _NO_DATE + NAME + r")*+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A cheap look first: most texts have none of these.
-HINT = r"[0-9@]|(?:" + TITLE + r")\.? "
+HINT = r"[0-9@]|(?:" + TITLE + r")\.? +"
 
 
 def kind_of(entity: Column) -> Column:
@@ -74,7 +82,16 @@ def kind_of(entity: Column) -> Column:
 def normal_form(kind: Column, entity: Column) -> Column:
     """What all mentions of one entity share."""
     digits = F.regexp_replace(entity, r"\D", "")
-    return F.when(kind.isin("card", "phone", "ssn"), digits).when(kind == "iban", F.replace(entity, F.lit(" "))).when(kind == "name", F.regexp_replace(entity, r"^\S+ ", "")).otherwise(F.lower(entity))
+    name = F.regexp_replace(F.regexp_replace(entity, r"^\S+ +", ""), " +", " ")
+    return F.when(kind.isin("card", "phone", "ssn"), digits).when(kind == "iban", F.replace(entity, F.lit(" "))).when(kind == "name", name).when(kind == "ipv6", _groups(entity)).otherwise(F.lower(entity))
+
+
+def _groups(address: Column) -> Column:
+    """An IPv6 address in full: eight groups of four digits in small letters."""
+    full = lambda part: F.transform(F.filter(F.split(part, ":"), lambda g: g != ""), lambda g: F.lpad(F.lower(g), 4, "0"))
+    left, right = full(F.substring_index(address, "::", 1)), F.when(address.contains("::"), full(F.substring_index(address, "::", -1))).otherwise(F.array().cast("array<string>"))
+    zeros = F.array_repeat(F.lit("0000"), F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0)))
+    return F.array_join(F.concat(left, zeros, right), ":")
 
 
 def _byte(digest: Column, k) -> Column:
@@ -93,9 +110,10 @@ def _alike(text: Column, digest: Column, skip: int = 0) -> Column:
     return F.array_join(F.transform(chars, one), "")
 
 
-def _hexed(text: Column, digest: Column) -> Column:
-    """text with hexadecimal digits replaced by keyed ones, position by position."""
-    return F.array_join(F.transform(F.split(text, ""), lambda c, i: F.when(c.rlike("^[0-9a-f]$"), F.lower(F.conv((_byte(digest, i * 7 % 61) % 16).cast("string"), 10, 16))).otherwise(c)), "")
+def _address(digest: Column) -> Column:
+    """An IPv6 address of the prefix for documents, with 64 keyed bits around two groups of zeros."""
+    group = lambda k: F.concat(F.substring(F.lit("123456789abcdef"), _byte(digest, k) % 15 + 1, F.lit(1)), F.substring(digest, k * 2 + 3, 3))
+    return F.concat_ws(":", F.lit("2001:db8"), group(8), group(16), F.lit("0:0"), group(24), group(32))
 
 
 def _luhn(digits: Column) -> Column:
@@ -127,17 +145,18 @@ def surrogate(kind: Column, form: Column, title: Column, key: str, attempt: Colu
     iban = F.concat(F.substring(form, 1, 2), F.upper(_alike(F.lower(F.substring(form, F.lit(3), F.length(form))), digest)))
     long = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(form) / 128).cast("int")), lambda i: F.sha2(F.concat(digest, i.cast("string")), 512)), "")
     hexed = F.substring(F.when(F.length(form) > 256, long).otherwise(F.concat(digest, digest)), F.lit(1), F.length(form))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ipv6", _hexed(form, digest)).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", drawn).when(kind == "iban", iban).when(kind == "key", hexed).otherwise(_name(kind, form, title, digest, attempt))
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ipv6", _address(digest)).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", drawn).when(kind == "iban", iban).when(kind == "key", hexed).otherwise(_name(kind, form, title, digest, attempt))
 
 
 def _name(kind: Column, form: Column, style: Column, digest: Column, attempt: Column) -> Column:
-    """For a surname one of syllables in its script; for given names one of the style, with another of syllables after it where
-    there were several or where the first choice was taken."""
+    """For a surname one of four syllables in its script and one more an attempt; for given names one of the style, with such a
+    word after it where there were several or where the first choice was taken."""
     def draw(values, b: Column) -> Column:
         return F.element_at(F.array(*[F.lit(v) for v in values]), b % len(values) + 1)
 
     def word(script: str, at: int) -> Column:
-        return F.initcap(F.concat(*[draw(SYLLABLES[script], _byte(digest, at + k)) for k in range(4)]))
+        more = F.transform(F.sequence(F.lit(0), attempt), lambda i: F.when(i < attempt, draw(SYLLABLES[script], _byte(digest, i + at + 4))).otherwise(""))
+        return F.initcap(F.concat(*[draw(SYLLABLES[script], _byte(digest, at + k)) for k in range(4)], F.array_join(more, "")))
 
     def made(gender: str, script: str) -> Column:
         given = draw(GIVEN[gender, script], _byte(digest, 1))
@@ -155,7 +174,12 @@ def surname_style(style: Column) -> Column:
 def style_of(kind: Column, entity: Column) -> Column:
     """Gender and script of a name, by its title; empty for other entities."""
     title = F.regexp_extract(entity, r"^([^ .]+)", 1)
-    return F.coalesce(*[F.when((kind == "name") & title.isin(*names), F.lit(f"{g} {s}")) for (g, s), names in TITLES.items()], F.lit(""))
+    return F.coalesce(*[F.when((kind == "name") & title.isin(*names), F.lit(f"{g} {s}")) for (g, s), names in ALL_TITLES.items()], F.lit(""))
+
+
+def is_shouted(name: Column) -> Column:
+    """Whether a name is in capitals; a single initial doesn't tell."""
+    return name.rlike(r"^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$")
 
 
 def lay_out(kind: Column, entity: Column, made: Column) -> Column:
@@ -165,39 +189,46 @@ def lay_out(kind: Column, entity: Column, made: Column) -> Column:
     filled = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(r"^\d$"), F.substring(made, F.aggregate(F.slice(marks, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x), F.lit(1))).otherwise(c)), "")
     spaced = F.trim(F.regexp_replace(made, "(.{4})", "$1 "))
     upper = (entity == F.upper(entity)) & (entity != F.lower(entity))
+    shouted = is_shouted(F.regexp_replace(entity, r"^\S+ +", ""))
     return (
         F.when(kind.isin("card", "phone", "ssn"), filled)
         .when(kind == "iban", F.when(entity.contains(" "), spaced).otherwise(made))
-        .when(kind == "name", F.concat(F.regexp_extract(entity, r"^\S+ ", 0), made))
+        .when(kind == "ipv6", F.when(upper, F.upper(F.when(entity.contains("::"), F.replace(made, F.lit(":0:0:"), F.lit("::"))).otherwise(made))).when(entity.contains("::"), F.replace(made, F.lit(":0:0:"), F.lit("::"))).otherwise(made))
+        .when(kind == "name", F.concat(F.regexp_extract(entity, r"^\S+ +", 0), F.when(shouted, F.upper(made)).otherwise(made)))
         .otherwise(F.when(upper, F.upper(made)).otherwise(made))
     )
 
 
 def dictionary(found: DataFrame, key: str, most: int = 64) -> DataFrame:
-    """kind, form, style, made of the distinct entities of found(kind, form, style): surrogates all different and none of them an entity."""
-    with_made = lambda d: d.withColumn("made", surrogate(F.col("kind"), F.col("form"), F.col("style"), key, F.col("attempt")))
-    known = found.groupBy("kind", "form", "style").agg(F.count("*").alias("mentions")).drop("mentions")
-    table = written(with_made(known.withColumn("attempt", F.lit(0))), "surrogates")
-    for _ in range(most):
-        first = table.groupBy("kind", "made").agg(F.min("form").alias("first"), F.min("style").alias("_style"), F.count("*").alias("n"))
-        real = table.select("kind", F.col("form").alias("made"), F.lit(True).alias("real")).distinct()
-        joined = table.join(first.where("n > 1").drop("n"), ["kind", "made"], "left").join(real, ["kind", "made"], "left")
-        clash = F.coalesce((F.col("form") != F.col("first")) | (F.col("style") != F.col("_style")), F.lit(False)) | F.col("real").isNotNull()
-        marked = written(joined.select("kind", "form", "style", "attempt", clash.alias("clash")), "surrogates")
+    """kind, form, style, made of the distinct entities of found(kind, form, style): surrogates all different and none of them an
+    entity, whatever the case. Only those that clash are made anew; the others are written once."""
+    known = written(found.groupBy("kind", "form", "style").agg(F.count("*").alias("mentions")).drop("mentions"), "entities")
+    real = known.select("kind", F.lower("form").alias("low"))
+    settled, open_ = [], known
+    for attempt in range(most):
+        made = open_.withColumn("made", surrogate(F.col("kind"), F.col("form"), F.col("style"), key, F.lit(attempt))).withColumn("low", F.lower("made"))
+        taken = reduce(DataFrame.unionByName, [real, *(t.select("kind", F.lower("made").alias("low")) for t in settled)])
+        first = made.groupBy("kind", "low").agg(F.min(F.struct("form", "style")).alias("first"))
+        marked = made.join(first, ["kind", "low"]).join(taken.distinct().withColumn("taken", F.lit(True)), ["kind", "low"], "left")
+        clash = F.col("taken").isNotNull() | (F.struct("form", "style") != F.col("first"))
+        marked = written(marked.select("kind", "form", "style", "made", clash.alias("clash")), "surrogates")
+        settled.append(marked.where("not clash").drop("clash"))
         if marked.where("clash").isEmpty():
-            remove(marked)
-            return table.drop("attempt")
-        nxt = written(with_made(marked.withColumn("attempt", F.col("attempt") + F.col("clash").cast("int")).drop("clash")), "surrogates")
-        remove(table, marked)
-        table = nxt
+            return reduce(DataFrame.unionByName, settled)
+        open_ = marked.where("clash").select("kind", "form", "style")
     raise ValueError("entities outnumber their surrogates")
 
 
+#: A dictionary of at most so many rows is broadcast, so that a very common entity is no key of a shuffle.
+SMALL = 1 << 16
+
+
 def replace(docs: DataFrame, key: str, text_col: str = "text", counts: bool = False) -> DataFrame:
     """docs with each entity in text_col replaced; with `counts`, a column n_replaced (or that name after underscores).
 
     A null or empty text stays as it is. Rows that repeat get equal texts. Mentions without a
-    title of a name that has one elsewhere in its text, or of its last word, are replaced and counted, too. Columns keep their names, types and order,
+    title of a name that has one elsewhere in its text, or of its last word, are replaced and counted, too, but for words that
+    are a day's or a month's. Notations of one IPv6 address are one entity, and so are names in any case. Columns keep their names, types and order,
     whatever they are called. A text of any length is looked through whole; where two patterns fit at one place, the one that
     is named first counts. An empty table gives an empty one.
     """
@@ -211,9 +242,11 @@ def replace(docs: DataFrame, key: str, text_col: str = "text", counts: bool = Fa
     spots = spots.withColumn("kind", kind_of(F.col("entity")))
     spots = written(spots.withColumn("form", normal_form(F.col("kind"), F.col("entity"))).withColumn("style", style_of(F.col("kind"), F.col("entity"))), "spots")
     named, last = F.col("kind") == "name", lambda c: F.substring_index(c, " ", -1)
-    spots = spots.select("rid", "at", "entity", "kind", "form", F.when(named, "surname").otherwise(F.col("kind")).alias("k"), F.when(named, last(F.col("form"))).otherwise(F.col("form")).alias("f"), F.when(named, surname_style(F.col("style"))).otherwise(F.col("style")).alias("s"), F.when(named & F.col("form").contains(" "), F.regexp_replace("form", " [^ ]+$", "")).alias("given"), "style")
+    spots = spots.select("rid", "at", "entity", "kind", "form", F.when(named, "surname").otherwise(F.col("kind")).alias("k"), F.when(named, F.lower(last(F.col("form")))).otherwise(F.col("form")).alias("f"), F.when(named, surname_style(F.col("style"))).otherwise(F.col("style")).alias("s"), F.when(named & F.col("form").contains(" "), F.lower(F.regexp_replace("form", " [^ ]+$", ""))).alias("given"), "style")
     parts = spots.select(F.explode(F.array(F.struct(F.col("k").alias("kind"), F.col("f").alias("form"), F.col("s").alias("style")), F.struct(F.lit("given").alias("kind"), F.col("given").alias("form"), "style"))).alias("p")).select("p.*").where("form is not null")
     table = dictionary(parts, key)
+    if table.count() <= SMALL:
+        table = F.broadcast(table)
     main = table.select(F.col("kind").alias("k"), F.col("form").alias("f"), F.col("style").alias("s"), F.col("made").alias("own"))
     before = table.where("kind = 'given'").select(F.col("form").alias("given"), "style", F.col("made").alias("first"))
     spots = spots.join(main, ["k", "f", "s"]).join(before, ["given", "style"], "left").withColumn("made", F.concat_ws(" ", "first", "own"))
@@ -223,12 +256,16 @@ def replace(docs: DataFrame, key: str, text_col: str = "text", counts: bool = Fa
     plain = F.split(text, ANY, -1)
     full = F.transform(names, lambda s: F.struct(s["form"].alias("form"), s["made"].alias("made")))
     pairs = F.concat(full, F.transform(F.filter(full, lambda s: s["form"].contains(" ")), lambda s: F.struct(last(s["form"]).alias("form"), last(s["made"]).alias("made"))))
+    # in capitals, too; what is written so at its first place is so at the others
+    pairs = F.transform(pairs, lambda s: F.struct(s["form"].alias("form"), F.when(is_shouted(s["form"]), F.upper(s["made"])).otherwise(s["made"]).alias("made")))
+    pairs = F.concat(pairs, F.transform(pairs, lambda s: F.struct(F.upper(s["form"]).alias("form"), F.upper(s["made"]).alias("made"))))
+    pairs = F.filter(pairs, lambda s: ~F.initcap(s["form"]).isin(*STOP, *DATES))  # alone, such a word is more often the date
     joined = joined.withColumn(names, pairs)
     known = F.reverse(F.array_sort(F.transform(names, lambda s: F.struct(F.length(s["form"]).alias("n"), s["form"].alias("form")))))
-    mention = F.concat(F.lit(r"(?<![\p{L}\p{M}])(?:"), F.array_join(F.transform(known, lambda s: F.concat(F.lit(r"\Q"), s["form"], F.lit(r"\E"))), "|"), F.lit(r")(?!-?[\p{L}\p{M}])"))
+    mention = F.concat(F.lit(r"(?<![\p{L}\p{M}])(?:"), F.array_join(F.transform(known, lambda s: F.concat(F.lit(r"\Q"), F.replace(s["form"], F.lit(" "), F.lit(r"\E +\Q")), F.lit(r"\E"))), "|"), F.lit(r")(?!-?[\p{L}\p{M}])"))
 
     def renamed(piece: Column) -> Column:
-        again = F.transform(F.regexp_extract_all(piece, mention, F.lit(0)), lambda m: F.filter(F.col(names), lambda s: s["form"] == m)[0]["made"])
+        again = F.transform(F.regexp_extract_all(piece, mention, F.lit(0)), lambda m: F.filter(F.col(names), lambda s: s["form"] == F.regexp_replace(m, " +", " "))[0]["made"])
         return F.array_join(F.flatten(F.zip_with(F.split(piece, mention, -1), again, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
 
     named = F.size(names) > 0
