@@ -3,11 +3,13 @@
 Words are the runs matching ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z were lower-cased. A test item's windows
 are its runs of `n` words; an item of fewer words, but not none, is one window. A hash hit counts only once the window's
 own bytes agree. The benchmark's bytes are counted first: up to `shard_bytes` they are one broadcast; a larger benchmark
-goes in shards of that size, each scanned in a pass of its own over a written table, so no task ever holds more.
+goes in shards of that size, each scanned in a pass of its own over a table that is written once, so no task ever holds more.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh, kernel_columns, new_path, ragged, remove, written
+from .shared import fresh, kernel_columns, new_path, ragged, written
 from .textbytes import ALNUM, LOWER, Spans, U, covered, of_texts, window_hashes, window_starts
 
 _LOWER = bytes(LOWER)
@@ -91,7 +93,7 @@ def shards_of(benchmark: DataFrame, id_col: str, text_col: str, shard_bytes: int
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = 8 << 20) -> DataFrame:
     """docs with a struct column of what the benchmark's windows hit; its name is returned in `.decontam_column`.
 
-    Fields: n_words, n_hit (words inside a hit), hits (positions of hit words), items (ids found, sorted as strings).
+    An empty table gives no rows. Fields: n_words, n_hit (words inside a hit), hits (positions of hit words), items (ids found, sorted as strings).
     A null or empty text has no words and no hits; an empty benchmark hits nothing; a null item id is left out of `items`
     though its words count as hit; an item_id with more rows than one is one item with the windows of all. Repeated rows are
     judged alike; a text of any length is scanned whole; the input's own columns stay, whatever their names.
@@ -100,23 +102,25 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "te
     spark = docs.sparkSession
     own = [fresh(f"_d{k}", docs.columns) for k in range(3)]
     fields = [T.StructField(o, kind) for o, kind in zip(own, (T.LongType(), T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())), strict=True)]
-    columns, out, first = list(docs.columns), docs, True
-    shards, last, handle = shards_of(benchmark, item_col, item_text_col, shard_bytes), None, None
-    for k, rows in enumerate(shards):
+    columns, shards = list(docs.columns), shards_of(benchmark, item_col, item_text_col, shard_bytes)
+
+    def scanned(part: DataFrame, rows, keep: list[str]) -> tuple[DataFrame, object]:
         handle = spark.sparkContext.broadcast(GramIndex(rows(), n))
-        new = [fresh(f"_e{i}", [*columns, *own]) for i in range(3)]
-        part = kernel_columns(out, text_col, [T.StructField(n, f.dataType) for n, f in zip(new, fields, strict=True)], lambda h=handle: _kernel(h.value))
-        if first:
-            out = part.withColumnsRenamed(dict(zip(new, own, strict=True)))
-        else:
-            out = part.select(*columns, F.col(own[0]), *[F.array_distinct(F.concat(F.col(o), F.col(n))).alias(o) for o, n in zip(own[1:], new[1:], strict=True)])
-        first = False
-        if k + 1 < len(shards):  # one shard is in memory at a time
-            out = written(out, "decontam")
-            handle.destroy()
-            if last is not None:
-                remove(last)
-            last = out
+        return kernel_columns(part, text_col, fields, lambda: _kernel(handle.value), keep), handle
+
+    if len(shards) == 1:
+        out, _ = scanned(docs, shards[0], columns)
+    else:
+        # the texts are written once; a shard's pass leaves hits alone, and the first one the numbers of words
+        rid = fresh("_rid", [*columns, *own])
+        base = written(docs.withColumn(rid, F.monotonically_increasing_id()), "decontam")
+        tables = []
+        for k, rows in enumerate(shards):
+            part, handle = scanned(base, rows, [rid])
+            tables.append(written(part if k == 0 else part.where(F.size(own[1]) > 0), "hits"))
+            handle.destroy()  # one shard is in memory at a time
+        hits = reduce(DataFrame.unionByName, tables).groupBy(rid).agg(F.max(own[0]).alias(own[0]), *[F.array_distinct(F.flatten(F.collect_list(o))).alias(o) for o in own[1:]])
+        out = base.join(hits, rid)
     out = out.select(*columns, F.struct(F.col(own[0]).alias("n_words"), F.size(own[1]).cast("long").alias("n_hit"), F.array_sort(own[1]).alias("hits"), F.array_sort(own[2]).alias("items")).alias(name))
     out.decontam_column = name
     return out
