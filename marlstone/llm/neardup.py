@@ -335,8 +335,41 @@ def _near(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return pairs.join(sa, "a").join(sb, "b").where(_agree("sa", "sb") >= least).select("a", "b")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
-    """a, b, similarity of the pairs whose bags overlap by the threshold."""
+def _verify(pairs: DataFrame, texts: DataFrame, threshold: float, width: int, members: int = 64, size: int = 8 << 20) -> DataFrame:
+    """a, b, similarity of the pairs whose bags overlap by the threshold.
+
+    A b of more than `members` partners, or of `size` bytes of them, is parted by a salt into groups of about so many; its text
+    goes to each group once, and is not copied a partner.
+    """
+    sizes = texts.select(F.col("node").alias("a"), F.octet_length("text").alias("n"))
+    load = pairs.join(sizes, "a").groupBy("b").agg(F.ceil(F.greatest(F.count("*") / members, F.sum("n") / size)).alias("salts"))
+    many = written(load.where("salts > 1"), "many")
+    few = _verify_joined(pairs.join(many, "b", "left_anti"), texts, threshold, width)
+    placed = pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), "salts").alias("salt"))
+    ta, tb = texts.select(F.col("node").alias("a"), "text"), texts.select(F.col("node").alias("b"), "text")
+    own = placed.join(ta, "a").select("b", "salt", "a", "text")
+    heads = placed.select("b", "salt").distinct().join(tb, "b").select("b", "salt", F.lit(None).cast("long").alias("a"), "text")
+
+    def run(table: pa.Table) -> pa.Table:
+        node = table["a"].combine_chunks()
+        head = int(np.flatnonzero(node.is_null().to_numpy(zero_copy_only=False))[0])
+        others = np.flatnonzero(node.is_valid().to_numpy(zero_copy_only=False))
+        text, rows = table["text"][head].as_py(), []
+        lengths = np.array([len(table["text"][int(k)].as_py()) for k in others])
+        for part in np.split(others, np.flatnonzero(np.diff(np.cumsum(lengths) // (1 << 21))) + 1):  # long ones one by one
+            if len(part):
+                rows.append(overlap([table["text"][int(k)].as_py() for k in part], [text] * len(part), width))
+        s = np.concatenate(rows) if rows else np.zeros(0)
+        good = s >= threshold - 1e-12
+        release()
+        kept = pa.array(others[good])
+        return pa.table([node.take(kept), table["b"].combine_chunks().take(kept), pa.array(s[good])], names=["a", "b", "similarity"])
+
+    return few.unionByName(own.unionByName(heads).groupBy("b", "salt").applyInArrow(run, "a long, b long, similarity double"))
+
+
+def _verify_joined(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
+    """_verify for b of few partners: both texts of each pair in a row, many pairs at a time."""
     ta, tb = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     joined = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
 

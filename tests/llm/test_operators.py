@@ -1077,3 +1077,16 @@ def test_stages_on_odd_tables(spark, tmp_path):
             if name == "decontaminate" and texts:
                 assert {r["doc_id"] for r in rows} == {0, 1, 2, 3, 4, 5, 6, 7, 8, None}
         p.STAGES[-1][1](spark, df, str(tmp_path)).collect()
+
+
+def test_a_head_of_many_partners_is_salted(spark):
+    """More partners than a group has, and long ones: every link is found, and no row holds the head's text a partner."""
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words)] + [" ".join([*words, f"x{k}"]) for k in range(150)] + ["other words here " * 9] * 2
+    nodes = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "node long, text string")
+    pairs = spark.createDataFrame([(k, 0) for k in range(1, 152)] + [(152, 151)], "a long, b long")
+    want = {(k, 0) for k in range(1, 151)} | {(152, 151)}
+    for members, size in ((64, 8 << 20), (10, 8 << 20), (64, 2000), (1000, 8 << 20)):
+        got = neardup._verify(pairs, nodes, 0.8, 5, members, size).collect()
+        assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want
+        assert all(r["similarity"] == pytest.approx(1.0 if r["b"] else 56 / 57) for r in got)
