@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from marlstone.api import Engine, contained
 from marlstone.functions import text as X
 from marlstone.functions.vectors import dot
-from marlstone.operators import bm25, fuse, proximity, semantic, tables, vector
+from marlstone.operators import bm25, fuse, morphemes, proximity, semantic, tables, vector
 from marlstone.operators.ann import VectorIndex
 from marlstone.operators.embed import HashEmbedder, ModelEmbedder, embedded
 from marlstone.operators.keywords import KeywordIndex
@@ -243,6 +243,24 @@ def tokenizer_hook(spark, d):
     return table(spark, d, "documents").where(F.lower("text").rlike("[a-z]")).select("doc_id", F.size(split(F.col("text"))).cast("long").alias("n_tokens"))
 
 
+@query(r"""with w as (select unnest(regexp_extract_all(lower(text), '\p{L}+')) as word from documents), c as (select word, count(*) as n from w where length(word) <= 24 group by word),
+    p as (select left(word, k) as l, substr(word, k + 1) as r, n from c, unnest(range(greatest(1, length(word) - 4), length(word) + 1)) as t(k)),
+    b as (select 'S' as tag, l as form, n from p union all select 'E', r, n from p where r <> '')
+    select tag, form, count(*) as types, cast(sum(n) as bigint) as n, round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 5) as entropy from b group by tag, form""")
+def morpheme_sides(spark, d):
+    """What stands on the other side of every beginning and end of the words: the counts behind stems, endings and particles."""
+    found = morphemes.sides(morphemes.word_counts(table(spark, d, "documents")))
+    return found.withColumn("entropy", F.round("entropy", 5))
+
+
+@query()
+def morpheme_stems(spark, d):
+    """The stems that search keeps of each document, by the lexicon of all documents."""
+    docs = table(spark, d, "documents")
+    split = morphemes.splitter(morphemes.learn(docs))
+    return docs.select("doc_id", F.size(split(F.col("text"))).cast("long").alias("n_stems"))
+
+
 NEAR = f"select e.vec_id as doc_id, {DISTANCE} as dist, d.text from embeddings e join documents d on d.doc_id = e.vec_id, {FIRST_VECTOR} x order by dist, e.vec_id limit 40"
 
 
