@@ -3,7 +3,8 @@
 Confirmed toxic documents are the positives; all texts of the learning folds, labelled or not, are the unlabelled. The
 risk is prior * R_P(+1) + max(0, R_U(-1) - prior * R_P(-1)) with the logistic loss; where the bracket is negative the step
 goes the other way (Kiryo et al. 2017). The features are the words and word parts that stand out among the positives;
-the fit uses bounded samples, whose bounds are parameters; every text is scored whole.
+how common they are among the unlabelled is counted over all texts of the learning folds. The descent uses bounded samples, whose
+bounds are parameters; every text is scored whole.
 """
 
 from __future__ import annotations
@@ -11,11 +12,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fold, fresh, kernel_columns, sample_rows
+from .shared import fold, fresh, kernel_columns, kernel_rows, sample_rows
 from .textbytes import LETTERS, LOWER, Spans, U, mix, of_texts
 
 _M = U(0x9E3779B97F4A7C15)
@@ -86,14 +88,52 @@ def _shares(spans: Spans) -> list[dict]:
     return out
 
 
-def train(positive: list[str], unlabelled: list[str], prior: float, n_features: int = 3000, epochs: int = 600, rate: float = 0.05, decay: float = 1e-4, seed: int = 5) -> Classifier:
-    """Selects features by how far their share among positives exceeds the unlabelled's, then descends the nnPU risk."""
+def candidates(positive: list[str], least: int = 3) -> np.ndarray:
+    """The keys that `least` positive texts have, sorted: as many as the bounded positives give."""
+    keys, share = _shares(Spans(*of_texts(positive), LETTERS))[0]
+    return keys[share * len(positive) >= least - 0.5]
+
+
+class _Shares:
+    """How many texts have each of some keys once, twice and thrice."""
+
+    def __init__(self, keys: np.ndarray):
+        self.finder = Classifier(keys, np.zeros((len(keys), LEVELS)), 0.0, 0.0)
+        self.counts = np.zeros((len(keys), LEVELS), np.int64)
+
+    def take(self, data, offsets, nulls):
+        _, key, level = self.finder.hits(Spans(data, offsets, LETTERS))
+        self.counts += np.bincount(key * LEVELS + level, minlength=self.counts.size).reshape(self.counts.shape)
+
+    def finish(self):
+        key, level = np.nonzero(self.counts)
+        yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(level.astype(np.int32)), pa.array(self.counts[key, level])], names=["key", "level", "n"])
+
+
+def shares(texts: DataFrame, keys: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By level (keys, share of all rows of texts (text) that have them so often); tasks sum their own first."""
+    n = max(1, texts.count())
+    handle = texts.sparkSession.sparkContext.broadcast(keys)
+    counted = kernel_rows(texts, "text", "key int, level int, n long", lambda: _Shares(handle.value)).groupBy("key", "level").agg(F.sum("n").alias("n")).toArrow()
+    handle.destroy()
+    key, level, times = (counted[c].to_numpy() for c in ("key", "level", "n"))
+    out = []
+    for g in range(LEVELS):
+        own = np.sort(key[level == g])
+        out.append((keys[own], times[level == g][np.argsort(key[level == g])] / n))
+    return out
+
+
+def train(positive: list[str], unlabelled: list[str], prior: float, n_features: int = 3000, epochs: int = 600, rate: float = 0.05, decay: float = 1e-4, seed: int = 5, base_shares: list | None = None, smooth: int = 4000) -> Classifier:
+    """Selects features by how far their share among positives exceeds the unlabelled's (base_shares, where they were counted over
+    more texts than these; `smooth` such texts' worth of doubt stays, whatever their number), then descends the nnPU risk."""
     if not positive or not unlabelled:
         return Classifier(np.zeros(0, np.uint64), np.zeros((0, LEVELS)), -4.0, 0.0)
     groups = [Spans(*of_texts(x), LETTERS) for x in (positive, unlabelled)]
-    n_p, n_u = len(positive), len(unlabelled)
+    n_p, n_u = len(positive), len(unlabelled) if base_shares is None else smooth
+    held = [_shares(groups[0]), _shares(groups[1]) if base_shares is None else base_shares]
     found: dict[int, float] = {}
-    for (kp, sp), (ku, su) in zip(*map(_shares, groups), strict=True):
+    for (kp, sp), (ku, su) in zip(*held, strict=True):
         at = np.minimum(np.searchsorted(ku, kp), max(0, len(ku) - 1))
         base = np.where(ku[at] == kp, su[at], 0.0) if len(ku) else np.zeros(len(kp))
         base = np.maximum(base - prior * sp, 0) / (1 - prior)  # the unlabelled hold positives, too
@@ -129,7 +169,7 @@ def train(positive: list[str], unlabelled: list[str], prior: float, n_features:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 4, held: int = 2, max_positive: int = 1500, max_unlabelled: int = 4000, max_chars: int = 20_000, grow: int = 1 << 16, **options) -> Classifier:
     """A classifier of samples of the learning folds: at most max_positive toxic texts, and max_unlabelled of all texts, which
-    beyond `grow` rows grow with their fourth root.
+    beyond `grow` rows grow with their fourth root. Which features stand out is told by the shares among all texts.
 
     The prior is the share of toxic ones among the learning folds' labelled ids; an id with several labels is toxic if one of
     them says so. Of a longer text a passage of max_chars characters is taken.
@@ -141,7 +181,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     pos = sample_rows(learn, ["doc_id"], F.lit(0), max_positive, max_chars, ["text"], ids_of=marked)
     many = int(max_unlabelled * max(1.0, (learn.count() / grow) ** 0.25))
     unl = sample_rows(learn, ["doc_id"], F.lit(0), many, max_chars, ["text"], salt=11)
-    return train([r["text"] for r in pos], [r["text"] for r in unl], min(max(toxic / n if n else 0.01, 1e-4), 0.9), **options)
+    pos, unl = [r["text"] for r in pos], [r["text"] for r in unl]
+    base = shares(learn.select("text"), candidates(pos)) if pos and unl else None
+    return train(pos, unl, min(max(toxic / n if n else 0.01, 1e-4), 0.9), base_shares=base, smooth=max_unlabelled, **options)
 
 
 def score(docs: DataFrame, labels: DataFrame, model: Classifier | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, modulus: int = 4, held: int = 2, **options) -> DataFrame:

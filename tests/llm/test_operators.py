@@ -1090,3 +1090,19 @@ def test_a_head_of_many_partners_is_salted(spark):
         got = neardup._verify(pairs, nodes, 0.8, 5, members, size).collect()
         assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want
         assert all(r["similarity"] == pytest.approx(1.0 if r["b"] else 56 / 57) for r in got)
+
+
+def test_toxicity_shares_count_all_texts(spark):
+    """Shares of words and beginnings among all rows, by a dictionary, though the descent sees a few of them."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice(["vile", "rotten", "calmness", "lake", "hills"], int(rng.integers(0, 9)))) for _ in range(300)] + [None, ""]
+    keys = toxicity.candidates(["vile rotten", "vile rotten filth", "rotten vile", "lakes"])
+    got = [dict(zip(k.tolist(), s.tolist(), strict=True)) for k, s in toxicity.shares(docs_of(spark, texts).select("text").repartition(3), keys)]
+    for level in range(toxicity.LEVELS):
+        want = Counter()
+        for t in texts:
+            spans = textbytes.Spans(*textbytes.of_texts([t or ""]), textbytes.LETTERS)
+            times = Counter(int(k) for ks, _ in toxicity.keys_of(spans) for k in ks)
+            want.update(k for k in keys.tolist() if times[k] > level)
+        assert got[level] == pytest.approx({k: n / len(texts) for k, n in want.items()})
+    assert len(keys) >= 2
