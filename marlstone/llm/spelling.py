@@ -4,41 +4,87 @@ Each word of the vocabulary emits its full neighbourhood over the letters that t
 replacement and insertion. A candidate that is a word is a near word, so a hash join is all that is needed, and no
 distance is ever computed. Candidates are first 64-bit polynomial hashes, each made of its word's prefix sums in a few
 operations whatever the word's length, and looked up in the sorted hashes of the vocabulary; only those found there become
-strings, which Spark joins to the words. The hashes go out in shards of a bounded size.
+strings, which Spark joins to the words. The hashes go out in shards of a bounded size. Tasks count their own words first.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import bounded_batches, release, remove, written
-from .textbytes import U, mix, powers
+from .textbytes import LOWER, U, byte_set, mix, powers, row_slices, utf8_column
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-RUN = "[A-Za-zÀ-ÿ]+"
 _G = U(0x9E3779B97F4A7C15)
+_ASCII = byte_set((0x41, 0x5A), (0x61, 0x7A))
+
+
+def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text, code points) of the maximal runs of A to Z, a to z and U+00C0 to U+00FF, which are 0xC3 and any byte."""
+    n = len(data)
+    lead = data == 0xC3
+    inside = _ASCII[data] | lead
+    inside[1:] |= lead[:-1]
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    begin, end = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1] | edge[1:n]
+    end[:-1] &= ~inside[1:] | edge[1:n]
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    leads = np.concatenate(([0], np.cumsum(lead)))
+    return starts, ends, np.searchsorted(offsets, starts, "right") - 1, ends - starts - (leads[ends] - leads[starts])
+
+
+class Words:
+    """Counts of a task's words, slips made, flushed whenever there are `most`."""
+
+    def __init__(self, shortest: int, every: int = 97, most: int = 300_000):
+        self.shortest, self.every, self.most, self.counts = shortest, every, most, Counter()
+
+    def take(self, ids: list, data: np.ndarray, offsets: np.ndarray):
+        """ids are texts' keys as strings, None as the empty one. Of the runs that a key's hash picks, one in `every`, each loses
+        the code point that the hash points to."""
+        starts, ends, text, size = runs(data, offsets)
+        kept = np.flatnonzero(size >= self.shortest)
+        raw = LOWER[data].tobytes()
+        found = [raw[a:b] for a, b in zip(starts[kept].tolist(), ends[kept].tolist(), strict=True)]
+        heads = [zlib.crc32(f"{'' if i is None else i}:".encode()) for i in ids]
+        h = np.fromiter(map(zlib.crc32, found, map(heads.__getitem__, text[kept].tolist())), np.int64, len(found))
+        for k in np.flatnonzero(h % self.every == 0).tolist():
+            word, at = found[k].decode(), int(h[k] % size[kept[k]])
+            found[k] = (word[:at] + word[at + 1 :]).encode() if len(word) > self.shortest else None
+        self.counts.update(found)
+        del self.counts[None]
+        if len(self.counts) > self.most:
+            yield self.flush()
+
+    def flush(self) -> pa.RecordBatch:
+        words, n = list(self.counts), list(self.counts.values())
+        self.counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
+
+
+def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = 5, least: int = 3, max_bytes: int = 1 << 20) -> DataFrame:
+    """word, n: of the runs of all texts, slips made, those of `shortest` code points or more that occur `least` times or more."""
 
+    def count(batches):
+        words = Words(shortest)
+        for batch in batches:
+            data, offsets = utf8_column(batch.column(1))
+            ids = batch.column(0).to_pylist()
+            for i, j in row_slices(offsets, max_bytes):
+                yield from words.take(ids[i:j], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            release()
+        yield words.flush()
 
-def runs(text: Column) -> Column:
-    """The runs of letters of a text, A to Z lower-cased."""
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(RUN), F.lit(0))
-
-
-def with_slips(key: Column, run: Column, every: int = 97) -> Column:
-    """A run that the key's hash picks (one in `every`) loses the code point that the hash points to."""
-    h = F.crc32(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), run).cast("binary"))
-    at = (h % F.length(run)).cast("int")
-    return F.when(h % every == 0, F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.length(run)))).otherwise(run)
-
-
-def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = 5, least: int = 3) -> DataFrame:
-    """word, n: of the runs of all texts, slips made, those of `shortest` code points or more that occur `least` times or more."""
-    found = docs.select(F.col(id_col).alias("id"), F.explode(runs(F.col(text_col))).alias("run")).where(F.length("run") >= shortest)
-    words = found.select(with_slips(F.col("id"), F.col("run")).alias("word")).where(F.length("word") >= shortest)
-    return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    bounded_batches(docs.sparkSession)
+    counted = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(count, "word string, n long")
+    return counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 class Flat:
@@ -56,7 +102,7 @@ class Flat:
         self.hashes = total[self.first[1:]] - total[self.first[:-1]]
         self.before = total
 
-    def found(self, letters: np.ndarray, known: Known, step: int = 1 << 14):
+    def found(self, letters: np.ndarray, known: Known, step: int = 1 << 12):
         """(word, candidate) places and strings of all distinct neighbours that `known` holds; places are cut into steps."""
         places = self.lens + 1  # one for each code point and one for the end
         ends = np.cumsum(places)
