@@ -140,11 +140,12 @@ def extract_images(spark, d):
     return e.select("doc_id", F.col("e.text").alias("text"), F.col("e.metadata")["method"].alias("method"))
 
 
-@query("select doc_id, false as success, case when doc_id % 3 = 0 then 'unsupported format: exe' else 'empty file' end as error from documents where doc_id % 3 < 2")
+@query("select doc_id, false as success, case doc_id % 3 when 0 then 'unsupported format: exe' when 1 then 'empty file' else 'no text found' end as error from documents")
 def extract_failures(spark, d):
-    docs = table(spark, d, "documents").where("doc_id % 3 < 2")
-    name, raw = F.when(F.col("doc_id") % 3 == 0, "a.exe").otherwise("a.docx"), F.encode(F.when(F.col("doc_id") % 3 == 0, "x").otherwise(""), "utf-8")
-    e = docs.select("doc_id", extract.extracted(raw, name).alias("e"))
+    """A format that is unknown, a file without a byte, one of as many blanks as the document has characters."""
+    k = F.col("doc_id") % 3
+    raw = F.encode(F.when(k == 0, F.col("text")).when(k == 1, "").otherwise(F.repeat(F.lit(" "), F.length("text"))), "utf-8")
+    e = table(spark, d, "documents").select("doc_id", extract.extracted(raw, F.when(k == 0, "a.exe").when(k == 1, "a.docx").otherwise("a.txt")).alias("e"))
     return e.select("doc_id", F.col("e.success").alias("success"), F.col("e.error").alias("error"))
 
 
@@ -425,7 +426,7 @@ def rpc_envelopes(spark, d):
     from marlstone.server import TOOLS, Server
 
     root = f"{work_dir(spark)}/tree-{uuid.uuid4().hex}"
-    _put(table(spark, d, "documents").where("source = 'src1'"), root)
+    _put(table(spark, d, "documents"), root)
     server = Server(Engine(Indexer(spark, _local(root), root + "-home", HashEmbedder(), buckets=8), mode="vector_only"))
     replies = [(t, server.answer({"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": t}})) for t in [*(t["name"] for t in TOOLS), "nothing"]]
     return spark.createDataFrame([(t, r["result"]["isError"]) for t, r in replies], "tool string, failed boolean")

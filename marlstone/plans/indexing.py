@@ -52,7 +52,8 @@ class Indexer:
         return tables.snapshot_diff(found, self.tracker.read())
 
     def pending(self) -> dict[str, int]:
-        return {r["change"]: r["count"] for r in self.changes().groupBy("change").count().collect()}
+        with self._stage() as folder:
+            return {r["change"]: r["count"] for r in self.changes(self.listing(folder)).groupBy("change").count().collect()}
 
     def incremental(self, now: str = "") -> DataFrame:
         """Indexes new and changed files, drops deleted ones; the run's summary."""
