@@ -1106,3 +1106,19 @@ def test_toxicity_shares_count_all_texts(spark):
             want.update(k for k in keys.tolist() if times[k] > level)
         assert got[level] == pytest.approx({k: n / len(texts) for k, n in want.items()})
     assert len(keys) >= 2
+
+
+def test_a_pair_of_just_the_threshold_is_linked(spark):
+    """Four shingles of five in common are 0.8 and linked, three of four are not; the smaller id names the class either way round."""
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(words[:9]), " ".join(words[:8]), " ".join(words[20:28]), " ".join(words[20:27])]
+    got = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in neardup.classes(docs_of(spark, texts)).collect()}
+    assert got == {0: (0, 2), 1: (0, 2), 2: (2, 1), 3: (3, 1)}
+
+
+def test_a_score_of_just_the_threshold_is_predicted(spark):
+    low_, high = (toxicity.Classifier(np.zeros(0, np.uint64), np.zeros((0, toxicity.LEVELS)), b, 0.0) for b in (math.nextafter(0.0, -1.0), 0.0))
+    docs, labels = docs_of(spark, ["a", "", None]), spark.createDataFrame([], "doc_id long, toxic int")
+    assert {(r["score"], r["predicted"]) for r in toxicity.score(docs, labels, high, threshold=0.5).collect()} == {(0.5, 1)}
+    lower = toxicity.Classifier(low_.keys, low_.weights, -1e-6, 0.0)
+    assert {r["predicted"] for r in toxicity.score(docs, labels, lower, threshold=0.5).collect()} == {0}
