@@ -7,7 +7,7 @@ same function serves SQL as a table function (`register`).
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,29 +46,38 @@ def forced(text: str, size: int) -> Iterator[str]:
         yield text
 
 
-def pack(units: list[str], size: int) -> list[str]:
+def packed(units: Iterable[str], size: int) -> Iterator[str]:
     """Units joined, without a separator, while they fit; the pieces of an overlong one stand alone."""
-    packed: list[str] = []
     open_ = ""
     for unit in units:
         if len(unit) <= size and len(open_) + len(unit) <= size:
             open_ += unit
             continue
         if open_:
-            packed.append(open_)
+            yield open_
         open_ = ""
         if len(unit) > size:
-            packed.extend(forced(unit, size))
+            yield from forced(unit, size)
         else:
             open_ = unit
-    return [*packed, open_] if open_ else packed
+    if open_:
+        yield open_
 
 
-def overlapped(chunks: list[str], overlap: int) -> list[str]:
+def pack(units: list[str], size: int) -> list[str]:
+    return list(packed(units, size))
+
+
+def joined(chunks: Iterable[str], overlap: int) -> Iterator[str]:
     """Each chunk after the first with the end of its predecessor (as packed) in front."""
-    if overlap <= 0:
-        return chunks
-    return chunks[:1] + [before[-overlap:] + chunk for before, chunk in zip(chunks, chunks[1:], strict=False)]
+    before = ""
+    for chunk in chunks:
+        yield before[-overlap:] + chunk if overlap > 0 else chunk
+        before = chunk
+
+
+def overlapped(chunks: list[str], overlap: int) -> list[str]:
+    return list(joined(chunks, overlap))
 
 
 def split(text: str | None, size: int = 800, overlap: int = 100) -> list[str]:
@@ -78,6 +87,39 @@ def split(text: str | None, size: int = 800, overlap: int = 100) -> list[str]:
     return overlapped(pack(units, size), overlap)
 
 
+def _units(pieces: Iterable[str], size: int) -> Iterator[str]:
+    """The units of split() for a text that comes in pieces; no more is held than a piece, and a sentence or a short paragraph."""
+    open_, long = "", False  # what is left of a paragraph, and whether sentences of it have gone
+    for piece, last in ((p, last) for last, some in ((False, pieces), (True, ("",))) for p in some):
+        open_, start = open_ + piece, 0
+        while True:
+            end = open_.find("\n\n", start)
+            whole = end >= 0 or last
+            p = open_[start:end] if end >= 0 else open_[start:]
+            if long or len(p.strip()) > size:
+                at = 0
+                for m in _END.finditer(p):
+                    if not whole and m.start() + 4 > len(p):  # an ending has four characters at most, so what comes may change it
+                        break
+                    if unit := p[at : m.start()].strip() + m[0].strip():
+                        yield unit
+                    at, long = m.end(), True
+                p = p[at:]
+                if whole and (rest := p.strip()):
+                    yield rest
+            elif whole and (rest := p.strip()):
+                yield rest
+            if end < 0:
+                open_ = "" if last else p
+                break
+            start, long = end + 2, False
+
+
+def stream(pieces: Iterable[str], size: int = 800, overlap: int = 100) -> Iterator[str]:
+    """split() of a text that comes in pieces, a chunk at a time."""
+    return joined(packed(_units(pieces, size), size), overlap)
+
+
 def chunks(text: Column, size: int = 800, overlap: int = 100) -> Column:
     """The chunks of a text as an array; none for a null or blank one."""
 

@@ -72,20 +72,19 @@ class Indexer:
             return self._apply(changes, files, folder, now, files.count() - wanted.count())
 
     def build(self, changes: DataFrame, listing: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-        """(chunks, results) of the new and changed files, as tables in `folder`; only these files are opened, once each."""
+        """(chunks, results) of the new and changed files, off tables in `folder`; only these files are opened, in one job."""
         wanted = scan.even(listing.join(changes.where("change <> 'deleted'"), "file_path", "left_semi"))
-        read = self._staged(extract.extract_files(wanted, self.readers, self.max_mb), f"{folder}/read")
-        good = read.where("extraction.success").select("file_path", "mtime", "length", F.col("extraction.text").alias("body"), F.col("extraction.properties").alias("properties"), F.col("extraction.extractor_used").alias("extractor_used"))
-        rows = good.withColumn("_chunks", chunk.chunks(F.col("body"), self.chunk_size, self.overlap)).withColumn("first_chunk", F.get("_chunks", F.lit(0)))
-        rows = metadata.file_metadata(rows, root=self.root)
-        rows = rows.select("*", F.posexplode("_chunks").alias("chunk_index", "chunk_text"), F.size("_chunks").alias("total_chunks"))
+        # small row groups, so that a large file's chunks are many tasks' work from here on
+        read = self._staged(extract.chunk_files(wanted, self.chunk_size, self.overlap, self.readers, self.max_mb), f"{folder}/read", 8 << 20)
+        files = self._staged(read.where("chunk_index is null").drop("chunk_index", "chunk_text"), f"{folder}/files")
+        good = metadata.file_metadata(files.where("success"), root=self.root).drop("mtime", "length", "success", "error", "first_chunk", "properties")
+        rows = read.where("chunk_index is not null").select("file_path", "chunk_index", "chunk_text").join(good, "file_path")
         text = F.col("chunk_text")
         if self.prefix:
             text = F.concat(metadata.context_prefix(*[F.col(c) for c in ("doc_title", "doc_author", "doc_created", "fs_modified", "file_name", "relative_path")]), text)
         rows = rows.withColumn("text", text).where(chunk.not_blank(F.col("text")))
         rows = rows.withColumn("chunk_id", chunk_id(F.col("file_path"), F.col("chunk_index"))).withColumn("embedding", embed.embedded(F.col("text"), self.embedder, self.batch_size))
-        results = read.select("file_path", "mtime", F.col("extraction.success").alias("success"), F.col("extraction.error").alias("error"))
-        return self._staged(rows.select(*[f.name for f in schema.CHUNK.fields]), f"{folder}/chunks"), results
+        return rows.select(*[f.name for f in schema.CHUNK.fields]), files.select("file_path", "mtime", "success", "error")
 
     def _apply(self, changes: DataFrame, listing: DataFrame, folder: str, now: str, skipped: int = 0) -> DataFrame:
         changes = self._staged(changes, f"{folder}/changes")
@@ -93,10 +92,11 @@ class Indexer:
         gone, done = changes.where("change = 'deleted'").select("file_path"), results.where("success").select("file_path")
         over = gone.union(done)  # a re-indexed file's chunks go whole, stale ones with them
         made = self.store.change(changes, lambda old: tables.delete_files(old, over).unionByName(chunks))
-        if made is not None and self.on_change:
-            before, after = made
-            removed = self.store.read(self.store.buckets_of(changes), before).join(over, "file_path", "left_semi")
-            self.on_change(before, after, chunks, removed)
+        if made is not None:
+            touched, (before, after) = self.store.buckets_of(changes), made
+            chunks = self.store.read(touched, after).join(done, "file_path", "left_semi")  # as stored: made once
+            if self.on_change:
+                self.on_change(before, after, chunks, self.store.read(touched, before).join(over, "file_path", "left_semi"))
         rows = results.where("success").select("file_path", F.col("mtime").alias("file_mtime"), content_hash(F.col("file_path"), F.col("mtime")).alias("content_hash"), F.lit(now).alias("last_indexed"), F.lit(True).alias("is_indexed"), F.lit(None).cast("string").alias("error_msg"), F.lit(self.embedder.name).alias("embedding_model"))
         failed = results.where("not success").select("file_path", F.col("error").alias("error_msg"))
         self.tracker.change(changes, lambda old: tables.record_errors(tables.upsert(tables.delete_files(old, gone), rows, "file_path"), failed))
@@ -107,8 +107,8 @@ class Indexer:
         summary = tables.run_summary(outcome)
         return self.spark.createDataFrame([summary.first()], summary.schema)
 
-    def _staged(self, df: DataFrame, path: str) -> DataFrame:
-        df.write.parquet(path)
+    def _staged(self, df: DataFrame, path: str, block: int = 128 << 20) -> DataFrame:
+        df.write.option("parquet.block.size", block).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     @contextlib.contextmanager

@@ -81,6 +81,22 @@ def content(place: str, most: int) -> tuple[bytes | None, str | None]:
     return (raw, None) if len(raw) <= most else (None, f"larger than {most} bytes")
 
 
+def blocks(place: str, most: int, size: int = 1 << 20) -> Iterator[bytes]:
+    """A file's bytes, `size` at a time; an OSError once they are more than `most`."""
+    store, path = _store(place)
+    left = most
+    with open(path, "rb") if store is None else store.open_input_stream(path) as f:
+        while raw := f.read(size):
+            left -= len(raw)
+            if left < 0:
+                raise TooLarge(f"larger than {most} bytes")
+            yield raw
+
+
+class TooLarge(OSError):
+    pass
+
+
 def listed(folders: DataFrame) -> DataFrame:
     """What lies in each folder of folders (place), one level deep."""
 

@@ -56,3 +56,11 @@ def test_spark_forms_agree(spark):
     rows = spark.sql("select i, chunk_index, chunk from chunk_docs, lateral chunk_text(text, 800, 100) order by i, chunk_index").collect()
     for i, t in enumerate(texts):
         assert arrays[i] == chunk.split(t) == [r[2] for r in rows if r[0] == i]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.text(alphabet="ab 다요습니세.!?\n", max_size=40), max_size=12), st.integers(1, 7), st.integers(3, 30), st.integers(0, 10))
+def test_a_text_in_pieces_is_cut_as_the_whole(parts, step, size, overlap):
+    text = "".join(parts)
+    pieces = [text[i : i + step] for i in range(0, len(text), step)]
+    assert list(chunk.stream(pieces, size, overlap)) == chunk.split(text, size, overlap)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import re
 import threading
 
 import numpy as np
@@ -11,9 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.api import Engine
-from marlstone.operators import bm25, vector
+from marlstone.operators import bm25, chunk, vector
 from marlstone.operators.ann import VectorIndex
-from marlstone.operators.embed import HashEmbedder
+from marlstone.operators.embed import HashEmbedder, _gram_hashes
 from marlstone.operators.keywords import KeywordIndex
 from marlstone.operators.snapshot import Conflict, Snapshot, fingerprint
 from marlstone.plans.indexing import Indexer
@@ -397,3 +398,31 @@ def test_subtrees_list_every_file_once(tmp_path):
         parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
         found = [os.path.relpath(p, tmp_path) for part in parts for p, *_ in reader.read(part)]
         assert sorted(found) == sorted([f"d{k}/e{j}/f.txt" for k in range(3) for j in range(3)] + [f"d{k}/g.txt" for k in range(3)] + ["h.txt"])
+
+
+def test_a_large_file_is_cut_in_blocks(spark, tmp_path):
+    """Chunks and reasons of files read in blocks are those of whole ones, and no row of what a run stages is longer than a chunk."""
+    text = "Ein Satz von vielen. Noch einer! 했 습니다. " * 60_000  # more than two blocks
+    for name, raw in (("utf8.txt", text.encode()), ("mark.md", b"\xef\xbb\xbf" + text.encode()), ("wide.txt", text.encode("utf-16")), ("korean.txt", text.encode("cp949")), ("latin.txt", b"caf\xe9 \xff. " * 9), ("empty.txt", b""), ("blank.txt", b" \n"), ("broken.txt", b"\xff\xfe\x00")):
+        (tmp_path / name).write_bytes(raw)
+    (tmp_path / "large.txt").write_bytes(b"x. " * (3 << 20))
+    files = scan.scan(spark, str(tmp_path))
+    found = extract.chunk_files(files, 800, 100, max_mb=8).collect()
+    whole = {r["file_path"]: r["extraction"] for r in extract.extract_files(files, max_mb=8).collect()}
+    for path, e in whole.items():
+        rows = sorted((r for r in found if r["file_path"] == path and r["chunk_index"] is not None), key=lambda r: r["chunk_index"])
+        last = next(r for r in found if r["file_path"] == path and r["chunk_index"] is None)
+        assert [r["chunk_text"] for r in rows] == chunk.split(e["text"], 800, 100), path
+        assert (last["success"], last["error"], last["total_chunks"]) == (e["success"], e["error"], len(rows)), path
+    assert max(len(r["chunk_text"] or "") for r in found) <= 900 and len(found) > 10_000
+
+
+def test_hashes_of_words_met_before_sum_as_those_of_new_ones():
+    texts = ["many words, many Words", "", None, "other words " * 5000, " ".join(f"w{k}" for k in range(20_000))]
+    e = HashEmbedder(16)
+    first, again = e.embed(texts), e.embed(texts)
+    for row, text in zip(first, texts, strict=True):
+        hashes = np.array([h for w in re.findall(r"\w+", (text or "").lower()) for h in _gram_hashes(w)], np.uint64)
+        want = np.bincount((hashes % np.uint64(16)).astype(int), np.where(hashes >> np.uint64(63), 1.0, -1.0), 16)
+        assert np.allclose(row, want / (np.linalg.norm(want) or 1), atol=1e-6)
+    assert (first == again).all() and (HashEmbedder(16).embed(texts[::-1])[::-1] == first).all()
