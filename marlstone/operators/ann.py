@@ -5,7 +5,8 @@ code says, part by part, which of 256 learned vectors is nearest to what the cen
 are partitions of the table, so the scan reads no other; there it reads codes alone, adds up their distances from a
 table a query, and keeps the best few; only for these are vectors read, and their true distances rank them. Filters hold within
 the scan. How many lists are probed is measured at the build: the fewest that keep the wanted share of true neighbours of
-sampled rows. vector.top stays the exact way.
+sampled rows; and so is how many candidates the codes must leave, as these lose more the more rows there are. vector.top stays the
+exact way.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ class VectorIndex(Segments):
             model = self._fit(part, x, lists)
             self.folder.put(made["model"], {k: v.tolist() for k, v in model.items()})
             made["segments"] = self._segment(rows, model, m["next"])
-            made["probes"] = self._measured(made, model)
+            made |= self._measured(made, model)
         self._commit(m, made)
 
     def append(self, added: DataFrame, removed: DataFrame, fingerprint: str) -> None:
@@ -85,7 +86,7 @@ class VectorIndex(Segments):
         made = m | {"next": m["next"] + 1, "fingerprint": fingerprint, "segments": m["segments"] + new, "gone": m["gone"] + ([{"name": name, "seq": m["next"], "n": n}] if n else [])}
         made["unmeasured"] = m.get("unmeasured", 0) + sum(s["n"] for s in new)
         if model and 10 * made["unmeasured"] > sum(s["n"] for s in made["segments"]):
-            made |= {"probes": self._measured(made, model), "unmeasured": 0}
+            made |= self._measured(made, model) | {"unmeasured": 0}
         self._commit(m, made)
 
     def _fit(self, part: DataFrame, x: np.ndarray, lists: int) -> dict[str, np.ndarray]:
@@ -136,24 +137,35 @@ class VectorIndex(Segments):
         n = self.spark.read.parquet(f"{self.path}/vectors/seg={name}").count()
         return [{"name": name, "seq": seq, "n": n}] if n else []
 
-    def _measured(self, m: dict, model: dict, queries: int = 256, n: int = 10) -> int:
+    def _measured(self, m: dict, model: dict, queries: int = 256, n: int = 10, most: int = 256) -> dict[str, int]:
         """The fewest probes with which `target` of the true neighbours of sampled rows (but themselves) lie in probed lists, in
-        each segment, as rows that came later may lie otherwise than those that the centroids were fitted for."""
+        each segment, as rows that came later may lie otherwise than those that the centroids were fitted for. And the fewest
+        candidates a neighbour, `refine` to `most`, with which the codes lose half as large a share of these at most."""
         rows = self.live(self._vectors(m).select("chunk_id", "embedding", "list", "seg"), m)
         total = sum(s["n"] for s in m["segments"]) - sum(g["n"] for g in m["gone"])
         some = rows.where(F.pmod(F.xxhash64("chunk_id", F.lit(1)), F.lit(max(1, total // queries))) == 0).limit(2 * queries).select(F.col("chunk_id").alias("query_id"), "embedding", "seg").toArrow()
         if not some.num_rows:
-            return len(model["centers"])
+            return {"probes": len(model["centers"]), "refine": self.refine}
         frame = self.spark.createDataFrame(some.select(["query_id", "embedding"]))
-        true = vector.batch_top(rows.select("chunk_id", "embedding"), frame, n + 1).where("rank > 1").join(rows.select("chunk_id", "list"), "chunk_id").select("query_id", "list").collect()
+        true = vector.batch_top(rows.select("chunk_id", "embedding"), frame, n + 1).where("rank > 1").join(rows.select("chunk_id", "list"), "chunk_id").select("query_id", "chunk_id", "list")
+        true = self.spark.createDataFrame(true.toArrow())  # n rows a query
         x = vector._unit(_matrix(some["embedding"]))
         order = np.argsort(-(x @ model["centers"].T - (model["centers"] ** 2).sum(1) / 2), axis=1, kind="stable")
         place, at = np.argsort(order, axis=1), {q: (k, seg) for k, (q, seg) in enumerate(zip(some["query_id"].to_pylist(), some["seg"].to_pylist(), strict=True))}
         ranks: dict[str, list[int]] = {}
-        for r in true:
+        for r in true.collect():
             k, seg = at[r["query_id"]]
             ranks.setdefault(seg, []).append(int(place[k, r["list"]]))
-        return 1 + max((sorted(v)[math.ceil(self.target * len(v)) - 1] for v in ranks.values()), default=0)
+        probes = 1 + max((_within(v, self.target) for v in ranks.values()), default=0)
+        kind = frame.schema["query_id"].dataType.simpleString()
+        guessed = self._guessed(m, model, some.select(["query_id", "embedding"]), kind, most * n, None, probes)
+        lost: dict[str, list[int]] = {}
+        for r in true.join(guessed, ["query_id", "chunk_id"], "left").collect():
+            k, seg = at[r["query_id"]]
+            if place[k, r["list"]] < probes:
+                lost.setdefault(seg, []).append((r["k"] or most * n + 1) - 1)  # the row itself is before
+        deepest = max((_within(v, (1 + self.target) / 2) for v in lost.values()), default=0)
+        return {"probes": probes, "refine": max(self.refine, math.ceil(deepest / n))}
 
     # ---- search
 
@@ -184,15 +196,32 @@ class VectorIndex(Segments):
         return out
 
     def _block(self, m: dict, model: dict, asked: pa.Table, kind: str, n: int, where: Column | None, probes: int) -> DataFrame:
-        x, names = vector._unit(_matrix(asked["embedding"])), asked["query_id"].combine_chunks()
-        centers, books, bounds = model["centers"], model["books"], model["bounds"]
+        wanted = max(n, 10) * max(self.refine, m.get("refine", 0))
+        chosen = self._guessed(m, model, asked, kind, wanted, where, probes).select("query_id", "chunk_id")
+        # the true distances of a few rows a query
+        vectors = self.live(self._probed(m, model, asked, where, probes)[0].select("chunk_id", "embedding", "seg"), m).select("chunk_id", "embedding")
+        own = self.spark.createDataFrame(list(zip(asked["query_id"].to_pylist(), asked["embedding"].to_pylist(), strict=True)), f"query_id {kind}, asked array<double>")
+        both = vectors.join(F.broadcast(chosen), "chunk_id").join(F.broadcast(own), "query_id")
+        exact = both.select("query_id", "chunk_id", F.round(vector.cosine_distance(F.col("embedding"), F.col("asked")), 9).alias("distance"))
+        ranked = exact.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))).where(F.col("rank") <= n)
+        return ranked.select("query_id", "chunk_id", "distance", distance_score(F.col("distance")).alias("score"), "rank")
+
+    def _probed(self, m: dict, model: dict, asked: pa.Table, where: Column | None, probes: int) -> tuple[DataFrame, dict[int, np.ndarray]]:
+        """The rows of the lists that some query probes, and the queries by list."""
+        x, centers = vector._unit(_matrix(asked["embedding"])), model["centers"]
         probed = np.argsort(-(x @ centers.T - (centers**2).sum(1) / 2), axis=1, kind="stable")[:, :probes]
         by_list: dict[int, np.ndarray] = {int(c): np.flatnonzero((probed == c).any(1)) for c in np.unique(probed)}
+        rows = self._vectors(m).where(F.col("list").isin(sorted(by_list)))
+        return rows if where is None else rows.where(where), by_list
+
+    def _guessed(self, m: dict, model: dict, asked: pa.Table, kind: str, wanted: int, where: Column | None, probes: int) -> DataFrame:
+        """query_id, chunk_id, k of the `wanted` rows that codes say are nearest, nearest first."""
+        x, names = vector._unit(_matrix(asked["embedding"])), asked["query_id"].combine_chunks()
+        centers, books, bounds = model["centers"], model["books"], model["bounds"]
+        rows, by_list = self._probed(m, model, asked, where, probes)
         # products of queries and code vectors: a row's distance is a sum of these, the centroid's and the code's own size
         products = np.stack([x[:, a:b] @ books[p, :, : b - a].T for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))])
-        to_center, wanted = x @ centers.T, n * self.refine
-        rows = self._vectors(m).where(F.col("list").isin(sorted(by_list)))
-        rows = rows if where is None else rows.where(where)
+        to_center = x @ centers.T
 
         def score(batches):
             best: dict[int, tuple] = {}
@@ -215,14 +244,12 @@ class VectorIndex(Segments):
 
         live = self.live(rows.select("chunk_id", "code", "list", "seg"), m).select("chunk_id", "code", "list")
         guessed = live.mapInArrow(score, f"query_id {kind}, chunk_id {self.id_type}, near double")
-        chosen = guessed.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "chunk_id"))).where(F.col("k") <= wanted).select("query_id", "chunk_id")
-        # the true distances of a few rows a query
-        vectors = self.live(rows.select("chunk_id", "embedding", "seg"), m).select("chunk_id", "embedding")
-        own = self.spark.createDataFrame([(names[i].as_py(), v) for i, v in enumerate(asked["embedding"].to_pylist())], f"query_id {kind}, asked array<double>")
-        both = vectors.join(F.broadcast(chosen), "chunk_id").join(F.broadcast(own), "query_id")
-        exact = both.select("query_id", "chunk_id", F.round(vector.cosine_distance(F.col("embedding"), F.col("asked")), 9).alias("distance"))
-        ranked = exact.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))).where(F.col("rank") <= n)
-        return ranked.select("query_id", "chunk_id", "distance", distance_score(F.col("distance")).alias("score"), "rank")
+        return guessed.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "chunk_id"))).where(F.col("k") <= wanted).select("query_id", "chunk_id", "k")
+
+
+def _within(ranks: list[int], share: float) -> int:
+    """The rank that `share` of the ranks do not go beyond."""
+    return sorted(ranks)[math.ceil(share * len(ranks)) - 1]
 
 
 def encoded(x: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
