@@ -66,30 +66,32 @@ class KeywordIndex(Segments):
         self._commit(m, self._merged(made))
 
     def _segment(self, chunks: DataFrame, seq: int) -> list[dict]:
-        """Tables of new chunks; each text is split once. Nothing is written for none."""
+        """Tables of new chunks; each text is split once, and its words are counted where it is. Nothing is written for none."""
         name = f"{seq:08d}-{uuid.uuid4().hex[:8]}"
         staged = f"{self.path}/staged/{name}"
         ordered = chunks.select("chunk_id", "text").repartitionByRange("chunk_id").sortWithinPartitions("chunk_id")
         words = ordered.select("chunk_id", F.coalesce(self.split(F.col("text")), F.array().cast("array<string>")).alias("words"))
         # numbers ascend within a partition, and those of different ones differ in their high bits, so no block spans two
         words = words.select("chunk_id", F.size("words").alias("dl"), F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block"), "words")
-        words.write.parquet(staged)
-        words = self.spark.read.schema(words.schema).parquet(staged)
-        n, total = words.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        out = []
-        if n:
-            counted = words.select("chunk_id", "dl", "block", F.explode("words").alias("term")).repartition("term", "block").groupBy("term", "block", "chunk_id", "dl").agg(F.count("*").cast("int").alias("tf"))
-            out = [self._write(name, seq, counted, words.select("chunk_id", "dl"), n, total)]
+        # dealt by chunk_id already, so nothing is shuffled to count; a chunk without words is a row without a term
+        counted = words.select("chunk_id", "dl", "block", F.explode_outer("words").alias("term")).groupBy("chunk_id", "dl", "block", "term").agg(F.count("*").cast("int").alias("tf"))
+        counted.write.parquet(staged)
+        counted = self.spark.read.schema(counted.schema).parquet(staged)
+        docs = counted.select("chunk_id", "dl").distinct()
+        n, total = docs.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        out = [self._write(name, seq, counted.where("term is not null"), docs, n, total)] if n else []
         self.folder.delete(f"staged/{name}")
         return out
 
     def _write(self, name: str, seq: int, counted: DataFrame, docs: DataFrame, n: int, total: int) -> dict:
-        """A segment of counted (term, block, chunk_id, dl, tf) and docs (chunk_id, dl)."""
+        """A segment of counted (term, block, chunk_id, dl, tf), a row a term and chunk, and docs (chunk_id, dl)."""
         spread = n >= self.spread_from
-        rows = counted.groupBy("term", "block").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "tf", "dl"))).alias("p"))  # of at most 128 chunks
-        rows = rows.select((_bucket(F.col("term")) if spread else F.lit(0)).alias("bucket"), "term", "block", F.size("p").alias("n"), F.array_max("p.tf").alias("max_tf"), F.array_min("p.dl").alias("min_dl"), F.col("p.chunk_id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
         order = ("bucket", "term", "block")
-        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.option("parquet.block.size", 4 << 20).partitionBy("bucket").parquet(f"{self.path}/postings/seg={name}")
+        # dealt once: a posting row's chunks are of one range
+        dealt = counted.withColumn("bucket", _bucket(F.col("term")) if spread else F.lit(0)).repartitionByRange(*order)
+        rows = dealt.groupBy(*order).agg(F.array_sort(F.collect_list(F.struct("chunk_id", "tf", "dl"))).alias("p"))  # of at most 128 chunks
+        rows = rows.select(*order, F.size("p").alias("n"), F.array_max("p.tf").alias("max_tf"), F.array_min("p.dl").alias("min_dl"), F.col("p.chunk_id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
+        rows.sortWithinPartitions(*order).write.option("parquet.block.size", 4 << 20).partitionBy("bucket").parquet(f"{self.path}/postings/seg={name}")
         docs.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.parquet(f"{self.path}/docs/seg={name}")
         return {"name": name, "seq": seq, "n": n, "words": int(total), "spread": spread}
 
@@ -137,7 +139,7 @@ class KeywordIndex(Segments):
         segments = [s for s in m["segments"] if s["name"] not in names]
         gone = [] if whole else list(m["gone"])
         if n:
-            alive = self.live(rows, m).select("term", "chunk_id", "tf").join(numbered, "chunk_id").repartition("term", "block").select("term", "block", "chunk_id", "dl", "tf")
+            alive = self.live(rows, m).select("term", "chunk_id", "tf").join(numbered, "chunk_id").select("term", "block", "chunk_id", "dl", "tf")
             segments.append(self._write(name, seq, alive, numbered.select("chunk_id", "dl"), n, total))
         died, lost = sum(s["n"] for s in some) - n, sum(s["words"] for s in some) - int(total)
         if died and not whole:
