@@ -99,7 +99,8 @@ def judged(asked: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """query_id, query, chunk_id, text, rank, right of hits (query_id, chunk_id, rank) of queries that find their own chunk. Other chunks
     with the whole passage are neither right nor wrong, and are left out."""
     own = asked.select("query_id", F.col("text").alias("query"), F.col("chunk_id").alias("own"))
-    rows = hits.join(own, "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")
+    # the hits of a set of queries go to the texts, which stay where they are
+    rows = chunks.select("chunk_id", "text").join(F.broadcast(hits.join(own, "query_id")), "chunk_id")
     rows = rows.withColumn("right", F.col("chunk_id") == F.col("own"))
     flat = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)), " "), F.lit(" "))
     rows = rows.where(F.col("right") | ~F.contains(flat, F.concat(F.lit(" "), F.col("query"), F.lit(" "))))
