@@ -9,6 +9,7 @@ cheapest path of a stem and what follows it tags the pieces, and search keeps th
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -19,6 +20,9 @@ from marlstone.functions.text import tokenizer
 
 STEM, ENDING = "S", "E"
 
+#: Words met in this process, with their stems, of the lexicon last used here: a Python worker's tasks share them.
+_MET: dict[str, dict[str, list[str]]] = {}
+
 
 def word_counts(docs: DataFrame, text_col: str = "text", longest: int = 24) -> DataFrame:
     """word, n: runs of letters in small letters, none longer than `longest`."""
@@ -50,6 +54,7 @@ class Lexicon:
     letter: float = 1.5
     join: float = 3.0  # for a second stem in a word
     _known: dict[str, list[str]] = field(default_factory=dict, repr=False)  # words met, with their stems
+    _stamp: str = field(default_factory=lambda: uuid.uuid4().hex, repr=False, compare=False)
 
     def arcs(self, word: str, i: int):
         """(end, tag, cost) of all pieces that may begin at i."""
@@ -66,8 +71,9 @@ class Lexicon:
         at: list[dict[str, tuple]] = [{} for _ in range(n + 1)]
         at[0][""] = (0.0, 0, ())
         for i in range(n):
+            arcs = list(self.arcs(word, i)) if at[i] else ()
             for last, (cost, pieces, path) in at[i].items():
-                for j, tag, own in self.arcs(word, i):
+                for j, tag, own in arcs:
                     if tag == ENDING and not last:
                         continue
                     total = round(cost + own + (self.join if tag == STEM and last else 0.0), 9)
@@ -103,6 +109,12 @@ class Lexicon:
     def __getstate__(self):
         return self.__dict__ | {"_known": {}}
 
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        if self._stamp not in _MET:
+            _MET.clear()
+        self._known = _MET.setdefault(self._stamp, {})
+
 
 def learn(docs: DataFrame, text_col: str = "text", entropy: float = 1.5, types: int = 8, least: int = 3, most: int = 100_000) -> Lexicon:
     """The lexicon of a corpus: endings that at least `types` beginnings precede, and stems that occur `least` times, whose other side

@@ -89,3 +89,14 @@ def test_best_path_against_brute_force(spark):
                 assert "".join(p for p, _ in path) == w
                 assert cost_of(lex, path) == brute_best(lex, w)[0], w
     assert learned.best("") == [] and learned.split("12, 30!") == ["12,", "30!"]
+
+
+def test_words_met_outlive_a_task():
+    """A lexicon that comes again into a process, as with a next task, knows what it has cut there; another one does not."""
+    import pickle
+
+    sent = pickle.dumps(morphemes.Lexicon({"haus": 1.0}, {"es": 1.0}))
+    first = pickle.loads(sent)
+    assert first.split("hauses") == ["haus"]
+    again, other = pickle.loads(sent), pickle.loads(pickle.dumps(morphemes.Lexicon({"hau": 1.0}, {"ses": 1.0})))
+    assert again._known == {"hauses": ["haus"]} and other._known == {} and other.split("hauses") == ["hau"]
