@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.api import Engine
-from marlstone.operators import bm25, chunk, vector
+from marlstone.operators import bm25, chunk, embed, vector
 from marlstone.operators.ann import VectorIndex
 from marlstone.operators.embed import HashEmbedder, _gram_hashes
 from marlstone.operators.keywords import KeywordIndex
@@ -428,6 +428,14 @@ def test_hashes_of_words_met_before_sum_as_those_of_new_ones():
     assert (first == again).all() and (HashEmbedder(16).embed(texts[::-1])[::-1] == first).all()
 
 
+def test_words_of_a_large_vocabulary_are_hashed_once(monkeypatch):
+    made, plain = [], embed._gram_hashes
+    monkeypatch.setattr(embed, "_gram_hashes", lambda w: made.append(w) or plain(w))
+    texts = [" ".join(f"w{k}" for k in range(i, i + 100)) for i in range(0, 100_000, 100)]
+    e = HashEmbedder(64)
+    assert (e.embed(texts) == e.embed(texts)).all() and len(made) == len(set(made)) == 100_000
+
+
 def test_codes_that_tell_little_leave_more_candidates(spark, tmp_path):
     """Vectors without any structure, a code of two bytes: nine tenths of the true neighbours are found all the same."""
     rng = np.random.default_rng(5)
