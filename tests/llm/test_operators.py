@@ -636,6 +636,31 @@ def test_lm_score_against_brute_force(spark, small, corpus, monkeypatch, hot):
     assert sum(chance(w, a, b) for w in [*count, None]) + chances(a, b)[1][lbl.REST] / rest == pytest.approx(1 if outside else 1 + chances(a, b)[1][lbl.REST] / rest - chances(a, b)[1][lbl.REST], abs=1e-3)
 
 
+def test_lm_words_within_classes_learn_from_all_texts(spark, small, monkeypatch):
+    """With a sample of one text every word of a class of several is moved, and told by its neighbours in all texts."""
+    seen, plain, near = [], lbl.learn_words, lbl.near_all
+
+    def spied(docs, words, *args):
+        seen.append((words, *plain(docs, words, *args)))
+        return seen[-1][1:]
+
+    def summed(docs, hashes, singles):
+        own = lbl._Near(len(hashes), singles)
+        for r in docs.collect():
+            at, hit = lbl.found(hashes, textbytes.Spans(*textbytes.of_texts([r["text"] or ""]), textbytes.NOT_SPACE).hashes(textbytes.LOWER))
+            own.add(np.concatenate(([-1], np.where(hit, at, -1), [-1])))
+        out = near(docs, hashes, singles)
+        assert (out == own.points.T).all() and out.any()
+        return out
+
+    monkeypatch.setattr(lbl, "learn_words", spied)
+    monkeypatch.setattr(lbl, "near_all", summed)
+    lbl.score(queries.table(spark, small, "documents"), sample_docs=1, classes=130, size=40).count()
+    ((words, vectors, moved),) = seen
+    several = np.repeat(words.many(), np.diff(words.begin))
+    assert several.any() and (moved[several] > 0).all() and vectors[several].any(1).all() and not vectors[~several].any()
+
+
 def test_like_words_share_a_class():
     """Words of two tongues, told apart by the single words next to them; no class exceeds twice the size."""
     rng = np.random.default_rng(0)
