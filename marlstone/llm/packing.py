@@ -23,37 +23,40 @@ from .textbytes import NOT_SPACE, Spans, row_slices, utf8_column
 class WordEncoder:
     """Token ids of texts by a tokenizer whose tokens never span white space, through a cache of encoded words.
 
-    New words are encoded together in one call, a special token between them.
+    New words are encoded many in one call, a special token between them.
     """
 
-    def __init__(self, path: str, separator: str = "<|endoftext|>", most: int = 2_000_000):
+    def __init__(self, path: str, separator: str = "<|endoftext|>", most: int = 2_000_000, at_once: int = 1 << 16):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.separator, self.mark, self.most = separator, self.tokenizer.token_to_id(separator), most
+        self.separator, self.mark, self.most, self.at_once = separator, self.tokenizer.token_to_id(separator), most, at_once
         self._clear()
 
     def _clear(self):
         self.keys, self.at, self.len, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _learn(self, keys: np.ndarray, words: list[str]):
-        """Adds words; keys ascend."""
-        odd = [k for k, w in enumerate(words) if self.separator in w]
-        joined = self.separator.join(w for w in words if self.separator not in w)
-        flat = np.array(self.tokenizer.encode_batch_fast([joined + self.separator], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.flatnonzero(flat == self.mark)[: len(words) - len(odd)]
-        begins = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
-        at, lens = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        plain = np.ones(len(words), bool)
-        plain[odd] = False
-        at[plain], lens[plain] = begins, ends - begins
+        """Adds words; keys ascend. The tokenizer gets `at_once` characters a call, as what it makes of a text is many times as large."""
+        ids, at, lens, size = [], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), len(self.ids)
+        plain, odd = [k for k, w in enumerate(words) if self.separator not in w], [k for k, w in enumerate(words) if self.separator in w]
+        chars = np.cumsum([len(words[k]) + len(self.separator) for k in plain])
+        for some in np.split(np.array(plain, np.int64), np.flatnonzero(np.diff(chars // self.at_once)) + 1):
+            joined = "".join(words[k] + self.separator for k in some.tolist())
+            flat = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(flat == self.mark)[: len(some)]
+            begins = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
+            at[some], lens[some] = size + begins, ends - begins
+            ids.append(flat)
+            size += len(flat)
         for k in odd:
             own = np.array(self.tokenizer.encode(words[k], add_special_tokens=False).ids, np.uint32)
-            at[k], lens[k] = len(flat), len(own)
-            flat = np.concatenate((flat, own))
+            at[k], lens[k] = size, len(own)
+            ids.append(own)
+            size += len(own)
         where = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.len = np.insert(self.keys, where, keys), np.insert(self.at, where, at + len(self.ids)), np.insert(self.len, where, lens)
-        self.ids = np.concatenate((self.ids, flat))
+        self.keys, self.at, self.len = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.len, where, lens)
+        self.ids = np.concatenate((self.ids, *ids))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts, and each text's number of them."""
@@ -151,7 +154,9 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = 2048, p
         for batch in batches:
             data, offsets = utf8_column(batch.column(1))
             for i, j in row_slices(offsets, 1 << 22):
-                flat, counts = coder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                # a quarter at a time, as the arrays of words are many times as large as the text
+                parts = [coder.encode(data[offsets[i + a] : offsets[i + b]], offsets[i + a : i + b + 1] - offsets[i + a]) for a, b in row_slices(offsets[i : j + 1], 1 << 20)]
+                flat, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
                 # the ends go in after each text's ids
                 at = np.concatenate(([0], np.cumsum(counts + 1)))
                 ids = np.full(at[-1], end_id, np.uint32)

@@ -751,6 +751,30 @@ def test_word_cache_equals_the_tokenizer():
         assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_new_words_go_to_the_tokenizer_in_portions():
+    """What the tokenizer makes of a text is many times as large, so a slice full of new words is not one call."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, sizes = public_tokenizers.path("word_bpe_49k.json"), []
+    coder, plain = packing.WordEncoder(path), Tokenizer.from_file(path)
+
+    class Spied:
+        def encode_batch_fast(self, texts, **options):
+            sizes.append(sum(map(len, texts)))
+            return plain.encode_batch_fast(texts, **options)
+
+        def encode(self, text, **options):
+            return plain.encode(text, **options)
+
+    coder.tokenizer = Spied()
+    texts = [" ".join(f"w{i}x{k}" for k in range(3000)) + " a<|endoftext|>b" for i in range(12)]
+    flat, counts = coder.encode(*textbytes.of_texts(texts))
+    assert flat.tolist() == [i for t in texts for i in plain.encode(t, add_special_tokens=False).ids] and counts.sum() == len(flat)
+    assert sum(map(len, texts)) > 1 << 18 and max(sizes) <= 1 << 17
+
+
+
 # ---- 9
 
 
