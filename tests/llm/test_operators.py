@@ -661,6 +661,30 @@ def test_lm_words_within_classes_learn_from_all_texts(spark, small, monkeypatch)
     assert several.any() and (moved[several] > 0).all() and vectors[several].any(1).all() and not vectors[~several].any()
 
 
+def test_words_are_found_by_their_first_bits():
+    rng = np.random.default_rng(0)
+    for hashes in (rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2), np.arange(500, dtype=np.uint64), np.array([0, 1 << 63, (1 << 64) - 1], np.uint64), np.zeros(0, np.uint64)):
+        hashes = np.unique(hashes)
+        x = np.concatenate([hashes, hashes[:2000] + np.uint64(1), rng.integers(0, 1 << 63, 3000).astype(np.uint64)])
+        at, hit = lbl.found(hashes, x)
+        assert hit.tolist() == np.isin(x, hashes).tolist() and (hashes[at[hit]] == x[hit]).all() and (not len(hashes) or at.max() < len(hashes))
+
+
+def test_word_vectors_learn_in_their_own_width():
+    """A step's arrays are as wide as the vectors; twice as wide they cost twice the time."""
+    wide, plain = set(), np.exp
+    counts, classes = np.arange(1, 41), np.repeat([2, 3], 20)
+    words = lbl.Words.of(np.arange(40, dtype=np.uint64), counts, classes, 4, 8)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(np, "exp", lambda x, *a, **k: (wide.add((np.asarray(x).dtype, np.ndim(x))), plain(x, *a, **k))[1])
+        rng = np.random.default_rng(0)
+        context, moved = rng.normal(0, 1, (300, 8)).astype(np.float32), np.zeros(40)
+        place = rng.integers(0, 40, 300)
+        words.learn(place, classes[place], lambda rows: context[rows], np.full((40, 8), 1e-2, np.float32), moved, rng)
+    assert (np.dtype(np.float64), 2) not in wide and words.vectors.any(1).all()
+    assert moved.sum() == pytest.approx(300 * 9)  # each token, and its eight noise words
+
+
 def test_like_words_share_a_class():
     """Words of two tongues, told apart by the single words next to them; no class exceeds twice the size."""
     rng = np.random.default_rng(0)
