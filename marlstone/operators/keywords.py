@@ -3,9 +3,11 @@
 A run appends one segment of the chunks that came and one set of marks for those that went, with the words these had, so that
 statistics are those of a full build. Segments of like size are merged, `fan` at a time.
 
-Within a segment chunks are numbered in id order and dealt into blocks of 128; a posting row holds a term's chunks of one block, with
-the largest count and the least length among them. Rows lie in buckets by term and are sorted, so a query reads its own
-terms' rows. It first reads the blocks' bounds alone: the sum of a block's bounds over the terms is as much as any chunk in it can
+Within a segment chunks are numbered in id order and dealt into blocks of 128; a posting row holds the places of a term's chunks in
+one block, with the largest count and the least length among them. No row a word and chunk is staged or shuffled: a task packs what
+a term has in the next 2^20 words or so of its chunks into one row, and blocks come of these rows when they are dealt. Ids and
+lengths lie in the docs table alone, by block and place. Rows lie in buckets by term and are
+sorted, so a query reads its own terms' rows. It first reads the blocks' bounds alone: the sum of a block's bounds over the terms is as much as any chunk in it can
 score. The n best bounds' blocks are scored, and the n-th score found says which other blocks could still matter; no
 other is read. The result is exact. Bounds hold a count and a length, not a score, so they stay right as the mean length changes.
 """
@@ -14,18 +16,27 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.packed import pack, unpack
 from marlstone.functions.text import tokens
 from marlstone.operators.bm25 import B, DELTA, K1
-from marlstone.operators.segments import Segments
+from marlstone.operators.segments import EMPTY, Segments
 
 BLOCK_BITS = 7
+BLOCK = 1 << BLOCK_BITS
 BUCKETS = 64
+#: Chunks that a task packs at once, at most.
+RUN_CHUNKS = 1 << 15
+#: Of the tables; an index of another form is as none, and built anew.
+FORM = 2
 
 
 class KeywordIndex(Segments):
@@ -33,36 +44,40 @@ class KeywordIndex(Segments):
 
     kinds = ("postings", "docs", "marks", "terms")
 
-    def __init__(self, spark: SparkSession, path: str, split: Callable[[Column], Column] = tokens, id_type: str = "string", fan: int = 8, spread_from: int = 1 << 16, literals: int = 4096):
+    def __init__(self, spark: SparkSession, path: str, split: Callable[[Column], Column] = tokens, id_type: str = "string", fan: int = 8, spread_from: int = 1 << 16, literals: int = 4096, run_words: int = 1 << 20):
         super().__init__(spark, path, id_type)
-        self.split, self.fan, self.spread_from, self.literals = split, fan, spread_from, literals
-        self._postings = f"bucket int, term string, block long, n int, max_tf int, min_dl int, ids array<{id_type}>, tfs array<int>, dls array<int>, seg string"
+        self.split, self.fan, self.spread_from, self.literals, self.run_words = split, fan, spread_from, literals, run_words
+        self._postings = "bucket int, term string, block long, n int, max_tf int, min_dl int, ats array<tinyint>, tfs array<int>, seg string"
 
     # ---- what there is
 
+    def manifest(self) -> dict:
+        m = super().manifest()
+        return m if m.get("form") == FORM else EMPTY | {"next": m["next"], "form": FORM}
+
     @property
     def avgdl(self) -> float:
         m = self.manifest()
         return _mean(m)
 
     def postings(self, m: dict | None = None) -> DataFrame:
-        """term, block, n, max_tf, min_dl, ids, tfs, dls by seg and bucket."""
+        """term, block, n, max_tf, min_dl, ats (places in the block), tfs by seg and bucket."""
         return self._table("postings", [s["name"] for s in (m or self.manifest())["segments"]], self._postings)
 
     def _docs(self, m: dict) -> DataFrame:
-        return self._table("docs", [s["name"] for s in m["segments"]], f"chunk_id {self.id_type}, dl int, seg string")
+        return self._table("docs", [s["name"] for s in m["segments"]], f"chunk_id {self.id_type}, dl int, block long, at tinyint, seg string")
 
     # ---- writing
 
     def build(self, chunks: DataFrame, fingerprint: str) -> None:
         """The index anew, of chunks (chunk_id, text), in one segment."""
         m = self.manifest()
-        self._commit(m, {"next": m["next"] + 1, "fingerprint": fingerprint, "segments": self._segment(chunks, m["next"]), "gone": []})
+        self._commit(m, {"next": m["next"] + 1, "form": FORM, "fingerprint": fingerprint, "segments": self._segment(chunks, m["next"]), "gone": []})
 
     def append(self, added: DataFrame, removed: DataFrame, fingerprint: str) -> None:
         """One segment of the chunks that came and one set of marks for those that went (chunk_id, text, as they were)."""
         m = self.manifest()
-        made = {"next": m["next"] + 1, "fingerprint": fingerprint, "segments": m["segments"] + self._segment(added, m["next"]), "gone": m["gone"] + self._removal(removed, m["next"])}
+        made = {"next": m["next"] + 1, "form": FORM, "fingerprint": fingerprint, "segments": m["segments"] + self._segment(added, m["next"]), "gone": m["gone"] + self._removal(removed, m["next"])}
         self._commit(m, self._merged(made))
 
     def _segment(self, chunks: DataFrame, seq: int) -> list[dict]:
@@ -71,29 +86,28 @@ class KeywordIndex(Segments):
         staged = f"{self.path}/staged/{name}"
         ordered = chunks.select("chunk_id", "text").repartitionByRange("chunk_id").sortWithinPartitions("chunk_id")
         words = ordered.select("chunk_id", F.coalesce(self.split(F.col("text")), F.array().cast("array<string>")).alias("words"))
-        # numbers ascend within a partition, and those of different ones differ in their high bits, so no block spans two
-        words = words.select("chunk_id", F.size("words").alias("dl"), F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block"), "words")
-        # dealt by chunk_id already, so nothing is shuffled to count; a chunk without words is a row without a term
-        counted = words.select("chunk_id", "dl", "block", F.explode_outer("words").alias("term")).groupBy("chunk_id", "dl", "block", "term").agg(F.count("*").cast("int").alias("tf"))
-        counted.write.parquet(staged)
-        counted = self.spark.read.schema(counted.schema).parquet(staged)
-        docs = counted.select("chunk_id", "dl").distinct()
+        run_words = self.run_words
+        made = words.mapInArrow(lambda batches: _posted(batches, run_words), f"chunk_id {self.id_type}, dl int, at tinyint, term string, block long, places binary")
+        made.write.option("compression", "zstd").parquet(staged)
+        made = self.spark.read.schema(made.schema).parquet(staged)
+        docs = made.where("term is null").select("chunk_id", "dl", "block", "at")
         n, total = docs.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        out = [self._write(name, seq, counted.where("term is not null"), docs, n, total)] if n else []
+        rows = self._dealt(made.where("term is not null").select("term", "block", "places"), n)
+        rows = rows.mapInArrow(_unrolled, "bucket int, term string, block long, n int, max_tf int, min_dl int, ats array<tinyint>, tfs array<int>")
+        out = [self._write(name, seq, rows, docs, n, total)] if n else []
         self.folder.delete(f"staged/{name}")
         return out
 
-    def _write(self, name: str, seq: int, counted: DataFrame, docs: DataFrame, n: int, total: int) -> dict:
-        """A segment of counted (term, block, chunk_id, dl, tf), a row a term and chunk, and docs (chunk_id, dl)."""
-        spread = n >= self.spread_from
-        order = ("bucket", "term", "block")
-        # dealt once: a posting row's chunks are of one range
-        dealt = counted.withColumn("bucket", _bucket(F.col("term")) if spread else F.lit(0)).repartitionByRange(*order)
-        rows = dealt.groupBy(*order).agg(F.array_sort(F.collect_list(F.struct("chunk_id", "tf", "dl"))).alias("p"))  # of at most 128 chunks
-        rows = rows.select(*order, F.size("p").alias("n"), F.array_max("p.tf").alias("max_tf"), F.array_min("p.dl").alias("min_dl"), F.col("p.chunk_id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
-        rows.sortWithinPartitions(*order).write.option("parquet.block.size", 4 << 20).partitionBy("bucket").parquet(f"{self.path}/postings/seg={name}")
+    def _dealt(self, rows: DataFrame, n: int) -> DataFrame:
+        """rows (term, block, ...) of a segment of n chunks, dealt by bucket, term and block."""
+        bucket = _bucket(F.col("term")) if n >= self.spread_from else F.lit(0)
+        return rows.select(bucket.alias("bucket"), "*").repartitionByRange("bucket", "term", "block")
+
+    def _write(self, name: str, seq: int, rows: DataFrame, docs: DataFrame, n: int, total: int) -> dict:
+        """A segment of posting rows, dealt, and docs (chunk_id, dl, block, at)."""
+        rows.sortWithinPartitions("bucket", "term", "block").write.option("parquet.block.size", 4 << 20).option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/postings/seg={name}")
         docs.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.parquet(f"{self.path}/docs/seg={name}")
-        return {"name": name, "seq": seq, "n": n, "words": int(total), "spread": spread}
+        return {"name": name, "seq": seq, "n": n, "words": int(total), "spread": n >= self.spread_from}
 
     def _removal(self, removed: DataFrame, seq: int) -> list[dict]:
         name = f"{seq:08d}-{uuid.uuid4().hex[:8]}"
@@ -128,23 +142,29 @@ class KeywordIndex(Segments):
         """One segment in place of some; what is dead in them goes, and with it the counts that stood for it."""
         seq, names = m["next"], [s["name"] for s in some]
         name = f"{seq:08d}-{uuid.uuid4().hex[:8]}"
-        docs = self.live(self._docs(m).where(F.col("seg").isin(names)), m).select("chunk_id", "dl")
+        docs = self.live(self._docs(m).where(F.col("seg").isin(names)), m)
         staged = f"{self.path}/staged/{name}"
-        numbered = docs.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").select("chunk_id", "dl", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block"))
+        number = F.monotonically_increasing_id()  # ascends in a partition; those of different ones differ in their high bits, so no block spans two
+        numbered = docs.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").select("chunk_id", "dl", "seg", F.col("block").alias("was"), F.col("at").alias("was_at"), number.alias("number"))
+        numbered = numbered.select("chunk_id", "dl", "seg", "was", "was_at", F.shiftright("number", BLOCK_BITS).alias("block"), F.col("number").bitwiseAND(BLOCK - 1).cast("tinyint").alias("at"))
         numbered.write.parquet(staged)
         numbered = self.spark.read.schema(numbered.schema).parquet(staged)
         n, total = numbered.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        rows = _unpacked(self.postings(m).where(F.col("seg").isin(names)))
+        rows = self.postings(m).where(F.col("seg").isin(names))
         whole = len(some) == len(m["segments"])
         segments = [s for s in m["segments"] if s["name"] not in names]
         gone = [] if whole else list(m["gone"])
+        old = _unpacked(rows).withColumnsRenamed({"block": "was", "at": "was_at"})
+        alive = old.join(numbered, ["seg", "was", "was_at"]).select("term", "block", "at", "tf", "dl")
         if n:
-            alive = self.live(rows, m).select("term", "chunk_id", "tf").join(numbered, "chunk_id").select("term", "block", "chunk_id", "dl", "tf")
-            segments.append(self._write(name, seq, alive, numbered.select("chunk_id", "dl"), n, total))
+            # dealt once: a posting row's chunks are of one range
+            posted = self._dealt(alive, n).groupBy("bucket", "term", "block").agg(F.array_sort(F.collect_list(F.struct("at", "tf", "dl"))).alias("p"))  # of at most 128 chunks
+            posted = posted.select("bucket", "term", "block", F.size("p").alias("n"), F.array_max("p.tf").alias("max_tf"), F.array_min("p.dl").alias("min_dl"), F.col("p.at").alias("ats"), F.col("p.tf").alias("tfs"))
+            segments.append(self._write(name, seq, posted, numbered.select("chunk_id", "dl", "block", "at"), n, total))
         died, lost = sum(s["n"] for s in some) - n, sum(s["words"] for s in some) - int(total)
         if died and not whole:
             # marks keep standing for chunks in other segments; what they stood for here is counted no more
-            fell = rows.groupBy("term").agg(F.count("*").alias("df")).unionByName(self.live(rows, m).groupBy("term").agg((-F.count("*")).alias("df")))
+            fell = rows.groupBy("term").agg(F.sum("n").alias("df")).unionByName(alive.groupBy("term").agg((-F.count("*")).alias("df")))
             self._write_terms(name, fell.groupBy("term").agg((-F.sum("df")).alias("df")).where("df <> 0"))
             gone.append({"name": name, "seq": seq, "n": -died, "words": -lost, "unmarked": True})
         self.folder.delete(f"staged/{name}")
@@ -219,10 +239,12 @@ class KeywordIndex(Segments):
 
     def _scored(self, m: dict, rows: DataFrame, weighed: DataFrame, blocks, kind: str, paper: bool, mean: float) -> DataFrame:
         """query_id, chunk_id, gain of the live chunks of blocks (query_id, seg, block): a list, whose numbers reach the scan, or a table."""
+        docs = self._docs(m)
         if isinstance(blocks, list):
-            rows = rows.where(F.col("block").isin(sorted({r["block"] for r in blocks})))
+            some = sorted({r["block"] for r in blocks})
+            rows, docs = rows.where(F.col("block").isin(some)), docs.where(F.col("block").isin(some))
             blocks = F.broadcast(self.spark.createDataFrame([tuple(r) for r in blocks], f"query_id {kind}, seg string, block long"))
-        own = _unpacked(rows.join(weighed, "term").join(blocks, ["query_id", "seg", "block"]), "query_id", "weight")
+        own = _unpacked(rows.join(weighed, "term").join(blocks, ["query_id", "seg", "block"]), "query_id", "weight").join(docs, ["seg", "block", "at"])
         gain = F.col("weight") * (_gain(F.col("tf"), F.col("dl"), mean) + (DELTA if paper else 0.0))
         return self.live(own, m).groupBy("query_id", "chunk_id").agg(F.sum(gain).alias("gain"))
 
@@ -248,5 +270,82 @@ def _gain(tf: Column, dl: Column, mean: float) -> Column:
 
 
 def _unpacked(rows: DataFrame, *more: str) -> DataFrame:
-    """A row a chunk: term, seg, chunk_id, tf, dl."""
-    return rows.select("term", "seg", *more, F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p")).select("term", "seg", *more, F.col("p.ids").alias("chunk_id"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))
+    """A row a chunk: term, seg, block, at, tf."""
+    return rows.select("term", "seg", "block", *more, F.explode(F.arrays_zip("ats", "tfs")).alias("p")).select("term", "seg", "block", *more, F.col("p.ats").alias("at"), F.col("p.tfs").alias("tf"))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Table]:
+    """A partition's rows of so many words or some more at once, in whole blocks of chunks but the last."""
+    held, n, size = [], 0, 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(at, BLOCK)
+            held, n, size = [*held, part], n + part.num_rows, size + len(part["words"].flatten())
+            if size >= words or n >= RUN_CHUNKS:
+                table, whole = pa.Table.from_batches(held), n // BLOCK * BLOCK
+                if whole:
+                    yield table.slice(0, whole)
+                    held, n = table.slice(whole).to_batches(), n - whole
+                    size = sum(len(b["words"].flatten()) for b in held)
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _posted(batches: Iterator[pa.RecordBatch], run_words: int) -> Iterator[pa.RecordBatch]:
+    """Of a partition's chunks (chunk_id, words), in order: a row a chunk, without a term; and a row a run's term, with each of its
+    chunks packed: how far it is from the one before, the term's count there, the chunk's length."""
+    first = TaskContext.get().partitionId() << (33 - BLOCK_BITS)  # no block spans two partitions
+    for table in _runs(batches, run_words):
+        words = table["words"].combine_chunks()
+        dl = words.value_lengths().to_numpy().astype(np.int32)
+        flat, number = words.flatten(), np.arange(len(dl))
+        of = np.repeat(number, dl)[flat.is_valid().to_numpy(zero_copy_only=False)]
+        coded = flat.drop_null().dictionary_encode()
+        key, tf = np.unique(coded.indices.to_numpy().astype(np.int64) << 32 | of, return_counts=True)
+        code, place = key >> 32, key & 0xFFFFFFFF
+        start = np.flatnonzero(np.diff(code, prepend=-1))
+        step = np.diff(place, prepend=0)
+        step[start] = place[start] & (BLOCK - 1)  # the row's block says the rest
+        raw, at = pack(np.stack((step, tf, dl[place]), axis=1).ravel())
+        offsets = at[np.append(3 * start, 3 * len(key))].astype(np.int32)
+        places = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+        yield _rows(len(dl), chunk_id=table["chunk_id"].combine_chunks(), dl=pa.array(dl), at=pa.array(number & (BLOCK - 1), pa.int8()), term=pa.string(), block=pa.array(first + (number >> BLOCK_BITS)), places=pa.binary())
+        for i in range(0, len(start), 1 << 14):
+            own = slice(i, i + (1 << 14))
+            yield _rows(len(start[own]), chunk_id=table["chunk_id"].type, dl=pa.int32(), at=pa.int8(), term=coded.dictionary.take(pa.array(code[start[own]])), block=pa.array(first + (place[start[own]] >> BLOCK_BITS)), places=places[own])
+        first += -(-len(dl) // BLOCK)
+
+
+def _rows(n: int, **columns: pa.Array | pa.DataType) -> pa.RecordBatch:
+    """n rows; a column of which only the type is given is null."""
+    return pa.RecordBatch.from_arrays([pa.nulls(n, x) if isinstance(x, pa.DataType) else x for x in columns.values()], names=list(columns))
+
+
+def _unrolled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The posting rows, a term and block each, of rows (bucket, term, block, places)."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, 1 << 12):
+            batch = whole.slice(i, 1 << 12)
+            raw = pa.concat_arrays([batch["places"]])  # its own buffers, from 0 on
+            bounds = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
+            numbers, ends = unpack(np.frombuffer(raw.buffers()[2], np.uint8)[bounds[0] : bounds[-1]])
+            row = np.searchsorted(bounds[1:] - bounds[0], ends[2::3])  # of each place
+            step, tf, dl = numbers.reshape(-1, 3).T
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            total = np.cumsum(step)
+            place = total - (total[first] - step[first])[row]
+            block = batch["block"].to_numpy()[row] + (place >> BLOCK_BITS)
+            start = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+            lists = pa.array(np.append(start, len(row)), pa.int32())
+            of = pa.array(row[start])
+            columns = {
+                "bucket": batch["bucket"].take(of),
+                "term": batch["term"].take(of),
+                "block": pa.array(block[start]),
+                "n": pa.array(np.diff(np.append(start, len(row))), pa.int32()),
+                "max_tf": pa.array(np.maximum.reduceat(tf, start), pa.int32()),
+                "min_dl": pa.array(np.minimum.reduceat(dl, start), pa.int32()),
+                "ats": pa.ListArray.from_arrays(lists, pa.array(place & (BLOCK - 1), pa.int8())),
+                "tfs": pa.ListArray.from_arrays(lists, pa.array(tf, pa.int32())),
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))

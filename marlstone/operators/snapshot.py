@@ -192,7 +192,7 @@ class Snapshot:
         version = f"v-{uuid.uuid4().hex}"
         rows = df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in self.schema.fields]).withColumn("_bucket", self._bucket())
         # rebalanced, not repartitioned: a large bucket is split among tasks
-        rows.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{version}")
+        rows.hint("rebalance", "_bucket").write.option("compression", "zstd").partitionBy("_bucket").parquet(f"{self.path}/{version}")
         return {n.removeprefix("_bucket="): f"{version}/{n}" for n, _ in self.folder.names(version) if n.startswith("_bucket=")}
 
     def vacuum(self, retention: float | None = None, now: float | None = None) -> int:

@@ -19,6 +19,7 @@ from marlstone import schema
 from marlstone.functions.text import chunk_id, content_hash
 from marlstone.operators import chunk, embed, metadata, tables
 from marlstone.operators.snapshot import Snapshot, Version
+from marlstone.session import no_shuffle_kept
 from marlstone.sources import extract, scan
 
 
@@ -93,6 +94,7 @@ class Indexer:
         over = gone.union(done)  # a re-indexed file's chunks go whole, stale ones with them
         made = self.store.change(changes, lambda old: tables.delete_files(old, over).unionByName(chunks))
         if made is not None:
+            self._delete(f"{folder}/read")  # it is stored
             touched, (before, after) = self.store.buckets_of(changes), made
             chunks = self.store.read(touched, after).join(done, "file_path", "left_semi")  # as stored: made once
             if self.on_change:
@@ -108,15 +110,19 @@ class Indexer:
         return self.spark.createDataFrame([summary.first()], summary.schema)
 
     def _staged(self, df: DataFrame, path: str, block: int = 128 << 20) -> DataFrame:
-        df.write.option("parquet.block.size", block).parquet(path)
+        df.write.option("parquet.block.size", block).option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     @contextlib.contextmanager
     def _stage(self) -> Iterator[str]:
-        """A folder for a run's tables, which goes with the run."""
+        """A folder for a run's tables, which goes with the run; a shuffle's files go with the job that made them."""
         folder = f"{self.home}/runs/{uuid.uuid4().hex}"
         try:
-            yield folder
+            with no_shuffle_kept(self.spark):
+                yield folder
         finally:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(folder)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

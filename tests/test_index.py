@@ -6,6 +6,7 @@ import os
 import random
 import re
 import threading
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -256,6 +257,41 @@ def test_search_reads_few_blocks_and_row_groups(spark, tmp_path):
     assert scored == [5, 0] and index.postings().where("term = 'common'").count() >= 24  # of 24 blocks
 
 
+@pytest.mark.parametrize("run_words", [1 << 20, 700])
+def test_no_row_a_word_and_chunk_is_staged(spark, tmp_path, run_words):
+    """What a build stages is a row a chunk, and a row a term in each run of a task; the postings are those of plain counts."""
+    rows = [(f"c{i:04d}", None if i == 7 else " ".join(f"w{(i * j * j) % 61}" for j in range(i % 80)) + " all" * (i % 3)) for i in range(700)]
+    index = KeywordIndex(spark, str(tmp_path / "k"), spread_from=100, run_words=run_words)
+    staged = []
+    index.folder.delete = lambda path: staged.append(spark.read.parquet(f"{index.path}/{path}").count()) if path.startswith("staged/") else None
+    index.build(frame(spark, rows), "f")
+    counts = {(c, w): n for c, t in rows for w, n in Counter((t or "").split()).items()}
+    runs = 4 if run_words > 700 else 40  # of 4 tasks, more or less
+    assert staged[0] <= len(rows) + 62 * runs < len(counts)
+    m = index.manifest()
+    docs = {(r["block"], r["at"]): r for r in index._docs(m).collect()}
+    assert len(docs) == len(rows) and all(r["dl"] == len((dict(rows)[r["chunk_id"]] or "").split()) for r in docs.values())
+    got = {}
+    for r in index.postings().collect():
+        own = [docs[r["block"], at] for at in r["ats"]]
+        assert r["n"] == len(own) == len(r["tfs"]) and r["max_tf"] == max(r["tfs"]) and r["min_dl"] == min(d["dl"] for d in own)
+        got |= {(d["chunk_id"], r["term"]): tf for d, tf in zip(own, r["tfs"], strict=True)}
+    assert got == counts
+
+
+def test_a_runs_shuffle_files_go_with_its_jobs(spark, tmp_path):
+    put(tmp_path / "in/a.txt", "apple pear")
+    indexer = Indexer(spark, str(tmp_path / "in"), str(tmp_path / "home"), HashEmbedder(), prefix=False, buckets=4)
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x.rsplit("/", 1)[-1] for x in local.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    before, name = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    set_before = spark.conf.get(name)
+    with indexer._stage() as folder:
+        indexer._staged(spark.range(1000).repartition("id"), f"{folder}/x")
+        assert not files() - before
+    assert spark.conf.get(name) == set_before
+
+
 def test_the_engine_appends_segments(spark, tmp_path):
     root = tmp_path / "in"
     for k in range(12):
