@@ -7,6 +7,7 @@ be read is a row with a reason, and stops nothing.
 
 from __future__ import annotations
 
+import io
 import os
 import stat
 from collections.abc import Callable, Iterator
@@ -70,15 +71,20 @@ def entries(place: str) -> Iterator[tuple]:
         yield place, None, None, None, f"{type(x).__name__}: {x.strerror or x}"
 
 
-def content(place: str, most: int) -> tuple[bytes | None, str | None]:
-    """A file's bytes, or why there are none; of a file that is larger than `most` by now, no more is read than tells so."""
+def content(place: str, most: int, size: int = 1 << 20) -> tuple[bytes | None, str | None]:
+    """A file's bytes, or why there are none; of a file that is larger than `most` by now, no more is read than tells so.
+
+    It is read `size` bytes at a time: a read takes the memory that it is asked for, whatever the file holds.
+    """
     store, path = _store(place)
+    raw = io.BytesIO()
     try:
         with open(path, "rb") if store is None else store.open_input_stream(path) as f:
-            raw = f.read(most + 1)
+            while block := f.read(min(size, most + 1 - raw.tell())):
+                raw.write(block)
     except OSError as x:
         return None, f"{type(x).__name__}: {x.strerror or x}"
-    return (raw, None) if len(raw) <= most else (None, f"larger than {most} bytes")
+    return (raw.getvalue(), None) if raw.tell() <= most else (None, f"larger than {most} bytes")
 
 
 def blocks(place: str, most: int, size: int = 1 << 20) -> Iterator[bytes]:

@@ -66,6 +66,23 @@ def test_unreadable_places_are_rows(spark, tmp_path):
     assert tree.content(f"file://{tmp_path}/a.txt", 99) == (b"some words here", None)
 
 
+def test_a_limit_costs_no_memory(spark, tmp_path):
+    """A limit far above what files hold, and above the memory there is, is nothing that a read asks for."""
+    put(tmp_path / "a.txt")
+    for most in (1 << 40, 1 << 60):
+        assert tree.content(str(tmp_path / "a.txt"), most) == (b"some words here", None)
+        assert tree.content(str(tmp_path / "a.txt"), most, 4) == (b"some words here", None)
+    assert tree.content(str(tmp_path / "a.txt"), 15, 4)[0] == b"some words here" and tree.content(str(tmp_path / "a.txt"), 14, 4) == (None, "larger than 14 bytes")
+    (found,) = extract.extract_files(scan.files(spark, str(tmp_path / "a.txt"), None), max_mb=1 << 40).collect()
+    assert found["extraction"]["text"] == "some words here"
+
+    def unlucky(raw: bytes):
+        raise OSError("no luck")
+
+    (failed,) = extract.chunk_files(scan.files(spark, str(tmp_path / "a.txt"), None), 800, 100, extract.readers(more={"txt": unlucky}), 1 << 40).collect()
+    assert failed["error"] == "OSError: no luck" and not failed["success"]
+
+
 def spy(folder):
     """A reader that leaves a trace of every file it is given: the bytes read."""
 
