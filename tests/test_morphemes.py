@@ -100,3 +100,28 @@ def test_words_met_outlive_a_task():
     assert first.split("hauses") == ["haus"]
     again, other = pickle.loads(sent), pickle.loads(pickle.dumps(morphemes.Lexicon({"hau": 1.0}, {"ses": 1.0})))
     assert again._known == {"hauses": ["haus"]} and other._known == {} and other.split("hauses") == ["hau"]
+
+
+def test_many_words_are_cut_as_each_alone(spark):
+    """Words of all lengths through the lattice together: known and unknown ones, equal costs, letters beyond 16 bits."""
+    df, _ = corpus(spark, 100)
+    rnd = random.Random(8)
+    tied = morphemes.Lexicon({"a": 1.0, "ab": 5.0, "b": 1.0, "ba": 2.0, "𐐨b": 0.5}, {"b": 1.0, "ab": 4.0, "c": 0.25}, 3.0, 1.0, 1.0)
+    for lex, letters in ((morphemes.learn(df), "".join(NOUNS + PARTICLES)), (tied, "abc𐐨"), (morphemes.Lexicon({}, {}), "ab")):
+        words = sorted({"".join(rnd.choice(letters) for _ in range(rnd.randint(1, 24))) for _ in range(3000)} | {rnd.choice(NOUNS) + rnd.choice(PARTICLES) for _ in range(50)})
+        want = [[p for p, tag in lex.best(w) if tag == "S"] for w in words]
+        assert lex.stems_of(words) == want
+        assert lex.split_all(["", " ".join(words), f"{words[0]} 12, {'a' * 25}"]) == [[], [p for ps in want for p in ps], [*want[0], "12,", "a" * 25]]
+
+
+def test_texts_are_read_once_for_a_lexicon(spark):
+    df, rows = corpus(spark, 60)
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    lex = morphemes.learn(df.mapInPandas(count, df.schema))
+    assert read.value == len(rows) and lex == morphemes.learn(df)
