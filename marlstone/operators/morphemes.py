@@ -11,11 +11,12 @@ from __future__ import annotations
 import itertools
 import math
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,14 +76,15 @@ class _Forms:
         if m not in self.tables:
             return
         hashes, forms, costs, same = self.tables[m]
-        h = prefixes[m:] - prefixes[:-m] * _POWERS[m]
-        place, word = np.nonzero(self.flags[h >> np.uint64(44)])
-        h = h[place, word]
+        h = (prefixes[m:] - prefixes[:-m] * _POWERS[m]).ravel()
+        some = np.flatnonzero(self.flags.take((h >> np.uint64(44)).view(np.int64)))
+        h = h.take(some)
         at = np.searchsorted(hashes, h)
         for k in range(same):
             near = np.minimum(at + k, len(hashes) - 1)
-            hit = np.flatnonzero(hashes[near] == h)
-            p, w, f = place[hit], word[hit], near[hit]
+            hit = np.flatnonzero(hashes.take(near) == h)
+            f = near.take(hit)
+            p, w = np.divmod(some.take(hit), codes.shape[1])
             equal = np.ones(len(hit), bool)
             for j in range(m):
                 equal &= codes[p + j, w] == forms[j, f]
@@ -201,16 +203,17 @@ class Lexicon:
         """split() of each text. Words that are not known yet are cut together."""
         import regex
 
-        runs = [regex.findall(r"\p{L}+|[^\p{L}\s]+", t.lower()) for t in texts]
+        find = regex.compile(r"\p{L}+|[^\p{L}\s]+").findall
+        runs = [[t] if t.isalpha() else find(t) for t in map(str.lower, texts)]
         met = set().union(*runs)
         new = [r for r in met if r not in self._known]
-        if len(self._known) + len(new) > 1 << 17:
+        if len(self._known) + len(new) > 1 << 18:
             self._known.clear()
             new = list(met)
         words = [r for r in new if r[0].isalpha() and len(r) <= LONGEST]
         self._known.update((r, [r]) for r in new)
         self._known.update(zip(words, self.stems_of(words), strict=True))
-        return [list(itertools.chain.from_iterable(map(self._known.__getitem__, r))) for r in runs]
+        return [self._known[r[0]] if len(r) == 1 else list(itertools.chain.from_iterable(map(self._known.__getitem__, r))) for r in runs]
 
     def __getstate__(self):
         return self.__dict__ | {"_known": {}, "_forms": []}
@@ -236,26 +239,31 @@ def learn(docs: DataFrame, text_col: str = "text", entropy: float = 1.5, types:
     return Lexicon(tables[STEM], tables[ENDING])
 
 
-def splitter(lexicon: Lexicon, hold: int = 1 << 21) -> Callable[[Column], Column]:
-    """The lexicon as a tokenizer of the keyword index, for a column of texts; about `hold` characters are looked at together.
+def splitter(lexicon: Lexicon, hold: int = 1 << 22) -> Callable[[Column], Column]:
+    """The lexicon as a tokenizer of the keyword index, for a column of texts; about `hold` bytes are looked at together.
 
-    As with text.tokenizer, a text that nothing is found in is split at white space.
+    A word never goes beyond a blank, nor does the way in which small letters are made, so what lies between blanks is split once
+    in these bytes, and its other places take the stems from there. As with text.tokenizer, a text that nothing is found in is split
+    at white space.
     """
 
-    def parts(texts: list[str | None]) -> Iterator[list[str | None]]:
-        first, size = 0, 0
-        for k, t in enumerate(texts):
-            size += len(t or "")
-            if size > hold:
-                yield texts[first : k + 1]
-                first, size = k + 1, 0
-        yield texts[first:]
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(texts: pd.Series) -> pd.Series:
-        out = []
-        for part in parts(texts.tolist()):
-            out += [None if t is None else found or t.split() for t, found in zip(part, lexicon.split_all([t or "" for t in part]), strict=True)]
-        return pd.Series(out, dtype=object)
+    def split(texts: pa.Array) -> pa.Array:
+        pieces = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        met = pieces.values.dictionary_encode()
+        stems = pa.array(lexicon.split_all(met.dictionary.to_numpy(zero_copy_only=False).tolist()), kind).take(met.indices)
+        found = pa.ListArray.from_arrays(stems.offsets.take(pieces.offsets), stems.values, mask=texts.is_null())
+        for k in np.flatnonzero(np.diff(found.offsets.to_numpy()) == 0).tolist():
+            if rest := (texts[k].as_py() or "").split():
+                found = pa.concat_arrays([found[:k], pa.array([rest], kind), found[k + 1 :]])
+        return found
+
+    kind = pa.list_(pa.string())
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def run(texts: pa.Array) -> pa.Array:
+        texts = texts.cast(pa.string())
+        part = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)) // hold
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+        return pa.concat_arrays([split(pa.concat_arrays([texts[a:b]])) for a, b in itertools.pairwise(cuts)] if len(texts) else [pa.array([], kind)])
 
     return run

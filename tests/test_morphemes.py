@@ -125,3 +125,14 @@ def test_texts_are_read_once_for_a_lexicon(spark):
 
     lex = morphemes.learn(df.mapInPandas(count, df.schema))
     assert read.value == len(rows) and lex == morphemes.learn(df)
+
+
+def test_splitter_equals_split_on_odd_texts(spark):
+    """Pieces between blanks are split once: nulls, other white space, letters whose small form hangs on their neighbours, groups cut anywhere."""
+    df, rows = corpus(spark, 100)
+    lex = morphemes.learn(df)
+    odd = [None, "", "   ", " \u0085", "\x1c", "a  b\tc D", "ΑΣ ΣΑΣ, ΣΑΣ-ΣΑΣ", "İstanbul \x1c x", "x" * 30 + " 12.5,y", "학교에서 학교에서"] + [t for _, t in rows[:20]]
+    df = spark.createDataFrame(list(enumerate(odd)), "i int, text string").repartition(1)
+    want = {i: None if t is None else lex.split(t) or t.split() for i, t in enumerate(odd)}
+    for hold in (1, 40, 1 << 23):
+        assert {r["i"]: r["w"] for r in df.select("i", morphemes.splitter(lex, hold)(F.col("text")).alias("w")).collect()} == want
