@@ -6,15 +6,20 @@ so that documents without a match follow in id order; `paper` gives it to matche
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from marlstone.functions.text import tokens
+from marlstone.operators.vector import _Best
 
 K1, B, DELTA = 1.5, 0.75, 1.0
 
@@ -110,6 +115,60 @@ def search(index: Index, queries: DataFrame, n: int = 50, delta_mode: str = "lib
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def batch_top(chunks: DataFrame, queries: DataFrame, n: int = 50, delta_mode: str = "library", digits: int = 9, id_col: str = "chunk_id", text_col: str = "text", split: Callable[[Column], Column] = tokens, hold: int = 1 << 22) -> DataFrame:
+    """search(build(chunks), queries, n) for a set of queries whose words a task can hold: texts are scored where they are, and a task
+    keeps the n best of each query, so what is shuffled are queries x n rows a task, and no postings. About `hold` numbers are held at a time.
+    """
+    asked = queries.select("query_id", F.explode_outer(split(F.col("text"))).alias("term")).where("term is not null").groupBy("query_id", "term").agg(F.count("*").alias("times")).toArrow()
+    id_type, query_type = (f.schema[c].dataType.simpleString() for f, c in ((chunks, id_col), (queries, "query_id")))
+    kind = f"query_id {query_type}, chunk_id {id_type}, score double"
+    words = pc.unique(asked["term"].combine_chunks())
+    index = build(chunks, id_col, text_col, queries, split)
+    df = {r["term"]: r["df"] for r in index.terms.collect()}
+    words = words.filter(pc.is_in(words, pa.array(list(df), words.type)))
+    avgdl, total = index.avgdl, index.n
+    names = pc.unique(asked["query_id"].combine_chunks())
+    weights: list[list[tuple[int, float]]] = [[] for _ in names]
+    place = {w: k for k, w in enumerate(words.to_pylist())}
+    for q, term, times in zip(pc.index_in(asked["query_id"], names).to_pylist(), asked["term"].to_pylist(), asked["times"].to_pylist(), strict=True):
+        if term in place:
+            weights[q].append((place[term], math.log((total + 1.0) / df[term]) * times))
+    for own in weights:
+        own.sort()
+    if not place:
+        return chunks.sparkSession.createDataFrame([], kind + ", rank int")
+    paper = delta_mode == "paper"
+    base = np.array([0.0 if paper else DELTA * sum(w for _, w in own) for own in weights])
+    step = max(64, min(4096, hold // (len(words) + 4 * len(names))))
+
+    def run(batches):
+        best = _Best(len(names), n)
+        for batch in batches:
+            for first in range(0, batch.num_rows, step):
+                some = batch.slice(first, step)
+                found = some.column(2)
+                row = np.repeat(np.arange(len(found)), pc.list_value_length(found).to_numpy())
+                term = pc.index_in(found.flatten(), words).to_numpy()
+                cell, tf = np.unique(term.astype(np.int64) * len(found) + row, return_counts=True)
+                dl = some.column(1).to_numpy()[cell % len(found)]
+                gain = np.zeros(len(words) * len(found))
+                gain[cell] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl)) + (DELTA if paper else 0.0)
+                gain = gain.reshape(len(words), len(found))
+                score = np.zeros((len(names), len(found)))
+                for q, own in enumerate(weights):
+                    for k, w in own:
+                        score[q] += w * gain[k]
+                best.take(some.column(0), -np.round(base[:, None] + score, digits))
+        if best.ids is not None:
+            q, ids, worth = best.rows()
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), ids, pa.array(-worth)], names=["query_id", "chunk_id", "score"])
+
+    cut = chunks.select(F.col(id_col).alias("chunk_id"), split(F.col(text_col)).alias("w"))
+    cut = cut.select("chunk_id", F.coalesce(F.size("w"), F.lit(0)).cast("double").alias("dl"), F.coalesce(F.filter("w", lambda w: w.isin(*words.to_pylist())), F.array().cast("array<string>")).alias("w"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return cut.mapInArrow(run, kind).where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
 def add(index: Index, more: DataFrame, id_col: str = "chunk_id", text_col: str = "text", queries: DataFrame | None = None) -> Index:
     """The index with further chunks: their postings are appended and the statistics follow."""
     new = build(more, id_col, text_col, queries, index.split)

@@ -122,3 +122,20 @@ def test_the_reranker_beats_the_fused_order(spark):
     hits = held.where(F.col("query_id") == query["query_id"]).select("chunk_id", "text", "rank")
     best = fuse.rerank(hits, query["query"], 1, model).first()
     assert best["chunk_id"] == query["chunk_id"] and best["rerank_error"] is None
+
+
+@pytest.mark.parametrize("mode", ["library", "paper"])
+def test_a_set_of_queries_needs_no_postings(spark, corpus, mode):
+    """The hits that the shuffled postings give, with null and empty texts, unknown words, words said twice and more hits than matches."""
+    more = spark.createDataFrame([(900, None), (901, ""), (902, "a1 a1 the1 once"), (903, "A1")], "doc_id long, text string")
+    docs = corpus.select("doc_id", "text").unionByName(more).withColumnRenamed("doc_id", "chunk_id").repartition(3)
+    asked = spark.createDataFrame([(1, "a1 the1 a1 the2"), (2, "unknown words"), (3, "once"), (4, ""), (5, None), (6, "b3 c4 unknown")], "query_id int, text string")
+    for n in (3, 400):
+        want = {(r["query_id"], r["rank"]): (r["chunk_id"], r["score"]) for r in bm25.search(bm25.build(docs, queries=asked), asked, n, mode).collect()}
+        for hold in (1, 1 << 22):
+            found = bm25.batch_top(docs, asked, n, mode, hold=hold)
+            assert found.columns == ["query_id", "chunk_id", "score", "rank"]
+            got = {(r["query_id"], r["rank"]): (r["chunk_id"], r["score"]) for r in found.collect()}
+            assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and want
+            assert {k: v[1] for k, v in got.items()} == pytest.approx({k: v[1] for k, v in want.items()}, abs=2e-9)
+    assert bm25.batch_top(docs, asked.where("query_id = 2"), 3, mode).collect() == []
