@@ -216,3 +216,11 @@ def test_store_state_names_the_store_as_it_is(spark, tmp_path):
     (root / "a.txt").write_text("pears and plums")
     indexer.incremental()
     assert indexer.store.state() != first
+
+
+def test_a_document_is_read_under_any_limit(spark, tmp_path):
+    """A limit of a terabyte takes no terabyte."""
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.txt").write_text("some words here")
+    engine = Engine(Indexer(spark, str(tmp_path / "t"), str(tmp_path / "home"), HashEmbedder(), max_mb=1 << 20), mode="vector_only")
+    assert "some words here" in engine.get_document(str(tmp_path / "t" / "a.txt")).first()["content"]
